@@ -1,6 +1,6 @@
 """The stages of a quality run, each from tables to tables or metrics.
 
-A full run is one chain: profile, repair integrity, validate, correct, re-assess.
+A full run is one chain: profile, validate, repair integrity, correct, re-assess.
 ``run`` writes the tables between the stages, so that later stages read rows
 instead of repeating the plans before them, and a lost executor costs no more
 than its own tasks.
@@ -191,13 +191,13 @@ class Outcome:
 
 
 def run(ds: Dataset, as_of: str, base: str, out_format: str = "csv", limit: int | None = None) -> Outcome:
-    """Profile, repair integrity, validate, correct, save under ``base`` and measure again."""
+    """Profile and validate, repair integrity, correct, save under ``base`` and measure again."""
     specs = synthea.specs(as_of)
     base = base.rstrip("/")
     before = profile_dataset(ds, specs)
+    validation = validate_dataset(ds, specs, limit=limit)
     fixes = fix_log(ds, specs)
     linked = stage_dataset(repair_integrity(ds, specs, limit), f"{base}/linked")
-    validation = validate_dataset(linked, specs, limit=limit)
     tables, corrections = correct_with_log(linked, specs, f"{base}/marked", limit=limit)
     saved = write_dataset(tables, f"{base}/corrected", out_format)
     assessed = assess_corrected(tables, specs)

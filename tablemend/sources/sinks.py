@@ -17,12 +17,12 @@ FORMAT_CYCLE = ("avro", "json", "csv", "parquet")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Overwrite ``path``; CSV gets a header line."""
+    """Overwrite ``path``; CSV gets a header line and keeps blanks around values."""
     if fmt not in FORMATS or fmt == "delta":
         raise ValueError(f"cannot write {fmt!r}, expected csv, json, parquet or avro")
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     try:
         writer.format(fmt).save(path)
     except Exception as error:

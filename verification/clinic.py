@@ -16,7 +16,7 @@ from tablemend.model import Dataset
 from tablemend.operators.inject import inject
 from tablemend.plans import synthea
 
-AS_OF = "2015-06-01"
+AS_OF = "2003-06-01"
 
 DESCRIPTIONS = [
     *synthea.CODE_LIST,
@@ -49,7 +49,7 @@ def _stamp(d: Column) -> Column:
 
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    born = F.date_add(F.lit("1930-01-01").cast("date"), (k * 37 % 33000).cast("int"))
+    born = F.date_add(F.lit("1930-01-01").cast("date"), (k * 7919 % 33000).cast("int"))
     died = F.date_add(born, (20000 + k % 7000).cast("int"))
     return table(spark, sf_dir, "customer").select(
         "c_custkey",
