@@ -44,8 +44,7 @@ def fold(c: Column) -> Column:
     return F.lower(text(c))
 
 
-def percentage(errors: Column, total: Column) -> Column:
-    """100*errors/total to two places, half up, in exact integer arithmetic; 0 without rows."""
-    twice = F.nullif(total.cast("bigint") * 2, F.lit(0).cast("bigint"))
-    scaled = errors.cast("bigint") * 20000 + total.cast("bigint")
-    return F.coalesce((scaled - scaled % twice) / twice / F.lit(100.0), F.lit(0.0))
+def percentage(errors: str, total: str) -> Column:
+    """100*errors/total of two columns to two places, half up, in exact integer arithmetic; 0 without rows."""
+    twice, scaled = f"nullif({total} * 2, 0L)", f"({errors} * 20000L + {total})"
+    return F.expr(f"coalesce(({scaled} - {scaled} % {twice}) / {twice} / 100.0D, 0.0D)")

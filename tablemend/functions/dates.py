@@ -21,24 +21,57 @@ DOTTED = "yyyy.MM.dd"
 COMPACT = "yyyyMMdd"
 
 
-def _front_pattern(layout: str) -> tuple[str, str]:
-    """A pattern for the front of a text in ``layout``, and the layout with short fields."""
-    if layout.isalpha():  # no separators: the fields have fixed widths
-        return "^" + re.sub(r"[yMd]", r"\\d", layout), layout
-    pattern = "^" + re.escape(layout).replace("yyyy", r"\d{4}").replace(r"\-", "-")
-    pattern = pattern.replace("MM", r"\d{1,2}").replace("dd", r"\d{1,2}")
-    return pattern, layout.replace("yyyy", "y").replace("MM", "M").replace("dd", "d")
+def _alternative(layout: str, group: int) -> tuple[str, dict[str, int]]:
+    """A pattern for a date in ``layout``, and the group of each field counted from ``group``."""
+    separated = not layout.isalpha()
+    fields, pattern = {}, ""
+    for part in re.split(r"(yyyy|MM|dd)", layout):
+        if part in ("yyyy", "MM", "dd"):
+            pattern += r"(\d{4})" if part == "yyyy" else r"(\d{1,2})" if separated else r"(\d{2})"
+            fields[part] = group + len(fields)
+        else:
+            pattern += re.sub(r"(\W)", r"\\\1", part)
+    return pattern, fields
 
 
-def lenient_date(c: Column, layout: str = ISO) -> Column:
-    pattern, short = _front_pattern(layout)
-    front = F.regexp_extract(F.ltrim(c.cast("string")), pattern, 0)
-    return F.try_to_date(F.nullif(front, F.lit("")), short)
+def _shape(layout: str) -> str:
+    return re.sub(r"MM|dd", "##", layout)
 
 
 def parse_any(c: Column, layouts: Iterable[str]) -> Column:
-    """The date under the first layout that fits."""
-    return F.coalesce(*[lenient_date(c, layout) for layout in layouts])
+    """The date at the front of a text, under the first layout that fits.
+
+    One pattern knows all the layouts and puts the fields it finds in ISO order;
+    a text without a date becomes "--", which is none either.  Layouts that a
+    pattern cannot tell apart (day or month first) are tried one after the other.
+    """
+    rounds: list[list[str]] = []
+    for layout in layouts:
+        fitting = (r for r in rounds if all(_shape(other) != _shape(layout) for other in r))
+        free = next(fitting, None)
+        if free is None:
+            rounds.append([layout])
+        else:
+            free.append(layout)
+    dates = [_in_iso_order(c, r).try_cast("date") for r in rounds]
+    return dates[0] if len(dates) == 1 else F.coalesce(*dates)
+
+
+def _in_iso_order(c: Column, layouts: list[str]) -> Column:
+    alternatives, groups = [], {"yyyy": "", "MM": "", "dd": ""}
+    for i, layout in enumerate(layouts):
+        pattern, fields = _alternative(layout, 3 * i + 1)
+        alternatives.append(pattern)
+        for field, group in fields.items():
+            groups[field] += f"${group}"
+    # Of the groups of a field, those of the other layouts are empty.
+    pattern = rf"(?s)^\s*(?:{'|'.join(alternatives)}).*$|^.*$"
+    return F.regexp_replace(c.cast("string"), pattern, f"{groups['yyyy']}-{groups['MM']}-{groups['dd']}")
+
+
+def lenient_date(c: Column, layout: str = ISO) -> Column:
+    """The date at the front of a text in one layout."""
+    return parse_any(c, [layout])
 
 
 def cast_date(c: Column) -> Column:
@@ -47,7 +80,7 @@ def cast_date(c: Column) -> Column:
 
 
 def iso_text(d: Column) -> Column:
-    return F.date_format(d, ISO)
+    return d.cast("string")
 
 
 def clamp_order(later: Column, earlier: Column) -> Column:

@@ -22,15 +22,15 @@ def wider_than_digest(df: DataFrame) -> bool:
     return sum(sizes) > 2 * _DIGEST_BYTES
 
 
-def _framed(name: str, dtype: T.DataType) -> Column:
+def _framed(field: T.StructField) -> str:
     """A field as text with its length in front, so that neighbours cannot run together."""
-    c = F.col(quoted(name))
-    if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        c = c + F.lit(0.0)  # -0.0 and 0.0 are one value in a grouping
-    c = c.cast("string")
-    return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    name = quoted(field.name)
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        name = f"({name} + 0)"  # -0.0 and 0.0 are one value in a grouping
+    text = f"cast({name} as string)"
+    return f"coalesce(concat(length({text}), ':', {text}), '-')"
 
 
 def row_digest(df: DataFrame) -> Column:
     """SHA-256 over all fields: equal rows, and only those, share it."""
-    return F.unhex(F.sha2(F.concat(*[_framed(f.name, f.dataType) for f in df.schema]), 256))
+    return F.expr(f"unhex(sha2(concat({', '.join(_framed(f) for f in df.schema)}), 256))")

@@ -20,9 +20,9 @@ class HashDraws:
     def seed(self, keys: list[Column]) -> Column:
         return F.xxhash64(*keys)
 
-    def below(self, seed: Column, salt: int, rate: float) -> Column:
-        draw = F.pmod(F.xxhash64(seed, F.lit(salt)), F.lit(HASH_STEPS))
-        return draw < F.lit(round(rate * HASH_STEPS))
+    def below(self, seed: str, salt: str, rate: float) -> Column:
+        """Whether the draw is below ``rate``; ``seed`` names a column, ``salt`` is SQL."""
+        return F.expr(f"pmod(xxhash64({seed}, {salt}), {HASH_STEPS}) < {round(rate * HASH_STEPS)}")
 
 
 class ArithmeticDraws:
@@ -32,6 +32,6 @@ class ArithmeticDraws:
         (key,) = keys
         return F.pmod(key.cast("bigint"), F.lit(_PRIME).cast("bigint"))
 
-    def below(self, seed: Column, salt: int, rate: float) -> Column:
-        mixed = F.pmod(seed * 7919 + salt * 104729, F.lit(_PRIME))
-        return F.pmod(F.pmod(mixed * mixed, F.lit(_PRIME)), F.lit(1000)) < F.lit(round(rate * 1000))
+    def below(self, seed: str, salt: str, rate: float) -> Column:
+        mixed = f"pmod({seed} * 7919 + ({salt}) * 104729, {_PRIME})"
+        return F.expr(f"pmod(pmod({mixed} * {mixed}, {_PRIME}), 1000) < {round(rate * 1000)}")

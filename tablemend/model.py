@@ -89,12 +89,17 @@ class FkRule:
 
 @dataclass(frozen=True)
 class Fix:
-    """A correction of some columns: ``apply`` gets them as Columns and returns the new ones."""
+    """A correction of some columns.
+
+    ``apply`` gets the columns and returns the new ones.  With ``prepare``, which
+    gets the columns first, ``apply`` gets its results instead, worked out once.
+    """
 
     name: str
     description: str
     columns: tuple[str, ...]
     apply: Callable[..., Sequence[Column]]
+    prepare: Callable[..., Sequence[Column]] | None = None
 
 
 @dataclass(frozen=True)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tablemend.constants import (
     DASHED_PATTERN, DIGITS_PATTERN, INVALID_FORMAT, UNKNOWN, UNKNOWN_GENDER,
 )
-from tablemend.functions.columns import quoted, resolve
+from tablemend.functions.columns import column, quoted, resolve
 from tablemend.functions.dates import clamp_future, clamp_order, iso_text, parse_any
 from tablemend.model import Fix, TableSpec
 from tablemend.operators.metrics import metric, unfold
@@ -59,19 +59,18 @@ def fix_gender(name: str = "GENDER") -> Fix:
 
 def fix_life_dates(birth: str, death: str, layouts: Sequence[str], as_of: Column) -> Fix:
     """ISO dates; death not before birth, neither in the future; NULL if unreadable."""
-    def apply(b: Column, d: Column) -> list[Column]:
-        born, died = parse_any(b, layouts), parse_any(d, layouts)
-        died = clamp_future(clamp_order(died, born), as_of)
-        return [iso_text(clamp_future(born, as_of)), iso_text(died)]
-    return Fix("Dates_Corrected", "order, format and future dates repaired", (birth, death), apply)
+    def apply(born: Column, died: Column) -> list[Column]:
+        return [iso_text(clamp_future(born, as_of)), iso_text(clamp_future(clamp_order(died, born), as_of))]
+    return Fix("Dates_Corrected", "order, format and future dates repaired", (birth, death), apply,
+               lambda b, d: [parse_any(b, layouts), parse_any(d, layouts)])
 
 
 def fix_period(start: str, stop: str, layouts: Sequence[str]) -> Fix:
     """ISO dates; stop not before start; NULL if unreadable."""
-    def apply(a: Column, b: Column) -> list[Column]:
-        begin, end = parse_any(a, layouts), parse_any(b, layouts)
+    def apply(begin: Column, end: Column) -> list[Column]:
         return [iso_text(begin), iso_text(clamp_order(end, begin))]
-    return Fix("StartStop_Dates_Corrected", "order and format repaired", (start, stop), apply)
+    return Fix("StartStop_Dates_Corrected", "order and format repaired", (start, stop), apply,
+               lambda a, b: [parse_any(a, layouts), parse_any(b, layouts)])
 
 
 def fix_characters(name: str, unwanted: str) -> Fix:
@@ -123,19 +122,18 @@ def correct_marked(df: DataFrame, fixes: Sequence[Fix]) -> DataFrame:
         F.count(F.lit(1)).alias(_COPIES), F.count_if(F.col(_FILLED)).alias(_FILLED)
     )
 
-    new: dict[str, Column] = {}
-    flags: list[Column] = []
+    prepared, rows = prepare_fixes(distinct, usable)
+    new, flags = {}, []
     for i, fix in enumerate(usable):
         names = [resolve(df, c) for c in fix.columns]
-        old = [F.col(quoted(n)) for n in names]
-        fixed = list(fix.apply(*old))
+        fixed = list(fix.apply(*prepared[i]))
         new.update(zip(names, fixed))
         changed = F.lit(False)
-        for before, after in zip(old, fixed):
-            changed = changed | ~before.cast("string").eqNullSafe(after.cast("string"))
+        for name, after in zip(names, fixed):
+            changed = changed | ~F.col(quoted(name)).cast("string").eqNullSafe(after.cast("string"))
         flags.append(changed.alias(f"{_FIXED}{i}"))
-    fixed_rows = distinct.select(
-        *[new.get(c, F.col(quoted(c))).alias(c) for c in df.columns], _COPIES, _FILLED, *flags
+    fixed_rows = rows.select(
+        *[new[c].alias(c) if c in new else F.col(quoted(c)) for c in df.columns], _COPIES, _FILLED, *flags
     )
 
     texts = [f.name for f in fixed_rows.schema if isinstance(f.dataType, T.StringType)]
@@ -148,6 +146,26 @@ def correct_marked(df: DataFrame, fixes: Sequence[Fix]) -> DataFrame:
     )
 
 
+def prepare_fixes(df: DataFrame, fixes: Sequence[Fix]) -> tuple[list[list[Column]], DataFrame]:
+    """What each fix is applied to, and ``df`` with the prepared columns that some of them ask for."""
+    inputs, extra = [], {}
+    for i, fix in enumerate(fixes):
+        columns = [column(df, c) for c in fix.columns]
+        if fix.prepare is not None:
+            made = {f"__prepared{i}_{n}": c for n, c in enumerate(fix.prepare(*columns))}
+            extra.update(made)
+            columns = [F.col(name) for name in made]
+        inputs.append(columns)
+    return inputs, df.withColumns(extra) if extra else df
+
+
+def apply_fix(df: DataFrame, fix: Fix) -> DataFrame:
+    """A single fix, without the other steps of a correction."""
+    (inputs,), rows = prepare_fixes(df, [fix])
+    new = dict(zip([resolve(df, c) for c in fix.columns], fix.apply(*inputs)))
+    return rows.select(*[new[c].alias(c) if c in new else F.col(quoted(c)) for c in df.columns])
+
+
 def correction_log(
     marked: DataFrame, table: str, fixes: Sequence[Fix], dimension: str = "15C"
 ) -> DataFrame:
@@ -160,12 +178,11 @@ def correction_log(
         *[F.count_if(F.col(f"{_FIXED}{i}")).alias(f"f{i}") for i in range(len(usable))],
         F.count_if(F.col(_TRIMMED)).alias("trimmed"),
     )
-    before, after = F.col("before"), F.col("after")
     steps = [
-        ("Completeness_Auto_Fill", "missing values filled", F.col("filled"), before),
-        ("Exact_Duplicates_Removed", "duplicate rows removed", before - after, before),
-        *[(f.name, f.description, F.col(f"f{i}"), after) for i, f in enumerate(usable)],
-        ("Whitespace_Trimmed", "surrounding blanks removed", F.col("trimmed"), after),
+        ("Completeness_Auto_Fill", "missing values filled", "filled", "before"),
+        ("Exact_Duplicates_Removed", "duplicate rows removed", "before - after", "before"),
+        *[(f.name, f.description, f"f{i}", "after") for i, f in enumerate(usable)],
+        ("Whitespace_Trimmed", "surrounding blanks removed", "trimmed", "after"),
     ]
     return unfold(counted, [metric(table, dimension, n, text, e, t) for n, text, e, t in steps])
 

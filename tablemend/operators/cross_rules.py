@@ -40,6 +40,6 @@ def cross_profile(
         ],
     )
     return unfold(counted, [
-        metric(table, r.dimension, r.name, r.description, F.col(f"e{i}"), F.col("n"))
+        metric(table, r.dimension, r.name, r.description, f"e{i}", "n")
         for i, r in enumerate(rules)
     ])

@@ -98,10 +98,7 @@ def inject(df: DataFrame, steps: Sequence[Step], keys: Sequence[str | Column], d
         out = out.withColumn(_COPY, F.lit(0))
 
     def drawn(salt: int, rate: float, after_copy: bool) -> Column:
-        hit = draws.below(F.col(_SEED), salt, rate)
-        if not after_copy:
-            return hit
-        return F.when(F.col(_COPY) == 0, hit).otherwise(draws.below(F.col(_SEED), salt + _COPY_SALT, rate))
+        return draws.below(_SEED, f"{salt} + {_COPY_SALT} * {_COPY}" if after_copy else str(salt), rate)
 
     after_copy = False
     for step in steps:

@@ -1,11 +1,14 @@
-"""Metric rows: one struct per finding, unfolded from an aggregated row."""
+"""Metric rows, unfolded from an aggregated row.
+
+A finding is written as SQL text over the aggregated columns, so that the many
+findings of a table reach Spark as one expression.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from functools import reduce
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemend.constants import CHECKED, EMPTY, SKIPPED
@@ -13,45 +16,56 @@ from tablemend.functions.columns import percentage
 from tablemend.model import METRIC_COLUMNS, METRIC_SCHEMA
 
 
+def literal(value: str | None) -> str:
+    """A text as an SQL literal."""
+    if value is None:
+        return "cast(null as string)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def metric(
     table: str, dimension: str, rule: str | None, description: str,
-    errors: Column, total: Column, status: str = CHECKED,
-) -> Column:
-    """One metric row as a struct of the metric schema."""
-    errors, total = errors.cast("bigint"), total.cast("bigint")
-    return F.struct(
-        F.lit(table).alias("table_name"),
-        F.lit(dimension).alias("quality_dimension"),
-        F.lit(rule).cast("string").alias("rule_name"),
-        F.lit(description).alias("issue_description"),
-        errors.alias("error_count"),
-        total.alias("total_count"),
-        percentage(errors, total).alias("error_percentage"),
-        F.lit(status).alias("status"),
+    errors: str, total: str, status: str = CHECKED,
+) -> str:
+    """A metric row; ``errors`` and ``total`` are SQL over the aggregated columns."""
+    return (
+        f"named_struct('table_name', {literal(table)}, 'quality_dimension', {literal(dimension)}, "
+        f"'rule_name', {literal(rule)}, 'issue_description', {literal(description)}, "
+        f"'error_count', cast({errors} as bigint), 'total_count', cast({total} as bigint), "
+        f"'status', {literal(status)})"
     )
 
 
-def skipped(table: str, dimension: str, rule: str | None, description: str) -> Column:
+def skipped(table: str, dimension: str, rule: str | None, description: str) -> str:
     """A check that could not be made: no errors, no rows, so it weighs nothing in a share."""
-    zero = F.lit(0)
-    return metric(table, dimension, rule, description, zero, zero, SKIPPED)
+    return metric(table, dimension, rule, description, "0", "0", SKIPPED)
+
+
+def empty_table(table: str, dimension: str = "6V") -> str:
+    return metric(table, dimension, "Volume", "table has no rows", "0", "0", EMPTY)
 
 
-def empty_table(table: str, dimension: str = "6V") -> Column:
-    zero = F.lit(0)
-    return metric(table, dimension, "Volume", "table has no rows", zero, zero, EMPTY)
+def rows(findings: Sequence[str]) -> str:
+    return f"array({', '.join(findings)})"
 
 
-def unfold(df: DataFrame, structs: list[Column] | Column) -> DataFrame:
-    """One row per struct."""
-    array = F.array(*structs) if isinstance(structs, list) else structs
-    return df.select(F.inline(array)).select(*METRIC_COLUMNS)
+def unfold(df: DataFrame, findings: Sequence[str] | str) -> DataFrame:
+    """One row per finding; a text is an SQL array of findings."""
+    array = findings if isinstance(findings, str) else rows(findings)
+    share = percentage("error_count", "total_count").alias("error_percentage")
+    found = df.select(F.expr(f"inline({array})"))
+    return found.select(*[share if c == "error_percentage" else c for c in METRIC_COLUMNS])
 
 
-def metric_rows(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
+def metric_rows(spark: SparkSession, values: Iterable[tuple]) -> DataFrame:
     """Findings about metadata only (schemas, table names): a handful, made on the driver."""
-    return spark.createDataFrame(list(rows), METRIC_SCHEMA)
+    return spark.createDataFrame(list(values), METRIC_SCHEMA)
 
 
 def union_all(parts: Iterable[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    """All rows of frames with the same columns, paired up so that the plan stays shallow."""
+    frames = list(parts)
+    while len(frames) > 1:
+        pairs = [frames[i:i + 2] for i in range(0, len(frames), 2)]
+        frames = [p[0].unionByName(p[1]) if len(p) == 2 else p[0] for p in pairs]
+    return frames[0]

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ from tablemend.constants import INTEGRITY, UNKNOWN
 from tablemend.functions.columns import column, fold, resolve, text
 from tablemend.functions.predicates import effectively_empty
 from tablemend.model import Dataset, FkRule
-from tablemend.operators.metrics import metric, skipped, union_all, unfold
+from tablemend.operators.metrics import literal, metric, rows, skipped, union_all, unfold
 
 _PARENT = -1
 
@@ -51,33 +50,31 @@ def key_use_counts(
 
     tagged = [u.df.select(key(u.df, u.column).alias("key"), F.lit(i).alias("use")) for i, u in enumerate(uses)]
     known = parent.select(key(parent, parent_key).alias("key"), F.lit(_PARENT).alias("use"))
-    counts = [F.count_if(F.col("use") == i).alias(f"n{i}") for i in range(len(uses))]
-    per_key = (
-        reduce(DataFrame.unionByName, [*tagged, known.filter(F.col("key").isNotNull())])
-        .groupBy("key")
-        .agg(*counts, F.count_if(F.col("use") == _PARENT).alias("parents"))
+    per_key = union_all([*tagged, known.filter("key is not null")]).groupBy("key").agg(
+        *[F.expr(f"count_if(use = {i}) as n{i}") for i in range(len(uses))],
+        F.expr(f"count_if(use = {_PARENT}) as parents"),
     )
 
-    is_null = F.col("key").isNull()
     folded = sentinel.lower() if sentinel is not None and ignore_case else sentinel
-    is_sentinel = F.lit(False) if folded is None else ~is_null & (F.col("key") == folded)
-    found = ~is_null & ~is_sentinel & (F.col("parents") > 0)
-    lost = ~is_null & ~is_sentinel & (F.col("parents") == 0)
-    value = ~effectively_empty(F.col("key"))
-
+    is_sentinel = "false" if folded is None else f"key <=> {literal(folded)}"
     kinds = {
-        "total": F.lit(True), "null_keys": is_null, "sentinel_keys": is_sentinel,
-        "linked": found, "dangling": lost, "linked_value": found & value, "dangling_value": lost & value,
+        "total": "true", "null_keys": "key is null", "sentinel_keys": "marked",
+        "linked": "not marked and found", "dangling": "key is not null and not marked and not found",
+        "linked_value": "value and not marked and found", "dangling_value": "value and not marked and not found",
     }
-    sums = per_key.agg(*[
-        F.coalesce(F.sum(F.when(where, F.col(f"n{i}"))), F.lit(0)).cast("bigint").alias(f"{kind}{i}")
+    judged = per_key.select(
+        "*", F.expr(f"{is_sentinel} as marked"), F.expr("parents > 0 as found"),
+        (~effectively_empty(F.col("key"))).alias("value"),
+    )
+    sums = judged.agg(*[
+        F.expr(f"coalesce(sum(if({where}, n{i}, 0L)), 0L) as {kind}{i}")
         for i in range(len(uses)) for kind, where in kinds.items()
     ])
-    rows = [
-        F.struct(F.lit(u.label).alias("label"), *[F.col(f"{kind}{i}").alias(kind) for kind in kinds])
+    per_use = [
+        f"named_struct('label', {literal(u.label)}, " + ", ".join(f"'{kind}', {kind}{i}" for kind in kinds) + ")"
         for i, u in enumerate(uses)
     ]
-    return sums.select(F.inline(F.array(*rows)))
+    return sums.select(F.expr(f"inline({rows(per_use)})"))
 
 
 def by_parent(rules: Sequence[FkRule]) -> list[list[FkRule]]:
@@ -122,23 +119,22 @@ def fk_metrics(
             row = skipped(rule.table, dimension, shown(rule), f"not checked, {why}")
             parts.append(unfold(ds[rule.table].sparkSession.range(1), [row]))
 
-    errors = F.col("dangling") + F.col("null_keys") if nulls_are_orphans else F.col("dangling")
+    errors = "dangling + null_keys" if nulls_are_orphans else "dangling"
     for group in by_parent([r for r in rules if obstacle(r, ds, reference) is None]):
         uses = [KeyUse(str(i), ds[r.table], r.column) for i, r in enumerate(group)]
         counted = key_use_counts(
             uses, reference[group[0].ref_table], group[0].ref_column, ignore_case=ignore_case, sentinel=sentinel
         )
-        found = F.array()
+        cases = []
         for i, rule in enumerate(group):
-            rows = F.array(metric(rule.table, dimension, shown(rule), f"no such key in {rule.target}",
-                                  errors, F.col("total")))
+            lost = metric(rule.table, dimension, shown(rule), f"no such key in {rule.target}", errors, "total")
             if report_sentinel:
                 marked = metric(rule.table, dimension, f"{rule.column}_{sentinel}", f"marked as {sentinel}",
-                                F.col("sentinel_keys"), F.col("total"))
-                rows = F.when(F.col("sentinel_keys") > 0, F.concat(rows, F.array(marked))).otherwise(rows)
-            hit = F.col("label") == str(i)
-            found = F.when(hit, rows) if i == 0 else found.when(hit, rows)
-        parts.append(unfold(counted, found))
+                                "sentinel_keys", "total")
+                cases.append(f"when '{i}' then if(sentinel_keys > 0, {rows([lost, marked])}, {rows([lost])})")
+            else:
+                cases.append(f"when '{i}' then {rows([lost])}")
+        parts.append(unfold(counted, f"case label {' '.join(cases)} end"))
     return union_all(parts)
 
 
@@ -150,7 +146,7 @@ def empty_references(ds: Dataset, rules: Sequence[FkRule], dimension: str = "15C
         key = column(parent, group[0].ref_column)
         seen = parent.filter(key.isNotNull()).limit(1).agg(F.count(F.lit(1)).alias("keys"))
         warnings = [
-            metric(r.table, dimension, f"{r.column}_Ref_Table_Empty", f"{r.target} has no keys", F.lit(1), F.lit(1))
+            metric(r.table, dimension, f"{r.column}_Ref_Table_Empty", f"{r.target} has no keys", "1", "1")
             for r in group
         ]
         parts.append(unfold(seen.filter("keys = 0"), warnings))

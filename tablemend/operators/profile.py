@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tablemend.functions.columns import column, resolve
 from tablemend.model import ColumnRule, Rule
-from tablemend.operators.metrics import empty_table, metric, skipped, union_all, unfold
+from tablemend.operators.metrics import empty_table, metric, rows, skipped, union_all, unfold
 
 # A wider aggregation outgrows generated code; the rest goes to a further pass,
 # which reads other columns of a columnar table.
@@ -64,16 +64,15 @@ def profile(
                     f"not checked, column missing: {expanded[i].description}")
             if tests[i] is None
             else metric(table, expanded[i].dimension, expanded[i].name, expanded[i].description,
-                        F.col(f"e{i}"), F.col("n"))
+                        f"e{i}", "n")
             for i in chunk
         ]
         # The volume row comes once, from the first pass.
         if n:
             parts.append(unfold(counted.filter("n > 0"), found))
         else:
-            volume = F.array(empty_table(table, volume_dimension))
-            rows = F.when(F.col("n") == 0, volume)
-            parts.append(unfold(counted, rows.otherwise(F.array(*found)) if found else rows))
+            volume = rows([empty_table(table, volume_dimension)])
+            parts.append(unfold(counted, f"if(n = 0, {volume}, {rows(found) if found else 'null'})"))
     return union_all(parts)
 
 

@@ -145,7 +145,7 @@ def fix_log(ds: Dataset, specs: Mapping[str, TableSpec], dimension: str = "Integ
             )
             parts.append(unfold(counted, [
                 metric(name, dimension, f"{n}_Format_Corrected", f"no UUID, set to {UNKNOWN}",
-                       F.col(f"e{i}"), F.col("n"))
+                       f"e{i}", "n")
                 for i, n in enumerate(names)
             ]))
     clean = {
@@ -184,5 +184,5 @@ def impute_candidates(
     )
     return unfold(counted, [
         metric(rule.table, dimension, f"{rule.column}_Imputation_from_Encounter",
-               f"missing, but known through {via.column}→{via.table}.{via.key}", F.col("e"), F.col("n"))
+               f"missing, but known through {via.column}→{via.table}.{via.key}", "e", "n")
     ])

@@ -23,7 +23,8 @@ def dimension_share(metrics: DataFrame) -> DataFrame:
     return (
         metrics.filter(F.col("total_count") > 0)
         .groupBy("table_name", "quality_dimension")
-        .agg(percentage(F.sum("error_count"), F.sum("total_count")).alias("error_percentage"))
+        .agg(F.sum("error_count").alias("errors"), F.sum("total_count").alias("total"))
+        .select("table_name", "quality_dimension", percentage("errors", "total").alias("error_percentage"))
         .orderBy("table_name", "quality_dimension")
     )
 
@@ -130,7 +131,7 @@ def before_after(before: DataFrame, after: DataFrame, key: Sequence[str] = KEY)
             F.sum("error_count").alias(f"errors_{suffix}"), F.sum("total_count").alias(f"total_{suffix}")
         ).select(
             *[F.col(k).alias(f"{k}_{suffix}") for k in key], f"errors_{suffix}", f"total_{suffix}",
-            percentage(F.col(f"errors_{suffix}"), F.col(f"total_{suffix}")).alias(f"pct_{suffix}"),
+            percentage(f"errors_{suffix}", f"total_{suffix}").alias(f"pct_{suffix}"),
         )
 
     old, new = shown(before, "before"), shown(after, "after")

@@ -31,7 +31,7 @@ def unknown_codes(
     numeric = df.select(F.when(text(c).rlike(DIGITS_PATTERN), text(c)).alias("code"))
     counted = key_use_counts([KeyUse(table, numeric, "code")], codes, list_code, ignore_case=False)
     return unfold(counted, [
-        metric(table, dimension, rule, "numeric code not in the code list", F.col("dangling"), F.col("total"))
+        metric(table, dimension, rule, "numeric code not in the code list", "dangling", "total")
     ])
 
 
@@ -61,5 +61,5 @@ def suggested_codes(
     """How many rows have a suggestion."""
     counted = matched_rows(df, _to_suggest(df, code, description), codes, F.col(SUGGESTED).isNotNull(), limit)
     return unfold(counted, [
-        metric(table, dimension, rule, "code known from the description", F.col("e"), F.col("n"))
+        metric(table, dimension, rule, "code known from the description", "e", "n")
     ])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablemend.constants import CHECKED
 from tablemend.functions.columns import resolve
 from tablemend.model import Dataset, DomainSpec, TableSpec
-from tablemend.operators.metrics import empty_table, metric, metric_rows, union_all, unfold
+from tablemend.operators.metrics import empty_table, metric, metric_rows, rows, union_all, unfold
 
 UNDETERMINED = "Nenoteikts"
 
@@ -30,9 +30,8 @@ def volumes(ds: Dataset, dimension: str = "6V") -> DataFrame:
     parts = []
     for name, df in ds.items():
         counted = df.agg(F.count(F.lit(1)).alias("n"))
-        full = metric(name, dimension, "Volume", "table has rows", F.lit(0), F.col("n"))
-        rows = F.when(F.col("n") == 0, F.array(empty_table(name, dimension))).otherwise(F.array(full))
-        parts.append(unfold(counted, rows))
+        full = metric(name, dimension, "Volume", "table has rows", "0", "n")
+        parts.append(unfold(counted, f"if(n = 0, {rows([empty_table(name, dimension)])}, {rows([full])})"))
     return union_all(parts)
 
 
@@ -54,11 +53,11 @@ def schema_drift(ds: Dataset, specs: Mapping[str, TableSpec]) -> DataFrame:
 
     Only schemas are looked at, so nothing is read.  Names are compared without case.
     """
-    rows = []
+    findings = []
 
     def found(table: str, dimension: str, rule: str, text: str, errors: int, total: int) -> None:
         pct = round(errors / total * 100, 2) if total else 0.0
-        rows.append((table, dimension, rule, text, errors, total, pct, CHECKED))
+        findings.append((table, dimension, rule, text, errors, total, pct, CHECKED))
 
     for name, df in ds.items():
         spec = specs.get(name)
@@ -77,4 +76,4 @@ def schema_drift(ds: Dataset, specs: Mapping[str, TableSpec]) -> DataFrame:
         extra = [c for c in df.columns if c.lower() not in known]
         if extra:
             found(name, "5SV", "Unexpected Columns", f"not declared: {', '.join(extra)}", len(extra), len(df.columns))
-    return metric_rows(next(iter(ds.values())).sparkSession, rows)
+    return metric_rows(next(iter(ds.values())).sparkSession, findings)

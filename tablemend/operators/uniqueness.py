@@ -41,7 +41,7 @@ def duplicate_rows(
 ) -> DataFrame:
     """Rows beyond the first of their kind (total - distinct); an empty table gives no metric."""
     counted = _surplus(row_groups(df, by_digest)).filter("n > 0")
-    return unfold(counted, [metric(table, dimension, rule, description, F.col("surplus"), F.col("n"))])
+    return unfold(counted, [metric(table, dimension, rule, description, "surplus", "n")])
 
 
 def duplicate_keys(df: DataFrame, table: str, key: Sequence[str], dimension: str = UNIQUENESS) -> DataFrame:
@@ -51,7 +51,7 @@ def duplicate_keys(df: DataFrame, table: str, key: Sequence[str], dimension: str
     )
     return unfold(
         _surplus(groups).filter("n > 0"),
-        [metric(table, dimension, "+".join(key), "repeated primary key", F.col("surplus"), F.col("n"))],
+        [metric(table, dimension, "+".join(key), "repeated primary key", "surplus", "n")],
     )
 
 

@@ -149,7 +149,7 @@ def correct_with_log(
             chained = {r.column for r in spec.fk_rules if r.via is not None}
             counted = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(quoted(k))).alias(k) for k in keys])
             logs.append(unfold(counted, [
-                metric(name, "15C", _rekeyed(k, chained), "foreign key repaired", F.col(quoted(k)), F.col("n"))
+                metric(name, "15C", _rekeyed(k, chained), "foreign key repaired", quoted(k), "n")
                 for k in keys
             ]))
     corrected = {name: rows.select(*[quoted(c) for c in ds[name].columns]) for name, rows in staged.items()}

@@ -8,14 +8,15 @@ are injected with arithmetic draws, which SQL can repeat.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tablemend.functions.draws import ArithmeticDraws
 from tablemend.model import Dataset
 from tablemend.operators.inject import inject
 from tablemend.plans import synthea
 
+Star = dict[str, DataFrame]
+
 AS_OF = "2003-06-01"
 
 DESCRIPTIONS = [
@@ -31,107 +32,103 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _text(c: Column) -> Column:
-    return c.cast("string")
+def _uuid(head: str, key: str) -> str:
+    return f"concat('{head}000000-0000-4000-8000-', lpad(cast({key} as string), 12, '0'))"
 
 
-def _uuid(head: str, key: Column) -> Column:
-    return F.concat(F.lit(f"{head}000000-0000-4000-8000-"), F.lpad(_text(key), 12, "0"))
+def _day(date: str) -> str:
+    return f"date_format({date}, 'yyyy-MM-dd')"
 
 
-def _day(d: Column) -> Column:
-    return F.date_format(d, "yyyy-MM-dd")
+def _stamp(date: str) -> str:
+    return f"concat({_day(date)}, 'T00:00:00Z')"
 
 
-def _stamp(d: Column) -> Column:
-    return F.concat(_day(d), F.lit("T00:00:00Z"))
+def _texts(values) -> str:
+    return "array(" + ", ".join("'" + v + "'" for v in values) + ")"
 
 
-def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    born = F.date_add(F.lit("1930-01-01").cast("date"), (k * 7919 % 33000).cast("int"))
-    died = F.date_add(born, (20000 + k % 7000).cast("int"))
-    return table(spark, sf_dir, "customer").select(
+def patients(tables: Star) -> DataFrame:
+    born = "date_add(date'1930-01-01', cast(c_custkey * 7919 % 33000 as int))"
+    died = f"date_add({born}, cast(20000 + c_custkey % 7000 as int))"
+    return tables["customer"].selectExpr(
         "c_custkey",
-        _uuid("ac", k).alias("ID"),
-        _day(born).alias("BIRTHDATE"),
-        F.when(k % 5 == 0, _day(died)).alias("DEATHDATE"),
-        F.when(k % 4 == 0, F.concat(F.lit("999"), F.lpad(_text(k % 1000000), 6, "0")))
-        .otherwise(F.concat(F.lit("999-"), F.lpad(_text(k % 100), 2, "0"), F.lit("-"),
-                            F.lpad(_text(k % 10000), 4, "0"))).alias("SSN"),
-        F.when(k % 6 == 0, F.concat(F.lit("S 99#"), _text(k))).when(k % 7 != 0, F.concat(F.lit("S99-"), _text(k)))
-        .alias("DRIVERS"),
-        F.when(k % 9 == 0, F.concat(F.lit("  "), F.col("c_name"), F.lit(" "))).otherwise(F.col("c_name"))
-        .alias("FIRST"),
-        F.when(k % 11 == 0, F.lit("")).otherwise(F.col("c_mktsegment")).alias("MARITAL"),
-        F.when(k % 2 == 0, F.lit("M")).when(k % 13 == 0, F.lit("f")).otherwise(F.lit("F")).alias("GENDER"),
+        f"{_uuid('ac', 'c_custkey')} as ID",
+        f"{_day(born)} as BIRTHDATE",
+        f"case when c_custkey % 5 = 0 then {_day(died)} end as DEATHDATE",
+        """case when c_custkey % 4 = 0 then concat('999', lpad(cast(c_custkey % 1000000 as string), 6, '0'))
+           else concat('999-', lpad(cast(c_custkey % 100 as string), 2, '0'), '-',
+                       lpad(cast(c_custkey % 10000 as string), 4, '0')) end as SSN""",
+        """case when c_custkey % 6 = 0 then concat('S 99#', c_custkey)
+           when c_custkey % 7 <> 0 then concat('S99-', c_custkey) end as DRIVERS""",
+        "if(c_custkey % 9 = 0, concat('  ', c_name, ' '), c_name) as FIRST",
+        "if(c_custkey % 11 = 0, '', c_mktsegment) as MARITAL",
+        "case when c_custkey % 2 = 0 then 'M' when c_custkey % 13 = 0 then 'f' else 'F' end as GENDER",
     )
 
 
-def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
-    return table(spark, sf_dir, "orders").select(
+def encounters(tables: Star) -> DataFrame:
+    day = "cast(o_orderdate as date)"
+    return tables["orders"].selectExpr(
         "o_orderkey",
-        _uuid("bd", k).alias("ID"),
-        _stamp(day).alias("START"),
-        _stamp(F.date_add(day, (k % 5).cast("int") - 1)).alias("STOP"),
-        _uuid("ac", F.col("o_custkey")).alias("PATIENT"),
-        F.when(k % 17 == 0, F.lit("n/a")).otherwise(F.col("o_orderpriority")).alias("ENCOUNTERCLASS"),
-        F.when(k % 19 == 0, F.concat(F.lit("A "), _text(k % 1000))).otherwise(_text(100000 + k % 900000))
-        .alias("CODE"),
-        F.col("o_orderstatus").alias("DESCRIPTION"),
+        f"{_uuid('bd', 'o_orderkey')} as ID",
+        f"{_stamp(day)} as START",
+        f"{_stamp(f'date_add({day}, cast(o_orderkey % 5 as int) - 1)')} as STOP",
+        f"{_uuid('ac', 'o_custkey')} as PATIENT",
+        "if(o_orderkey % 17 = 0, 'n/a', o_orderpriority) as ENCOUNTERCLASS",
+        """if(o_orderkey % 19 = 0, concat('A ', o_orderkey % 1000),
+           cast(100000 + o_orderkey % 900000 as string)) as CODE""",
+        "o_orderstatus as DESCRIPTION",
     )
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with the customer of their order and a key for the draws."""
-    owner = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    return table(spark, sf_dir, "lineitem").join(owner, "l_orderkey").withColumn(
-        "line_key", F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    )
+def _lines(tables: Star) -> DataFrame:
+    """Line items with the customer of their order."""
+    owner = tables["orders"].selectExpr("o_orderkey as l_orderkey", "o_custkey")
+    return tables["lineitem"].join(owner, "l_orderkey")
+
 
+_LINE_KEY = "l_orderkey * 8 + l_linenumber as line_key"
+_SHIPPED = "cast(l_shipdate as date)"
 
-def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day, line, part = F.col("l_shipdate").cast("date"), F.col("l_linenumber"), F.col("l_partkey")
-    names = F.array(*[F.lit(d) for d in DESCRIPTIONS])
-    codes = F.array(*[F.lit(c) for c in synthea.CODE_LIST.values()])
-    nth = (part % len(DESCRIPTIONS)).cast("int")
-    encounter = _uuid("bd", F.col("l_orderkey"))
-    return _lines(spark, sf_dir).select(
-        "line_key",
-        _day(day).alias("START"),
-        F.when(line % 3 != 0, _day(F.date_add(day, F.col("l_quantity").cast("int")))).alias("STOP"),
-        _uuid("ac", F.col("o_custkey")).alias("PATIENT"),
-        F.when(line == 2, F.upper(encounter)).otherwise(encounter).alias("ENCOUNTER"),
-        F.when((part % 4 == 0) & (nth < len(synthea.CODE_LIST)), F.try_element_at(codes, nth + 1))
-        .otherwise(_text(part)).alias("CODE"),
-        F.element_at(names, nth + 1).alias("DESCRIPTION"),
+
+def conditions(tables: Star) -> DataFrame:
+    n, known, encounter = len(DESCRIPTIONS), len(synthea.CODE_LIST), _uuid("bd", "l_orderkey")
+    return _lines(tables).selectExpr(
+        _LINE_KEY,
+        f"{_day(_SHIPPED)} as START",
+        f"case when l_linenumber % 3 <> 0 then {_day(f'date_add({_SHIPPED}, cast(l_quantity as int))')} end as STOP",
+        f"{_uuid('ac', 'o_custkey')} as PATIENT",
+        f"if(l_linenumber = 2, upper({encounter}), {encounter}) as ENCOUNTER",
+        f"""case when l_partkey % 4 = 0 and l_partkey % {n} < {known}
+            then try_element_at({_texts(synthea.CODE_LIST.values())}, cast(l_partkey % {n} as int) + 1)
+            else cast(l_partkey as string) end as CODE""",
+        f"element_at({_texts(DESCRIPTIONS)}, cast(l_partkey % {n} as int) + 1) as DESCRIPTION",
     )
 
 
-def medications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day, line = F.col("l_shipdate").cast("date"), F.col("l_linenumber")
-    return _lines(spark, sf_dir).select(
-        "line_key",
-        _stamp(day).alias("START"),
-        F.when(line % 4 != 0, _stamp(F.date_add(day, F.col("l_quantity").cast("int") - 3))).alias("STOP"),
-        _uuid("ac", F.col("o_custkey")).alias("PATIENT"),
-        _uuid("bd", F.col("l_orderkey")).alias("ENCOUNTER"),
-        _text(F.col("l_suppkey")).alias("CODE"),
-        F.col("l_returnflag").alias("DESCRIPTION"),
+def medications(tables: Star) -> DataFrame:
+    stop = _stamp(f"date_add({_SHIPPED}, cast(l_quantity as int) - 3)")
+    return _lines(tables).selectExpr(
+        _LINE_KEY,
+        f"{_stamp(_SHIPPED)} as START",
+        f"case when l_linenumber % 4 <> 0 then {stop} end as STOP",
+        f"{_uuid('ac', 'o_custkey')} as PATIENT",
+        f"{_uuid('bd', 'l_orderkey')} as ENCOUNTER",
+        "cast(l_suppkey as string) as CODE",
+        "l_returnflag as DESCRIPTION",
     )
 
 
-def allergies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day, line = F.col("l_shipdate").cast("date"), F.col("l_linenumber")
-    return _lines(spark, sf_dir).select(
-        "line_key",
-        _day(day).alias("START"),
-        F.when(line == 1, _day(F.date_add(day, 30))).alias("STOP"),
-        _uuid("ac", F.col("o_custkey")).alias("PATIENT"),
-        _uuid("bd", F.col("l_orderkey")).alias("ENCOUNTER"),
-        F.concat(_text(F.col("l_suppkey")), F.lit("-"), F.col("l_linestatus")).alias("CODE"),
-        F.when(line % 2 == 0, F.lit("allergy")).otherwise(F.lit("intolerance")).alias("TYPE"),
+def allergies(tables: Star) -> DataFrame:
+    return _lines(tables).selectExpr(
+        _LINE_KEY,
+        f"{_day(_SHIPPED)} as START",
+        f"case when l_linenumber = 1 then {_day(f'date_add({_SHIPPED}, 30)')} end as STOP",
+        f"{_uuid('ac', 'o_custkey')} as PATIENT",
+        f"{_uuid('bd', 'l_orderkey')} as ENCOUNTER",
+        "concat(l_suppkey, '-', l_linestatus) as CODE",
+        "if(l_linenumber % 2 = 0, 'allergy', 'intolerance') as TYPE",
     )
 
 
@@ -144,16 +141,22 @@ _BUILDERS = {
 }
 
 
+def _star(spark: SparkSession, sf_dir: str) -> Star:
+    return {n: table(spark, sf_dir, n) for n in ("customer", "orders", "lineitem")}
+
+
 def clean(spark: SparkSession, sf_dir: str, *names: str) -> Dataset:
     """The tables without defects (all five, or those named)."""
-    return {n: _BUILDERS[n][0](spark, sf_dir).drop(_BUILDERS[n][1]) for n in names or _BUILDERS}
+    tables = _star(spark, sf_dir)
+    return {n: _BUILDERS[n][0](tables).drop(_BUILDERS[n][1]) for n in names or _BUILDERS}
 
 
 def dirty(spark: SparkSession, sf_dir: str, *names: str) -> Dataset:
     """The tables with the defects of the injection plan."""
+    tables = _star(spark, sf_dir)
     plans = {p.table: p for p in synthea.INJECTION}
     out = {}
     for n in names or _BUILDERS:
         build, key = _BUILDERS[n]
-        out[n] = inject(build(spark, sf_dir), plans[n].steps, [key], ArithmeticDraws()).drop(key)
+        out[n] = inject(build(tables), plans[n].steps, [key], ArithmeticDraws()).drop(key)
     return out

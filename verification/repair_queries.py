@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tablemend.constants import UNKNOWN
 from tablemend.functions.dates import EUROPEAN, ISO
-from tablemend.model import Fix
 from tablemend.operators import correct as C
 from tablemend.operators.integrity_report import integrity_report
 from tablemend.operators.metrics import union_all
@@ -22,12 +21,20 @@ from tablemend.operators.uniqueness import drop_duplicate_rows
 from tablemend.plans import pipeline, synthea
 from tablemend.sources.discovery import discover
 from tablemend.sources.readers import read_text
-from tablemend.sources.sinks import checkpoint_folder, offending_sample, write_corrupted, write_table
+from tablemend.sources.sinks import (
+    checkpoint_folder, offending_sample, stage_dataset, write_corrupted, write_table,
+)
 from verification import clinic
 from verification import sql as S
 from verification.catalog import query
 from verification.profile_queries import specs
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder for files of a query, in the shared checkpoint folder if there is one."""
+    shared = checkpoint_folder(spark)
+    return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tables-")
+
+
 # --- one correction at a time ------------------------------------------------
 
 
@@ -38,11 +45,6 @@ def _rows(table: str, **replaced: str) -> str:
     ) + f" FROM {table}"
 
 
-def _one_fix(df: DataFrame, fix: Fix) -> DataFrame:
-    """The rows with a single fix applied, without the other steps of a correction."""
-    return df.withColumns(dict(zip(fix.columns, fix.apply(*[F.col(c) for c in fix.columns]))))
-
-
 def _iso(d: str) -> str:
     return f"CAST({d} AS VARCHAR)"
 
@@ -98,19 +100,19 @@ def correct_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("correct_domain", S.with_(S.ctes("patients"), _rows("patients", GENDER=sql_gender("GENDER"))))
 def correct_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _one_fix(clinic.dirty(spark, sf_dir, "patients")["patients"], C.fix_gender())
+    return C.apply_fix(clinic.dirty(spark, sf_dir, "patients")["patients"], C.fix_gender())
 
 
 @query("correct_life_dates", S.with_(S.ctes("patients"), _rows("patients", **sql_life_dates())))
 def correct_life_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     fix = C.fix_life_dates("BIRTHDATE", "DEATHDATE", synthea.BIRTH_LAYOUTS, F.lit(clinic.AS_OF).cast("date"))
-    return _one_fix(clinic.dirty(spark, sf_dir, "patients")["patients"], fix)
+    return C.apply_fix(clinic.dirty(spark, sf_dir, "patients")["patients"], fix)
 
 
 @query("correct_dates", S.with_(S.ctes("conditions"), _rows("conditions", **sql_period())))
 def correct_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     fix = C.fix_period("START", "STOP", synthea.PERIOD_LAYOUTS)
-    return _one_fix(clinic.dirty(spark, sf_dir, "conditions")["conditions"], fix)
+    return C.apply_fix(clinic.dirty(spark, sf_dir, "conditions")["conditions"], fix)
 
 
 _TWO = ("compact", "iso", "eu")
@@ -121,26 +123,26 @@ _TWO = ("compact", "iso", "eu")
     STOP=_iso(_clamped(S.any_day("STOP", *_TWO), S.any_day("START", *_TWO))))))
 def correct_dates_without_dotted(spark: SparkSession, sf_dir: str) -> DataFrame:
     fix = C.fix_period("START", "STOP", ("yyyyMMdd", ISO, EUROPEAN))
-    return _one_fix(clinic.dirty(spark, sf_dir, "conditions")["conditions"], fix)
+    return C.apply_fix(clinic.dirty(spark, sf_dir, "conditions")["conditions"], fix)
 
 
 @query("correct_digits", S.with_(S.ctes("patients"), _rows(
     "patients", SSN=sql_keep("SSN", "[^0-9]"), DRIVERS=sql_keep("DRIVERS", "[^A-Za-z0-9-]"))))
 def correct_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _one_fix(clinic.dirty(spark, sf_dir, "patients")["patients"], C.fix_characters("SSN", "[^0-9]"))
-    return _one_fix(df, C.fix_characters("DRIVERS", "[^A-Za-z0-9-]"))
+    df = C.apply_fix(clinic.dirty(spark, sf_dir, "patients")["patients"], C.fix_characters("SSN", "[^0-9]"))
+    return C.apply_fix(df, C.fix_characters("DRIVERS", "[^A-Za-z0-9-]"))
 
 
 @query("correct_code", S.with_(S.ctes("encounters"), _rows("encounters", CODE=sql_code("CODE"))))
 def correct_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _one_fix(clinic.dirty(spark, sf_dir, "encounters")["encounters"], C.fix_numeric_code())
+    return C.apply_fix(clinic.dirty(spark, sf_dir, "encounters")["encounters"], C.fix_numeric_code())
 
 
 @query("correct_ids", S.with_(S.ctes("encounters"), _rows(
     "encounters", ID=sql_identifier("ID"), PATIENT=sql_identifier("PATIENT"))))
 def correct_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = clinic.dirty(spark, sf_dir, "encounters")["encounters"]
-    return _one_fix(_one_fix(df, C.fix_identifier("ID")), C.fix_identifier("PATIENT"))
+    return C.apply_fix(C.apply_fix(df, C.fix_identifier("ID")), C.fix_identifier("PATIENT"))
 
 
 @query("correct_trim", S.with_(S.ctes("patients"), "SELECT " + ", ".join(
@@ -376,7 +378,8 @@ def _integrity_sql() -> list[str]:
 
 @query("integrity_report", S.with_(LINKED_CTES, S.union(_integrity_sql())))
 def report_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity_report(repair_integrity(clinic.dirty(spark, sf_dir), specs()), specs())
+    linked_tables = stage_dataset(repair_integrity(clinic.dirty(spark, sf_dir), specs()), _folder(spark))
+    return integrity_report(linked_tables, specs())
 
 
 # --- correction with key repair, and what is left ----------------------------
@@ -428,7 +431,7 @@ def _post_sql() -> list[str]:
 
 @query("post_correction_metrics", S.with_(CORRECTED_CTES, S.union(_post_sql())))
 def post_correction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corrected = pipeline.correct_dataset(clinic.dirty(spark, sf_dir), specs())
+    corrected = stage_dataset(pipeline.correct_dataset(clinic.dirty(spark, sf_dir), specs()), _folder(spark))
     return pipeline.assess_corrected(corrected, specs())
 
 
@@ -451,12 +454,6 @@ for _t in ("encounters", "conditions"):
 
 # --- sinks and sources -------------------------------------------------------
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder for files of a query, in the shared checkpoint folder if there is one."""
-    shared = checkpoint_folder(spark)
-    return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tables-")
-
-
 def _round_trip(fmt: str) -> None:
     @query(f"sink_roundtrip_{fmt}", S.with_(S.ctes("conditions"), "SELECT * FROM conditions"))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
