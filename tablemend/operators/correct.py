@@ -77,7 +77,7 @@ def fix_characters(name: str, unwanted: str) -> Fix:
     """Remove the characters matched by ``unwanted``; nothing left is an invalid format."""
     def apply(c: Column) -> list[Column]:
         kept = F.regexp_replace(c, unwanted, "")
-        return [F.when(kept == "", F.lit(INVALID_FORMAT)).otherwise(kept)]
+        return [F.when((kept == "") | (c == INVALID_FORMAT), F.lit(INVALID_FORMAT)).otherwise(kept)]
     return Fix(f"{name}_Format_Corrected", f"{unwanted} removed", (name,), apply)
 
 

@@ -26,6 +26,8 @@ _SLICES = "__slices"
 # The sketch keeps this many heavy keys; also the bound on what the driver sees.
 HEAVY_KEYS = 2000
 _SKETCH_ITEMS = 50_000
+# Slices per task's worth of rows: small ones even out over the tasks they are hashed to.
+_FINENESS = 8
 
 _UNITS = {"": 1, "b": 1, "k": 2**10, "kb": 2**10, "m": 2**20, "mb": 2**20,
           "g": 2**30, "gb": 2**30, "t": 2**40, "tb": 2**40}
@@ -73,15 +75,20 @@ def known_keys(df: DataFrame, name: str, marker: str) -> Lookup:
     return Lookup(keys.rows.withColumn(marker, F.lit(True)), keys.bytes_bound)
 
 
+def _slice_limit(spark: SparkSession) -> int:
+    """The slices into which a key that every row has would be cut."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions")) * _FINENESS
+
+
 def heavy_keys(df: DataFrame, key: Column) -> DataFrame | None:
-    """Keys that outweigh an even share of the shuffle, with the slices to cut them into.
+    """Keys that hold a noticeable part of a task's share, with the slices to cut them into.
 
     The sketch is merged from one per task and at most ``HEAVY_KEYS`` entries
     reach the driver, which pins them down, so that both sides of the join slice
     alike.  It steers the layout only: a key it misses is still joined, in one slice.
     """
     spark = df.sparkSession
-    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lanes = _slice_limit(spark)
     keyed = df.select(key.alias(KEY)).filter(F.col(KEY).isNotNull())
     sketch = F.expr(f"approx_top_k({KEY}, {HEAVY_KEYS}, {_SKETCH_ITEMS})")
     row = keyed.agg(sketch.alias("top"), F.count(F.lit(1)).alias("n")).first()
@@ -108,7 +115,7 @@ def attach(
     if facts.bytes_bound <= limit:
         return keyed.join(F.broadcast(facts.rows), KEY, "left").select(*columns, *facts.facts)
 
-    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lanes = _slice_limit(spark)
     heavy = heavy_keys(df if source is None else source, key)
     left, right = keyed, facts.rows
     if heavy is not None:

@@ -23,14 +23,15 @@ CHANGED_PREFIX = "__rekeyed_"
 
 def sanitize_identifiers(df: DataFrame, names: Sequence[str], sentinel: str = UNKNOWN) -> DataFrame:
     """Replace whatever is no UUID in the named text columns by ``sentinel``."""
-    found = _identifier_columns(df, names)
+    found = _identifier_columns(df, names).values()
     return df.withColumns({
         n: F.when(invalid_uuid(F.col(quoted(n))), F.lit(sentinel)).otherwise(F.col(quoted(n))) for n in found
     }) if found else df
 
 
-def _identifier_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
-    return [require(df, n) for n in names if resolve(df, n) and is_text(df, n)]
+def _identifier_columns(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
+    """The text columns among the named ones, under their names in ``df``."""
+    return {n: require(df, n) for n in names if resolve(df, n) and is_text(df, n)}
 
 
 def parents_through(
@@ -137,11 +138,11 @@ def fix_log(ds: Dataset, specs: Mapping[str, TableSpec], dimension: str = "Integ
     """
     parts = []
     for name, df in ds.items():
-        names = _identifier_columns(df, specs[name].identifiers) if name in specs else []
+        names = _identifier_columns(df, specs[name].identifiers) if name in specs else {}
         if names:
             counted = df.agg(
                 F.count(F.lit(1)).alias("n"),
-                *[F.count_if(invalid_uuid(F.col(quoted(n)))).alias(f"e{i}") for i, n in enumerate(names)],
+                *[F.count_if(invalid_uuid(F.col(quoted(n)))).alias(f"e{i}") for i, n in enumerate(names.values())],
             )
             parts.append(unfold(counted, [
                 metric(name, dimension, f"{n}_Format_Corrected", f"no UUID, set to {UNKNOWN}",
