@@ -55,3 +55,4 @@ SEVERITY_LEVELS = ((10.0, "critical"), (5.0, "warning"), (1.0, "recommended"))
 CHECKED = "checked"
 SKIPPED = "skipped"
 EMPTY = "empty"
+FAILED = "failed"

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemend.constants import CHECKED, EMPTY, SKIPPED
+from tablemend.constants import CHECKED, EMPTY, FAILED, SKIPPED
 from tablemend.functions.columns import percentage
 from tablemend.model import METRIC_COLUMNS, METRIC_SCHEMA
 
@@ -62,6 +62,18 @@ def metric_rows(spark: SparkSession, values: Iterable[tuple]) -> DataFrame:
     return spark.createDataFrame(list(values), METRIC_SCHEMA)
 
 
+def isolated(spark: SparkSession, table: str, frame: DataFrame, dimension: str = "6V") -> DataFrame:
+    """The metrics of one table, measured now; a failure becomes a volume row instead of an error.
+
+    Metrics have a row per rule, so what the driver holds does not grow with the table.
+    """
+    try:
+        return metric_rows(spark, [tuple(r) for r in frame.collect()])
+    except Exception as error:
+        reason = str(error).strip().splitlines()[0][:500]
+        return metric_rows(spark, [(table, dimension, "Volume", f"rows cannot be read: {reason}", 0, 0, 0.0, FAILED)])
+
+
 def union_all(parts: Iterable[DataFrame]) -> DataFrame:
     """All rows of frames with the same columns, paired up so that the plan stays shallow."""
     frames = list(parts)

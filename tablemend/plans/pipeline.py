@@ -14,15 +14,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemend.constants import MISSING_FK
+from tablemend.constants import FAILED, MISSING_FK
 from tablemend.functions.columns import quoted
 from tablemend.model import Dataset, FkRule, TableSpec
 from tablemend.operators import report
 from tablemend.operators.correct import correct, correct_marked, correction_log
 from tablemend.operators.cross_rules import cross_profile
 from tablemend.operators.integrity_report import integrity_report
-from tablemend.operators.metrics import metric, skipped, union_all, unfold
-from tablemend.operators.orphans import empty_references, fk_metrics
+from tablemend.operators.metrics import isolated, metric, skipped, union_all, unfold
+from tablemend.operators.orphans import empty_references, fk_metrics, obstacle
 from tablemend.operators.profile import profile
 from tablemend.operators.repair import (
     CHANGED_PREFIX, MARK_MISSING, fix_log, impute_candidates, repair_integrity, repair_keys,
@@ -35,13 +35,22 @@ from tablemend.sources.sinks import stage_dataset, write_dataset
 
 
 def profile_dataset(
-    ds: Dataset, specs: Mapping[str, TableSpec], fks: Sequence[FkRule] = synthea.PROFILE_FKS
+    ds: Dataset, specs: Mapping[str, TableSpec], fks: Sequence[FkRule] = synthea.PROFILE_FKS,
+    isolate: bool = False,
 ) -> DataFrame:
-    """Completeness, duplicates, accuracy, timeliness, validity and key integrity."""
+    """Completeness, duplicates, accuracy, timeliness, validity and key integrity.
+
+    With ``isolate`` the tables are measured at once, one after the other, and a
+    table that cannot be read is reported and left out instead of failing the run.
+    """
     parts = []
     for name, df in ds.items():
         rules = specs[name].profile_rules if name in specs else synthea.profile_rules()
-        parts += [profile(df, name, rules), duplicate_rows(df, name, description="Rindu dublikāti")]
+        own = profile(df, name, rules).unionByName(duplicate_rows(df, name, description="Rindu dublikāti"))
+        parts.append(isolated(df.sparkSession, name, own) if isolate else own)
+    if isolate:
+        failed = {r["table_name"] for p in parts for r in p.filter(F.col("status") == FAILED).collect()}
+        ds = {name: df for name, df in ds.items() if name not in failed}
     usable = [r for r in fks if r.table in ds and r.ref_table in ds]
     if usable:
         parts.append(fk_metrics(ds, usable, nulls_are_orphans=True, ignore_case=False))
@@ -152,10 +161,21 @@ def correct_with_log(
                 metric(name, "15C", _rekeyed(k, chained), "foreign key repaired", quoted(k), "n")
                 for k in keys
             ]))
+        left_out = _unrepaired(ds, name, spec) if repair else []
+        if left_out:
+            logs.append(unfold(rows.sparkSession.range(1), left_out))
     corrected = {name: rows.select(*[quoted(c) for c in ds[name].columns]) for name, rows in staged.items()}
     return corrected, union_all(logs)
 
 
+def _unrepaired(ds: Dataset, name: str, spec: TableSpec) -> list[str]:
+    """Rows for the key repairs that could not be made."""
+    if not spec.fk_rules:
+        return [skipped(name, "15C", "Cross_Table_Correction_Skipped", "no foreign keys declared")]
+    reasons = {r.column: obstacle(r, ds, ds) for r in spec.fk_rules}
+    return [skipped(name, "15C", f"{c}_FK_Correction_Skipped", f"not repaired, {why}") for c, why in reasons.items() if why]
+
+
 def _rekeyed(flag: str, chained: set[str]) -> str:
     name = flag.removeprefix(CHANGED_PREFIX)
     return f"{name}_FK_Corrected_{'Three_Table' if name in chained else 'Direct'}"
@@ -170,6 +190,8 @@ def assess_corrected(ds: Dataset, specs: Mapping[str, TableSpec], sentinel: str
             profile(df, name, rules, volume_dimension="17PC_V"),
             duplicate_rows(df, name, "17PC_U", "Exact_Duplicates", "duplicate rows after correction"),
         ]
+        if not (name in specs and specs[name].fk_rules):
+            parts.append(_skip(df, name, ("17PC_RI",), "no foreign keys declared"))
     fks = [r for name in ds if name in specs for r in specs[name].fk_rules]
     if fks:
         parts.append(fk_metrics(ds, fks, "17PC_RI", nulls_are_orphans=False, ignore_case=True, sentinel=sentinel,

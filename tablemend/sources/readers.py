@@ -23,9 +23,14 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
-    """JSON lines.  A schema saves the inference pass and keeps columns that hold only NULL."""
+    """JSON lines.  A schema saves the pass that finds the columns, but must spell them as the file does.
+
+    Without one, every value is read as text, as from CSV.
+    """
     reader = spark.read.option("mode", "PERMISSIVE")
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+    if schema is not None:
+        return reader.schema(schema).json(path)
+    return reader.option("primitivesAsString", True).json(path)
 
 
 def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -17,12 +17,18 @@ FORMAT_CYCLE = ("avro", "json", "csv", "parquet")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Overwrite ``path``; CSV gets a header line and keeps blanks around values."""
+    """Overwrite ``path``.
+
+    CSV gets a header line and keeps blanks around values; JSON keeps NULL fields,
+    so that a column without any value is still there when it is read back.
+    """
     if fmt not in FORMATS or fmt == "delta":
         raise ValueError(f"cannot write {fmt!r}, expected csv, json, parquet or avro")
     writer = df.write.mode("overwrite")
     if fmt == "csv":
         writer = writer.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    elif fmt == "json":
+        writer = writer.option("ignoreNullFields", False)
     try:
         writer.format(fmt).save(path)
     except Exception as error:

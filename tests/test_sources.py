@@ -26,9 +26,11 @@ def test_round_trip(spark, table, tmp_path, fmt):
     assert content(back.select(*table.columns)) == content(table)
 
 
-def test_json_without_schema_loses_empty_columns(spark, table, tmp_path):
-    K.write_table(table, str(tmp_path / "t"), "json")
-    assert "e" not in R.read_json(spark, str(tmp_path / "t")).columns
+def test_json_without_schema_keeps_columns_and_text(spark, table, tmp_path):
+    K.write_table(table.withColumn("n", F.lit(1)), str(tmp_path / "t"), "json")
+    back = R.read_json(spark, str(tmp_path / "t"))
+    assert sorted(back.dtypes) == [("e", "string"), ("id", "string"), ("n", "string"), ("t", "string")]
+    assert content(back.select("id", "t", "e")) == content(table)
 
 
 def test_text_and_delta_files(spark, table, tmp_path):

@@ -420,6 +420,7 @@ def _post_sql() -> list[str]:
                         f"{S.day('STOP')} < {S.day('START')}", d),
             ]
         parts.append(S.duplicates(t, "17PC_U", "Exact_Duplicates", "duplicate rows after correction", d))
+    parts.append(S.skip("patients", "17PC_RI", "Domain_Specific_Checks", "no foreign keys declared"))
     for t, c, p in _FK:
         parts.append(S.orphans(t, "17PC_RI", c, c, p, "ID", nulls=False, fold=True, child=f"{t}_done",
                                ref=f"{p}_done", target=f"{p}.ID", but="MISSING_FK"))
