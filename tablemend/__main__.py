@@ -1,14 +1,15 @@
 """The steps of a quality run from the command line.
 
-    spark-submit -m tablemend inject   <originals> <corrupted>
-    spark-submit -m tablemend profile  <base> <metrics> [--layout formats|files|parts]
-    spark-submit -m tablemend validate <base> <metrics> --as-of 2025-01-01
-    spark-submit -m tablemend repair   <corrupted> <linked> <report>
-    spark-submit -m tablemend correct  <corrupted> <corrected> <metrics> --as-of 2025-01-01 [--keep-keys]
-    spark-submit -m tablemend report   <metrics>
-    spark-submit -m tablemend compare  <metrics before> <metrics after>
-
-Metrics are kept as Parquet tables.
+    python -m tablemend inject   <originals> <corrupted>
+    python -m tablemend profile  <base> <metrics> [--layout formats|files|parts]
+    python -m tablemend validate <base> <metrics> --as-of 2025-01-01
+    python -m tablemend repair   <corrupted> <linked> <report>
+    python -m tablemend correct  <corrupted> <corrected> <metrics> --as-of 2025-01-01 [--keep-keys]
+    python -m tablemend report   <metrics>
+    python -m tablemend compare  <metrics before> <metrics after>
+
+Metrics are kept as Parquet tables.  On a cluster, submit this file with the
+package as --py-files.
 """
 
 from __future__ import annotations

@@ -1,36 +1,24 @@
-"""One short key for a whole row, for grouping rows without shuffling their text."""
+"""One short key for all the text of a row, for grouping rows without shuffling their text."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemend.functions.columns import quoted
 
-_PLAIN = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
-_DIGEST_BYTES = 32
-
-
-def digestible(df: DataFrame) -> bool:
-    return all(isinstance(f.dataType, _PLAIN) for f in df.schema)
-
-
-def wider_than_digest(df: DataFrame) -> bool:
-    """Whether a row is surely longer than its digest, by the default sizes of its types."""
-    sizes = [20 if isinstance(f.dataType, T.StringType) else 8 for f in df.schema]
-    return sum(sizes) > 2 * _DIGEST_BYTES
 
+def text_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
-def _framed(field: T.StructField) -> str:
-    """A field as text with its length in front, so that neighbours cannot run together."""
-    name = quoted(field.name)
-    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        name = f"({name} + 0)"  # -0.0 and 0.0 are one value in a grouping
-    text = f"cast({name} as string)"
-    return f"coalesce(concat(length({text}), ':', {text}), '-')"
 
+def text_digest(names: Sequence[str]) -> Column:
+    """SHA-256 over text columns: rows with the same texts, and only those, share it.
 
-def row_digest(df: DataFrame) -> Column:
-    """SHA-256 over all fields: equal rows, and only those, share it."""
-    return F.expr(f"unhex(sha2(concat({', '.join(_framed(f) for f in df.schema)}), 256))")
+    Every text is framed by its length, so that neighbours cannot run together.
+    """
+    framed = [f"coalesce(concat(length({quoted(n)}), ':', {quoted(n)}), '-')" for n in names]
+    return F.expr(f"unhex(sha2(concat({', '.join(framed)}), 256))")

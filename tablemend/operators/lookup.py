@@ -26,6 +26,8 @@ _SLICES = "__slices"
 # The sketch keeps this many heavy keys; also the bound on what the driver sees.
 HEAVY_KEYS = 2000
 _SKETCH_ITEMS = 50_000
+# Columnar files unpack to a multiple of their size, which is what Spark estimates from.
+_UNPACKED = 4
 # Slices per task's worth of rows: small ones even out over the tasks they are hashed to.
 _FINENESS = 8
 
@@ -41,8 +43,8 @@ def broadcast_limit(spark: SparkSession) -> int:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Spark's size estimate of ``df``, the one it decides its own broadcasts by."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Spark's size estimate of ``df``, raised to what it may take in memory."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) * _UNPACKED
 
 
 @dataclass(frozen=True)

@@ -9,22 +9,21 @@ from pyspark.sql import functions as F
 
 from tablemend.constants import UNIQUENESS
 from tablemend.functions.columns import column, quoted
-from tablemend.functions.digest import digestible, row_digest, wider_than_digest
+from tablemend.functions.digest import text_columns, text_digest
 from tablemend.operators.metrics import metric, unfold
 
 
-def row_groups(df: DataFrame, by_digest: bool | None = None) -> DataFrame:
+def row_groups(df: DataFrame, by_digest: bool = True) -> DataFrame:
     """``copies`` of every distinct row.
 
     Grouping counts copies before the shuffle, so a row that fills a third of
-    the table reaches its reducer as one counter per task.  A wide row is grouped
-    by its SHA-256, and 32 bytes travel instead of the row.
+    the table reaches its reducer as one counter per task.  The texts of a row
+    are grouped by their SHA-256, so 32 bytes travel instead of all of them.
     """
-    if by_digest is None:
-        by_digest = wider_than_digest(df) and digestible(df)
-    if by_digest:
-        keyed = df.select(row_digest(df).alias("row"))
-        return keyed.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
+    texts = text_columns(df) if by_digest else []
+    if texts:
+        others = [F.col(quoted(c)) for c in df.columns if c not in texts]
+        df = df.select(text_digest(texts).alias("__texts"), *others)
     return df.groupBy(*[F.col(quoted(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("copies"))
 
 
@@ -37,7 +36,7 @@ def _surplus(groups: DataFrame) -> DataFrame:
 
 def duplicate_rows(
     df: DataFrame, table: str, dimension: str = UNIQUENESS, rule: str | None = None,
-    description: str = "duplicate rows", by_digest: bool | None = None,
+    description: str = "duplicate rows", by_digest: bool = True,
 ) -> DataFrame:
     """Rows beyond the first of their kind (total - distinct); an empty table gives no metric."""
     counted = _surplus(row_groups(df, by_digest)).filter("n > 0")
@@ -46,9 +45,7 @@ def duplicate_rows(
 
 def duplicate_keys(df: DataFrame, table: str, key: Sequence[str], dimension: str = UNIQUENESS) -> DataFrame:
     """Rows beyond the first of their declared primary key; a NULL counts as a key value."""
-    groups = df.groupBy(*[column(df, k).alias(f"k{i}") for i, k in enumerate(key)]).agg(
-        F.count(F.lit(1)).alias("copies")
-    )
+    groups = row_groups(df.select(*[column(df, k) for k in key]))
     return unfold(
         _surplus(groups).filter("n > 0"),
         [metric(table, dimension, "+".join(key), "repeated primary key", "surplus", "n")],

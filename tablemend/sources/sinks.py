@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import cycle
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,11 +107,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage_dataset(ds: Dataset, base: str) -> Dataset:
-    """Write every table as Parquet under ``base`` and continue from the written tables."""
-    staged: Dataset = {}
-    for name, df in ds.items():
-        path = f"{base.rstrip('/')}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        staged[name] = df.sparkSession.read.parquet(path)
-    return staged
+def stage_dataset(ds: Dataset, base: str, at_once: int = 4) -> Dataset:
+    """Write every table as Parquet under ``base`` and continue from the written tables.
+
+    The writes are independent jobs; a few run at once, so that the last tasks of
+    one do not leave the cluster idle.
+    """
+    paths = {name: f"{base.rstrip('/')}/{name}" for name in ds}
+    with ThreadPoolExecutor(at_once) as pool:
+        writes = [
+            pool.submit(inheritable_thread_target(df.sparkSession)(df.write.mode("overwrite").parquet), paths[name])
+            for name, df in ds.items()
+        ]
+        for write in writes:
+            write.result()
+    return {name: df.sparkSession.read.parquet(paths[name]) for name, df in ds.items()}

@@ -439,12 +439,16 @@ _DEATHS = f"""
 deaths AS (SELECT lower(ID) AS id, min({S.day('DEATHDATE')}) AS died FROM patients GROUP BY 1)"""
 
 
-@query("event_after_parent_date", S.with_([*S.ctes("patients", "medications", "allergies"), _DEATHS], S.union([
+_AFTER_DEATH = [
     S.metric_from(t, "8BL", "START/DEATHDATE", f"{t} after the patient's death", f"""
       SELECT count(*) FILTER (WHERE {S.day('START')} > died) AS e, count(*) AS t
       FROM {t} c LEFT JOIN deaths ON lower(c.PATIENT) = deaths.id""")
     for t in ("allergies", "medications")
-])))
+]
+
+
+@query("event_after_parent_date",
+       S.with_([*S.ctes("patients", "medications", "allergies"), _DEATHS], S.union(_AFTER_DEATH)))
 def event_after_parent_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = clinic.dirty(spark, sf_dir, "patients", "medications", "allergies")
     return union_all(
@@ -466,16 +470,20 @@ def shipped_before_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_profile(ds["lineitem"], "lineitem", "l_orderkey", ds["orders"], "o_orderkey", facts, [rule])
 
 
-@query("cross_attribute_conflict", S.with_([*S.ctes("patients", "conditions"), f"""
+_CLINICAL_CTES = f"""
 facts AS (SELECT lower(ID) AS id, bool_or(lower(GENDER) = 'm') AS male, max({S.day('BIRTHDATE')}) AS born
   FROM patients GROUP BY 1),
-joined AS (SELECT c.DESCRIPTION, male, born FROM conditions c LEFT JOIN facts ON lower(c.PATIENT) = facts.id)"""],
-    S.union([
-        S.check("conditions", "10CL", "Male_Pregnancy", "pregnancy of a man",
-                "lower(DESCRIPTION) LIKE '%pregnancy%' AND male", "joined"),
-        S.check("conditions", "10CL", "Young_Type2_Diabetes", "type 2 diabetes of somebody born after 2015-01-01",
-                "lower(DESCRIPTION) LIKE '%type 2 diabetes mellitus%' AND born > DATE '2015-01-01'", "joined"),
-    ])))
+joined AS (SELECT c.DESCRIPTION, male, born FROM conditions c LEFT JOIN facts ON lower(c.PATIENT) = facts.id)"""
+_CLINICAL = [
+    S.check("conditions", "10CL", "Male_Pregnancy", "pregnancy of a man",
+            "lower(DESCRIPTION) LIKE '%pregnancy%' AND male", "joined"),
+    S.check("conditions", "10CL", "Young_Type2_Diabetes", "type 2 diabetes of somebody born after 2015-01-01",
+            "lower(DESCRIPTION) LIKE '%type 2 diabetes mellitus%' AND born > DATE '2015-01-01'", "joined"),
+]
+
+
+@query("cross_attribute_conflict",
+       S.with_([*S.ctes("patients", "conditions"), _CLINICAL_CTES], S.union(_CLINICAL)))
 def cross_attribute_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = clinic.dirty(spark, sf_dir, "patients", "conditions")
     return cross_profile(ds["conditions"], "conditions", "PATIENT", ds["patients"], "ID",
@@ -487,10 +495,12 @@ def cross_attribute_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
 NORM = "lower(replace(replace(trim({c}), ' (finding)', ''), ' (disorder)', ''))"
 
 
-@query("semantic_unknown_codes", S.with_([*S.ctes("conditions"), S.CODE_LIST], S.union([
-    S.check("conditions", "9S", "CODE_SNOMED_Validity", "numeric code not in the code list",
-            f"{S.matches('CODE', '^[0-9]+$')} AND CODE NOT IN (SELECT code FROM code_list)"),
-])))
+_UNKNOWN_CODES = S.check(
+    "conditions", "9S", "CODE_SNOMED_Validity", "numeric code not in the code list",
+    f"{S.matches('CODE', '^[0-9]+$')} AND CODE NOT IN (SELECT code FROM code_list)")
+
+
+@query("semantic_unknown_codes", S.with_([*S.ctes("conditions"), S.CODE_LIST], _UNKNOWN_CODES))
 def semantic_unknown_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unknown_codes(clinic.dirty(spark, sf_dir, "conditions")["conditions"], "conditions",
                          synthea.code_list(spark))
@@ -499,20 +509,22 @@ def semantic_unknown_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NEEDS = f"(CODE IS NULL OR NOT {S.matches('CODE', '^[0-9]+$')})"
 _SUGGEST = f"""
 suggestions AS (SELECT {NORM.replace('{c}', 'description')} AS name, min(code) AS suggested FROM code_list GROUP BY 1),
-joined AS (SELECT c.*, CASE WHEN {_NEEDS} THEN suggested END AS "SUGGESTED_CODE"
+suggested_rows AS (SELECT c.*, CASE WHEN {_NEEDS} THEN suggested END AS "SUGGESTED_CODE"
   FROM conditions c LEFT JOIN suggestions ON {NORM.replace('{c}', 'c.DESCRIPTION')} = suggestions.name)"""
 
 
-@query("semantic_suggested_codes", S.with_([*S.ctes("conditions"), S.CODE_LIST, _SUGGEST], S.union([
-    S.check("conditions", "9S", "CODE_Correction_by_Description", "code known from the description",
-            '"SUGGESTED_CODE" IS NOT NULL', "joined"),
-])))
+_SUGGESTED_CODES = S.check(
+    "conditions", "9S", "CODE_Correction_by_Description", "code known from the description",
+    '"SUGGESTED_CODE" IS NOT NULL', "suggested_rows")
+
+
+@query("semantic_suggested_codes", S.with_([*S.ctes("conditions"), S.CODE_LIST, _SUGGEST], _SUGGESTED_CODES))
 def semantic_suggested_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggested_codes(clinic.dirty(spark, sf_dir, "conditions")["conditions"], "conditions",
                            code_lookup(synthea.code_list(spark)))
 
 
-@query("semantic_suggestions", S.with_([*S.ctes("conditions"), S.CODE_LIST, _SUGGEST], "SELECT * FROM joined"))
+@query("semantic_suggestions", S.with_([*S.ctes("conditions"), S.CODE_LIST, _SUGGEST], "SELECT * FROM suggested_rows"))
 def semantic_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest_codes(clinic.dirty(spark, sf_dir, "conditions")["conditions"], code_lookup(synthea.code_list(spark)))
 
@@ -526,16 +538,17 @@ def semantic_unknown_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unknown_codes(ds["lineitem"], "lineitem", codes, "l_partkey", "p_partkey", rule="l_partkey")
 
 
-@query("impute_parent_candidates", S.with_(
-    [*S.ctes("encounters", "conditions", "medications", "allergies"),
-     "through AS (SELECT lower(ID) AS id, min(PATIENT) AS parent FROM encounters GROUP BY 1)"],
-    S.union([
-        S.metric_from(t, "11FI", "PATIENT_Imputation_from_Encounter",
-                      "missing, but known through ENCOUNTER→encounters.ID", f"""
-          SELECT count(*) FILTER (WHERE PATIENT IS NULL AND parent IS NOT NULL) AS e, count(*) AS t
-          FROM {t} c LEFT JOIN through ON lower(c.ENCOUNTER) = through.id""")
-        for t in synthea.CLINICAL
-    ])))
+_THROUGH = "through AS (SELECT lower(ID) AS id, min(PATIENT) AS parent FROM encounters GROUP BY 1)"
+_IMPUTABLE = [
+    S.metric_from(t, "11FI", "PATIENT_Imputation_from_Encounter",
+                  "missing, but known through ENCOUNTER→encounters.ID", f"""
+      SELECT count(*) FILTER (WHERE PATIENT IS NULL AND parent IS NOT NULL) AS e, count(*) AS t
+      FROM {t} c LEFT JOIN through ON lower(c.ENCOUNTER) = through.id""")
+    for t in synthea.CLINICAL
+]
+
+
+@query("impute_parent_candidates", S.with_([*S.ctes("encounters", *synthea.CLINICAL), _THROUGH], S.union(_IMPUTABLE)))
 def impute_parent_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = clinic.dirty(spark, sf_dir, "encounters", *synthea.CLINICAL)
     return union_all(impute_candidates(ds[t], synthea.fk_rules(t)[0], ds) for t in synthea.CLINICAL)
@@ -593,6 +606,30 @@ def domain_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain_metric(spark, detect_domain(list(ds), synthea.DOMAINS)).unionByName(volumes(ds))
 
 
+# --- the whole validation ----------------------------------------------------
+
+def _validation_sql() -> list[str]:
+    def skip(table: str, dimension: str, why: str) -> str:
+        return S.skip(table, dimension, "Domain_Specific_Checks", why)
+
+    found = S.metric_from("Global", "5DD", "Domain Detection", "domain: Veselības aprūpe", "SELECT 0 AS e, 1 AS t")
+    return [
+        found, *[p for t in S.TABLES for p in [*_drift_sql(t), *_validation_checks(t)]],
+        *[S.orphans(t, "8RI", c, c, p, "ID", nulls=False, fold=True) for t, c, p in _ALL_FKS],
+        *_AFTER_DEATH, *_CLINICAL, _UNKNOWN_CODES, _SUGGESTED_CODES, *_IMPUTABLE,
+        *[skip(t, "11FI", "no detour to fill keys from") for t in ("patients", "encounters")],
+        skip("patients", "8RI", "no foreign keys declared"),
+        *[skip(t, "8BL", "no business rules declared") for t in ("patients", "encounters", "conditions")],
+        *[skip(t, d, "no such rules declared") for t in S.TABLES if t != "conditions" for d in ("9S", "10CL")],
+    ]
+
+
+@query("validate_dataset", S.with_(
+    [*S.ctes(*S.TABLES), _DEATHS, _CLINICAL_CTES, S.CODE_LIST, _SUGGEST, _THROUGH], S.union(_validation_sql())))
+def validate_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.validate_dataset(clinic.dirty(spark, sf_dir), specs())
+
+
 # --- injection ---------------------------------------------------------------
 
 def _injection(table: str) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablemend.constants import UNKNOWN
 from tablemend.functions.dates import EUROPEAN, ISO
+from tablemend.model import FkRule
 from tablemend.operators import correct as C
 from tablemend.operators.integrity_report import integrity_report
 from tablemend.operators.metrics import union_all
@@ -273,6 +274,30 @@ for _t in synthea.CLINICAL:
     _chained(_t)
 
 
+@query("repair_fk_sliced", S.with_([*S.ctes("patients", "encounters", "conditions"), *KEY_CTES],
+                                   repaired("conditions", "conditions", "MISSING_FK", False)))
+def repair_fk_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repair without any broadcast of keys."""
+    ds = clinic.dirty(spark, sf_dir, "patients", "encounters", "conditions")
+    return repair_keys(ds["conditions"], synthea.fk_rules("conditions"), ds, MARK_MISSING, limit=-1)
+
+
+_SKEWED = "CASE WHEN o_orderkey % 3 = 0 THEN '7' WHEN o_orderkey % 3 = 1 THEN CAST(o_custkey AS {text}) END"
+
+
+@query("repair_fk_hot_key", f"""
+SELECT o_orderkey, CASE WHEN k IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 2 = 1) THEN k
+  ELSE 'MISSING_FK' END AS custkey
+FROM (SELECT o_orderkey, {_SKEWED.replace('{text}', 'VARCHAR')} AS k FROM orders)""")
+def repair_fk_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the rows have one key and a third have none; the lookup is not broadcast."""
+    orders = clinic.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", f"{_SKEWED.replace('{text}', 'STRING')} as custkey")
+    odd = clinic.table(spark, sf_dir, "customer").filter("c_custkey % 2 = 1")
+    rule = FkRule("orders", "custkey", "customer", "c_custkey")
+    return repair_keys(orders, [rule], {"customer": odd}, MARK_MISSING, limit=-1)
+
+
 def sanitized(table: str) -> str:
     ids = {"patients": ("ID",), "encounters": ("ID",)}.get(table, ("PATIENT", "ENCOUNTER"))
     new = {c: f"CASE WHEN {S.bad_uuid(c)} THEN 'UNKNOWN' ELSE {c} END" for c in ids}
