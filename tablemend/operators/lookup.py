@@ -125,7 +125,8 @@ def attach(
     slices = F.coalesce(F.col(_SLICES), F.lit(1)) if heavy is not None else F.lit(1)
     # The slice of a row depends on its task and its content only, and both are
     # the same again if the task has to be repeated.
-    spread = F.xxhash64(F.spark_partition_id(), *columns)
+    hashable = [F.col(quoted(f.name)) for f in df.schema if "map<" not in f.dataType.simpleString()]
+    spread = F.xxhash64(F.spark_partition_id(), *hashable)
     width = F.when(F.col(KEY).isNull(), F.lit(lanes)).otherwise(slices)
     left = left.withColumn(_SLICE, F.pmod(spread, width).cast("int"))
     right = right.withColumn(_SLICE, F.explode(F.sequence(F.lit(0), slices - 1)))

@@ -199,6 +199,12 @@ def test_a_large_lookup_is_not_broadcast(spark, skewed):
     assert "__slice" in plan
 
 
+def test_rows_with_maps_can_be_sliced(spark, skewed):
+    rows, parents = skewed
+    with_map = rows.withColumn("m", F.create_map(F.lit("a"), F.col("v")))
+    assert attach(with_map, fold(F.col("k")), known_keys(parents, "p", "found"), -1).count() == 30_000
+
+
 def test_rules_without_detour_table_fall_back_to_direct_repair(clinic):
     rule = FkRule("conditions", "PATIENT", "patients", "ID", Via("ENCOUNTER", "visits", "ID", "PATIENT"))
     fixed = repair_keys(clinic["conditions"], [rule], clinic)
