@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemend.llm import line_dedup, mixing, near_dup, packing, sharding, toxicity, url_filter
+from tablemend.llm import (
+    line_dedup,
+    mixing,
+    multi_index,
+    near_dup,
+    packing,
+    pii,
+    segments,
+    sharding,
+    toxicity,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,6 +87,39 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", F.col("__severity").alias("severity"), F.col("__toxic").alias("toxic"))
 
 
+@query("op4_information_pii")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != pii.TERM)
+    counts = [F.size(F.filter("spans", (lambda kind: lambda s: s["kind"] == kind)(kind))).cast("long").alias(f"n_{kind}") for kind in pii.PATTERNS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op5_multi_index_hashing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.neighbours(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+TOP_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.v::DOUBLE[], x.v::DOUBLE[]) AS BIGINT) AS score
+  FROM whole q JOIN whole x ON q.vec_id % 20 = 0 AND x.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+
+@query("op6_segment_statistics", TOP_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.top_k(table(spark, sf_dir, "embeddings"), scale=64, every=20, k=20)
+
+
 NEAR_SQL = """
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),

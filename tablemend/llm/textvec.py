@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
+_TERM = np.zeros(256, bool)
+_TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 # Random words for bytes, and odd multipliers with their inverses modulo 2^64.
 _BYTE = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -40,20 +43,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets of the rows in them) of about ``most`` bytes; a null is an empty text."""
-    column = column.fill_null("").cast(pa.large_string())
+def chunks(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets of the rows in them) of about ``most`` bytes; a null is an empty text.
+
+    Only one chunk is copied at a time: a batch of texts is large next to a worker's memory."""
     n = len(column)
-    if n == 0:
-        return
-    _, offsets, data = column.buffers()
-    offs = np.frombuffer(offsets, np.int64, n + 1, column.offset * 8)
-    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    upto = np.concatenate([[0], np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))])
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, "right")) - 1)
-        hi = min(hi, n)
-        yield lo, hi, raw[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
+        hi = min(n, max(lo + 1, int(np.searchsorted(upto, upto[lo] + most, "right")) - 1))
+        part = column.slice(lo, hi - lo).fill_null("").cast(pa.large_string())
+        _, offsets, data = part.buffers()
+        offs = np.frombuffer(offsets, np.int64, hi - lo + 1, part.offset * 8)
+        raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        yield lo, hi, raw[offs[0]:offs[-1]], offs - offs[0]
         lo = hi
 
 
@@ -81,9 +84,9 @@ def span_hash(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarr
     return mix((total[stop] - total[start]) * back[start])
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every word, A-Z lower-cased, in order."""
-    start, stop, row = runs(~_BLANK[data], offs)
+def words(data: np.ndarray, offs: np.ndarray, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every word, A-Z lower-cased, in order; with ``letters`` ASCII marks part words like blanks."""
+    start, stop, row = runs(_TERM[data] if letters else ~_BLANK[data], offs)
     return row, span_hash(_FOLD[data], start, stop)
 
 

@@ -10,8 +10,8 @@ import pyarrow as pa
 from tablemend.llm.textvec import chunks, span_hash
 
 #: Distinct parts that a worker keeps; beyond them it starts anew.
-KEPT = 1_500_000
-_SLOTS = 1 << 22
+KEPT = 400_000
+_SLOTS = 1 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True

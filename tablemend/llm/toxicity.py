@@ -3,7 +3,7 @@
 P(grade > k) = sigmoid(w . x - cut_k) for k = 0 … K - 1: one weight vector for all
 thresholds, cuts kept in order by construction (the first, then positive steps).
 The expected severity is the sum of these probabilities.  x holds 1 + ln(count) of
-the words (A-Z lower-cased, other than white space) that go with the grade in the
+the words (letters and digits, A-Z lower-cased) that go with the grade in the
 labelled sample; a word is known by 64 bits of its hash, so no two share a weight.
 
 The model is fitted on at most ``max_rows`` labelled documents, drawn by a hash of
@@ -34,7 +34,7 @@ MAX_WORDS = 4_096
 def word_counts(texts: pa.Array):
     """(rows, row, word, count) of chunks of texts: the distinct words of each row."""
     for lo, hi, data, offs in chunks(texts):
-        row, word = words(data, offs)
+        row, word = words(data, offs, letters=True)
         order = np.lexsort((word, row))
         row, word = row[order], word[order]
         new = np.ones(len(row), bool)
@@ -55,7 +55,7 @@ class Severity:
         """P(grade > k), one row per text and one column per cut."""
         z = []
         for lo, hi, data, offs in chunks(texts):
-            row, word = words(data, offs)
+            row, word = words(data, offs, letters=True)
             at = np.searchsorted(self.words, word)
             known = np.zeros(len(word), bool)
             if len(self.words):
