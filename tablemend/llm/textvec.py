@@ -84,12 +84,26 @@ def span_hash(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarr
     return mix((total[stop] - total[start]) * back[start])
 
 
-def words(data: np.ndarray, offs: np.ndarray, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every word, A-Z lower-cased, in order; with ``letters`` ASCII marks part words like blanks."""
-    start, stop, row = runs(_TERM[data] if letters else ~_BLANK[data], offs)
+def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every word, A-Z lower-cased, in order."""
+    start, stop, row = runs(~_BLANK[data], offs)
     return row, span_hash(_FOLD[data], start, stop)
 
 
+def stems(data: np.ndarray, offs: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every word of letters and digits and of its first bytes, A-Z lower-cased; order is not kept.
+
+    A beginning of n bytes counts for words that are longer, and differs from a word that is equal to it."""
+    start, stop, row = runs(_TERM[data], offs)
+    folded = _FOLD[data]
+    rows, hashes = [row], [span_hash(folded, start, stop)]
+    for n in lengths:
+        longer = stop - start > n
+        rows.append(row[longer])
+        hashes.append(mix(span_hash(folded, start[longer], start[longer] + n) + np.uint64(n)))
+    return np.concatenate(rows), np.concatenate(hashes)
+
+
 def shingles(row: np.ndarray, word: np.ndarray, n_rows: int, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct word shingles, ordered by both; fewer words than ``width`` count as one."""
     c = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(width)]

@@ -4,7 +4,8 @@ P(grade > k) = sigmoid(w . x - cut_k) for k = 0 … K - 1: one weight vector for
 thresholds, cuts kept in order by construction (the first, then positive steps).
 The expected severity is the sum of these probabilities.  x holds 1 + ln(count) of
 the words (letters and digits, A-Z lower-cased) that go with the grade in the
-labelled sample; a word is known by 64 bits of its hash, so no two share a weight.
+labelled sample, and of word beginnings of 4 to 6 bytes, since compounds share them; each is
+known by 64 bits of its hash, so no two share a weight.
 
 The model is fitted on at most ``max_rows`` labelled documents, drawn by a hash of
 their id; everything else reads all documents and whole texts.
@@ -25,16 +26,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemend.llm.textvec import chunks, words
+from tablemend.llm.textvec import chunks, stems
 
-MAX_ROWS = 8_000
+MAX_ROWS = 4_000
 MAX_WORDS = 4_096
+#: P(grade > 0) from which a document is rejected; clean documents stay far below.
+THRESHOLD = 0.2
+#: Bytes of the word beginnings that count besides whole words: compounds share them.
+BEGINNINGS = (4, 5, 6)
+
+
+#: (row, word, count) of the distinct words of each row.
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def word_counts(texts: pa.Array):
     """(rows, row, word, count) of chunks of texts: the distinct words of each row."""
     for lo, hi, data, offs in chunks(texts):
-        row, word = words(data, offs, letters=True)
+        row, word = stems(data, offs, BEGINNINGS)
         order = np.lexsort((word, row))
         row, word = row[order], word[order]
         new = np.ones(len(row), bool)
@@ -43,6 +52,16 @@ def word_counts(texts: pa.Array):
         yield hi - lo, row[at], word[at], np.diff(np.append(at, len(row)))
 
 
+def all_counts(texts: pa.Array) -> Counts:
+    rows, kinds, counts, at = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], 0
+    for size, row, word, count in word_counts(texts):
+        rows.append((row + at).astype(np.int32))
+        kinds.append(word)
+        counts.append(count.astype(np.int32))
+        at += size
+    return np.concatenate(rows), np.concatenate(kinds), np.concatenate(counts)
+
+
 @dataclass(frozen=True)
 class Severity:
     """words: sorted hashes; cuts: ascending."""
@@ -55,7 +74,7 @@ class Severity:
         """P(grade > k), one row per text and one column per cut."""
         z = []
         for lo, hi, data, offs in chunks(texts):
-            row, word = words(data, offs, letters=True)
+            row, word = stems(data, offs, BEGINNINGS)
             at = np.searchsorted(self.words, word)
             known = np.zeros(len(word), bool)
             if len(self.words):
@@ -69,18 +88,18 @@ class Severity:
 
 
 def associated_words(row: np.ndarray, word: np.ndarray, positive: np.ndarray, most: int) -> np.ndarray:
-    """The words whose share of positive documents is far from the sample's (4 standard errors, 5 documents)."""
+    """The words whose share of positive documents is far from the sample's (6 standard errors, 8 documents)."""
     kinds, where = np.unique(word, return_inverse=True)
     n = np.bincount(where)
     hit = np.bincount(where, positive[row].astype(float))
     base = positive.mean()
     z = np.abs(hit - n * base) / np.sqrt(np.maximum(1e-9, n * base * (1 - base)))
-    z[(n < 5) | (z < 4)] = 0
+    z[(n < 8) | (z < 6)] = 0
     best = np.lexsort((kinds, -z))[:most]
     return np.sort(kinds[best[z[best] > 0]])
 
 
-def fit(texts: pa.Array, grade: np.ndarray, grades: int, steps: int = 400, ridge: float = 2e-5) -> Severity:
+def fit(counts: Counts, grade: np.ndarray, grades: int, steps: int = 400, ridge: float = 2e-5) -> Severity:
     """``grade`` holds 0 … grades - 1.  Full-batch gradient descent with Adam's step sizes."""
     empty = np.zeros(0, np.uint64)
     share = [float(np.mean(grade > k)) if len(grade) else 0.0 for k in range(grades - 1)]
@@ -88,13 +107,7 @@ def fit(texts: pa.Array, grade: np.ndarray, grades: int, steps: int = 400, ridge
     start = -np.log((np.clip(share, 1e-9, 1 - 1e-9)) / (1 - np.clip(share, 1e-9, 1 - 1e-9)))
     if len(np.unique(grade)) < 2:
         return Severity(empty, np.zeros(1), start)
-    rows, kinds, counts, at = [], [], [], 0
-    for size, row, word, count in word_counts(texts):
-        rows.append(row + at)
-        kinds.append(word)
-        counts.append(count)
-        at += size
-    row, word, count = np.concatenate(rows), np.concatenate(kinds), np.concatenate(counts)
+    row, word, count = counts
     chosen = associated_words(row, word, grade > 0, MAX_WORDS)
     if not len(chosen):
         return Severity(empty, np.zeros(1), start)
@@ -129,23 +142,16 @@ def fit(texts: pa.Array, grade: np.ndarray, grades: int, steps: int = 400, ridge
     return Severity(chosen, np.append(theta[:d], 0.0), cuts)
 
 
-def graded_by_density(texts: pa.Array, toxic: np.ndarray) -> np.ndarray:
-    """Three grades where labels have two: toxic documents are split at the median share of toxic words."""
+def graded_by_amount(counts: Counts, toxic: np.ndarray) -> np.ndarray:
+    """Three grades where labels have two: toxic documents are split at the median amount of toxic words."""
     grade = (toxic > 0).astype(np.int64)
     if grade.min(initial=1) == grade.max(initial=0):
         return grade
-    rows, kinds, counts, at = [], [], [], 0
-    for size, row, word, count in word_counts(texts):
-        rows.append(row + at)
-        kinds.append(word)
-        counts.append(count)
-        at += size
-    row, word, count = np.concatenate(rows), np.concatenate(kinds), np.concatenate(counts)
+    row, word, count = counts
     chosen = associated_words(row, word, grade > 0, MAX_WORDS)
     marked = np.isin(word, chosen)
-    n = len(grade)
-    share = np.bincount(row[marked], count[marked], minlength=n) / np.maximum(1, np.bincount(row, count, minlength=n))
-    return grade + ((grade > 0) & (share > np.median(share[grade > 0]))).astype(np.int64)
+    amount = np.bincount(row[marked], 1 + np.log(count[marked]), minlength=len(grade))
+    return grade + ((grade > 0) & (amount > np.median(amount[grade > 0]))).astype(np.int64)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, grade: str, max_rows: int = MAX_ROWS) -> pa.Table:
@@ -161,8 +167,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, grade: str, max_rows: in
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Severity:
     """A model of three grades from labels ``toxic`` 0 / 1."""
     sample = labelled_sample(docs, labels, "toxic", max_rows)
-    texts = sample["text"].combine_chunks()
-    return fit(texts, graded_by_density(texts, sample["y"].to_numpy()), 3)
+    counts = all_counts(sample["text"].combine_chunks())
+    return fit(counts, graded_by_amount(counts, sample["y"].to_numpy()), 3)
 
 
 def severity(text: Column, model: Severity) -> Column:
@@ -176,7 +182,7 @@ def severity(text: Column, model: Severity) -> Column:
     return score(text)
 
 
-def judge(docs: DataFrame, model: Severity, threshold: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, model: Severity, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with __above, __severity (expected grade) and __toxic (P(grade > 0) of ``threshold`` or more)."""
     scored = docs.withColumn("__above", severity(docs["text"], model))
     expected = F.aggregate("__above", F.lit(0.0), lambda a, x: a + x)
