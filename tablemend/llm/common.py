@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +18,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_folder: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, unless PYTHONPATH gives it to them already."""
+    root = Path(__file__).resolve().parents[2]
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        folder = Path(tempfile.mkdtemp(prefix="tablemend-code-"))  # on the driver, which serves it to the executors
+        with zipfile.ZipFile(folder / "tablemend_code.zip", "w") as archive:
+            for file in sorted((root / "tablemend").rglob("*.py")):
+                archive.write(file, file.relative_to(root))
+        spark.sparkContext.addPyFile(str(folder / "tablemend_code.zip"))
+        _shipped.add(app)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -17,19 +17,10 @@ def components(edges: DataFrame) -> DataFrame:
     costs one round.  A vertex with very many neighbours is a grouped minimum and one side
     of a join that the engine can split.
     """
-    loops = edges.filter(F.col("a") != F.col("b"))
-    now = stage(loops.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = _state(now)
+    now = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    state = None
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.filter(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = stage(large.filter(F.col("a") != F.col("b")).distinct(), "edges")
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(
-            F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")
-        ).select("e.a", "e.b")
-        now = stage(small.filter(F.col("a") != F.col("b")).distinct(), "edges")
+        now = stage(_small_star(_large_star(now)).distinct(), "edges")
         after = _state(now)
         if after == state:
             break
@@ -38,6 +29,21 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(roots)
 
 
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+    larger = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    tied = larger.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    return tied.filter(F.col("a") != F.col("b"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    low = edges.groupBy("a").agg(F.min("b").alias("low"))
+    ends = F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))
+    tied = edges.join(low, "a").select(F.explode(ends).alias("e")).select("e.a", "e.b")
+    return tied.filter(F.col("a") != F.col("b"))
+
+
 def _state(edges: DataFrame) -> tuple:
     """Differs for different sets of edges: their number and two combined hashes."""
     h = [F.bit_xor(F.xxhash64(F.lit(k), "a", "b")).alias(f"h{k}") for k in (1, 2)]

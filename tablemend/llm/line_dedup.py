@@ -160,20 +160,20 @@ class LineStore:
         return LineStore(refs, counts, filters, self.shards, self.min_chars)
 
     def drops(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        """doc_id, text_hash, dropped (sorted line numbers) of the documents that lose lines."""
+        """doc_id, text_hash, __dropped (sorted line numbers) of the documents that lose lines."""
         shared = self.counts.filter(F.col("n_docs") >= min_docs).select("key", F.nullif("last_doc", F.lit(NO_ID)).alias("last_doc"))
         lost = self.refs.join(shared, "key").filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-        return lost.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
+        return lost.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("__dropped"))
 
     def apply(self, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         """``docs`` with __n_lines, __n_dropped and __kept, the text of the lines that stay."""
-        drops = self.drops(min_docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "dropped")
+        drops = self.drops(min_docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__dropped")
         mine = docs["doc_id"].eqNullSafe(drops["__id"]) & (F.xxhash64(docs["text"]) == drops["__hash"])
         joined = docs.join(drops, mine, "left")
         lines = lines_of(docs["text"])
         # The lines between two dropped ones are one slice: linear in lines and drops.
-        edges = F.concat(F.array(F.lit(-1)), F.col("dropped"))
-        ends = F.concat(F.col("dropped"), F.array(F.size(F.col("__lines"))))
+        edges = F.concat(F.array(F.lit(-1)), F.col("__dropped"))
+        ends = F.concat(F.col("__dropped"), F.array(F.size(F.col("__lines"))))
         slices = F.transform(
             F.arrays_zip(edges.alias("a"), ends.alias("b")),
             lambda s: F.slice(F.col("__lines"), s["a"] + 2, s["b"] - s["a"] - 1),
@@ -183,8 +183,8 @@ class LineStore:
         return (
             joined.withColumn("__lines", lines)
             .withColumn("__n_lines", F.size("__lines").cast("long"))
-            .withColumn("__n_dropped", F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long"))
-            .withColumn("__kept", F.when(F.col("dropped").isNull(), whole).otherwise(kept))
+            .withColumn("__n_dropped", F.when(F.col("__dropped").isNull(), 0).otherwise(F.size("__dropped")).cast("long"))
+            .withColumn("__kept", F.when(F.col("__dropped").isNull(), whole).otherwise(kept))
             .select(*[docs[c] for c in docs.columns], "__n_lines", "__n_dropped", "__kept")
         )
 

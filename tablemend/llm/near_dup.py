@@ -43,7 +43,7 @@ from tablemend.llm.textvec import chunks, mix, shingles, words
 BANDS, ROWS = 20, 5
 HASHES = BANDS * ROWS
 MISS = 1e-6
-BUCKET, BLOCK = 2_000, 256
+BUCKET, BLOCK = 2_000, 1_024
 _BATCH = 20
 
 _random = np.random.Generator(np.random.PCG64(7))
@@ -293,23 +293,21 @@ def confirmed_links(members: DataFrame, percent: int) -> DataFrame:
     def merged() -> DataFrame:
         return _with_components(rows, edges)
 
-    # Representatives of the components found so far meet, level by level, until a family fits one block.
-    width = large.agg(F.max("__n")).first()[0]
-    while width > BLOCK:
-        now = merged()
-        heads = stage(now.filter(F.col("v") == F.col("comp")), "heads")
+    # Representatives of the components found so far meet, until they fit one block or stop getting fewer.
+    heads_before = None
+    while True:
+        now = stage(merged(), "families")
+        heads = now.filter(F.col("v") == F.col("comp"))
         sizes = heads.groupBy("family").agg(F.count(F.lit(1)).alias("__heads"))
+        n_heads = sizes.agg(F.max("__heads")).first()[0]
+        if n_heads == 1 or (heads_before is not None and (heads_before <= BLOCK or 2 * n_heads > heads_before)):
+            break
+        heads_before = n_heads
         some = heads.join(sizes.filter(F.col("__heads") > 1), "family")
-        spread = F.pmod(F.xxhash64(F.lit(width), "v"), F.ceil(F.col("__heads") / BLOCK).cast("long"))
+        spread = F.pmod(F.xxhash64(F.lit(n_heads), "v"), F.ceil(F.col("__heads") / BLOCK).cast("long"))
         some = some.withColumn("block", spread).withColumn("asks", F.lit(True))
-        found = stage(_confirmed(some, percent), "links")
-        edges = stage(edges.unionByName(found), "links")
-        fewer = sizes.agg(F.max("__heads")).first()[0] or 0
-        if fewer >= width or found.isEmpty():
-            break
-        width = fewer
+        edges = stage(edges.unionByName(_confirmed(some, percent)), "links")
     # Whoever is outside the largest component of its family meets every block of the family.
-    now = stage(merged(), "families")
     by_size = now.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("__c"))
     largest = by_size.groupBy("family").agg(F.max(F.struct("__c", "comp")).alias("__m")).select(
         "family", F.col("__m.comp").alias("__main"), F.col("__m.__c").alias("__main_n"))

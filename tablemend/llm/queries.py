@@ -20,6 +20,7 @@ from tablemend.llm import (
     toxicity,
     url_filter,
 )
+from tablemend.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,7 +28,11 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(run):
-        QUERIES[name] = run
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return run(spark, sf_dir)
+
+        QUERIES[name] = shipped
         if sql:
             SQL[name] = sql
         return run

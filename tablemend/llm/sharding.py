@@ -63,6 +63,8 @@ def assign(docs: DataFrame, shards: int) -> DataFrame:
 
 def write(docs: DataFrame, path: str, shards: int, tasks_per_shard: int = 8) -> None:
     """Whole documents as Parquet, one folder a shard; several tasks write each shard."""
+    if "shard" in (c.lower() for c in docs.columns):
+        raise ValueError("the documents have a column named shard already")
     part = F.pmod(F.xxhash64(*[docs[c] for c in docs.columns]), F.lit(tasks_per_shard))
     placed = docs.withColumn("shard", shard_of(F.xxhash64(docs["doc_id"]), shards)).withColumn("__part", part)
     placed.repartition("shard", "__part").drop("__part").write.partitionBy("shard").parquet(path)

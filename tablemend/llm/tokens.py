@@ -24,8 +24,8 @@ _MARK[[ord(c) for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 def certain_cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Positions where a part begins.
 
-    The byte-level pattern never joins a non-space with a white space behind it, a control
-    white space with the non-space behind it, or a letter with a punctuation mark behind it
+    The byte-level pattern never joins a non-space with a white space behind it, a single
+    control white space with the non-space behind it, or a letter with a punctuation mark behind it
     (apostrophes are left alone).  A byte above 127 before a space only counts as a non-space in a
     two-byte character that is no white space (lead byte above 0xC2).
     """
@@ -40,7 +40,7 @@ def certain_cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     two[1:] = (before[1:] >= 0x80) & (before[1:] < 0xC0) & (data[:-2] > 0xC2) & (data[:-2] < 0xE0)
     solid = ((before > 32) & (before < 127)) | two
     begin[1:] |= solid & _SPACE[here]
-    begin[1:] |= _SPACE[before] & (before != 32) & (here > 32) & (here < 127)
+    begin[1:] |= begin[:-1] & _SPACE[before] & (before != 32) & (here > 32) & (here < 127)
     begin[1:] |= _LETTER[before] & _MARK[here]
     return np.flatnonzero(begin)
 

@@ -89,6 +89,8 @@ class Severity:
 
 def associated_words(row: np.ndarray, word: np.ndarray, positive: np.ndarray, most: int) -> np.ndarray:
     """The words whose share of positive documents is far from the sample's (6 standard errors, 8 documents)."""
+    if not len(word):
+        return word
     kinds, where = np.unique(word, return_inverse=True)
     n = np.bincount(where)
     hit = np.bincount(where, positive[row].astype(float))
