@@ -6,13 +6,17 @@ again as the next stage's docs.  All but the last return the columns of ``docume
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemend.llm import line_dedup, mixing, near_dup, packing, toxicity
-from tablemend.llm.common import stage
+from tablemend.llm.common import ship, stage
 from tablemend.llm.queries import END_ID, MIX, SEQUENCE, TOKENIZER
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -45,13 +49,23 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, TOKENIZER, END_ID, SEQUENCE), SEQUENCE)
 
 
-STAGES = [
+def _shipped(step: Stage) -> Stage:
+    """The stage, with the package known to the Python workers."""
+    @functools.wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return step(spark, docs, sf_dir)
+
+    return run_step
+
+
+STAGES = [(name, _shipped(step)) for name, step in (
     ("toxicity", without_toxic),
     ("line_dedup", without_repeated_lines),
     ("near_dup", without_near_duplicates),
     ("mixing", mixed),
     ("packing", packed),
-]
+)]
 
 #: A trained model, random draws and a tokenizer are beyond SQL.
 ORACLE_SQL = None
