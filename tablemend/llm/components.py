@@ -12,19 +12,16 @@ def components(edges: DataFrame) -> DataFrame:
     """v, root: the smallest number that each vertex of ``edges`` (a long, b long) can reach.
 
     Alternates the large star (every larger neighbour is tied to the smallest neighbour)
-    and the small star (the same for smaller ones) until nothing moves; the rounds grow
+    and the small star (the same for smaller ones) until only stars are left; the rounds grow
     with the logarithm of the longest path.  Each round is written, so a lost executor
     costs one round.  A vertex with very many neighbours is a grouped minimum and one side
     of a join that the engine can split.
     """
     now = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    state = None
     while True:
         now = stage(_small_star(_large_star(now)).distinct(), "edges")
-        after = _state(now)
-        if after == state:
+        if _are_stars(now):
             break
-        state = after
     roots = now.select("b").distinct().select(F.col("b").alias("v"), F.col("b").alias("root"))
     return now.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(roots)
 
@@ -44,7 +41,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.filter(F.col("a") != F.col("b"))
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Differs for different sets of edges: their number and two combined hashes."""
-    h = [F.bit_xor(F.xxhash64(F.lit(k), "a", "b")).alias(f"h{k}") for k in (1, 2)]
-    return tuple(edges.agg(F.count(F.lit(1)).alias("n"), *h).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every vertex either has one edge to a smaller one, or only edges from larger ones."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("down")),
+                                          F.struct(F.col("b").alias("v"), F.lit(0).alias("down")))).alias("e"))
+    per_vertex = ends.groupBy("e.v").agg(F.sum("e.down").alias("down"), F.count(F.lit(1)).alias("n"))
+    odd = (F.col("down") > 1) | ((F.col("down") == 1) & (F.col("n") > 1))
+    return not (per_vertex.agg(F.count_if(odd).alias("odd")).first()["odd"])

@@ -16,7 +16,8 @@ five-word shingles (words as in the whole text, A-Z lower-cased; fewer words are
    already.  A family of more than ``BLOCK`` vertices has several blocks; the blocks'
    representatives are compared next, level by level, and in the end every vertex
    outside the family's largest component meets every block, so no pair stays open.
-4. The components of the confirmed links are the classes.
+4. The components of the confirmed links are the classes; a block names its own, so only links
+   between blocks need a search for components.
 
 What can be lost are links whose pair shares no band or falls to the posterior bound: below
 1 in 10,000 at the threshold itself, far less above.
@@ -215,17 +216,19 @@ def _bucket_edges(percent: int):
     return compare
 
 
-def _verify(percent: int):
+def _verify(percent: int, links: bool):
     least = fewest_agreements(percent / 100)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Columns family, block, v, comp, asks, n, sig, shingles, sorted by family and block.
 
-        Of each group, the pairs are compared of which one at least asks and which are not connected."""
+        Of each group, the pairs are compared of which one at least asks and which are not connected
+        yet.  Gives (v, smallest v of its component) for all rows, or with ``links`` the pairs
+        of components that a confirmed link joins."""
         for table in groups(batches, 2):
             family, block = table["family"].to_numpy(), table["block"].to_numpy()
             v, comp, n = table["v"].to_numpy(), table["comp"].to_numpy(), table["n"].to_numpy()
-            asks = table["asks"].to_numpy(zero_copy_only=False)
+            asks = table["asks"].to_numpy()
             sig, sets = _signature_matrix(table["sig"]), table["shingles"].combine_chunks()
             ends = _bounds([family, block])
             a, b = [], []
@@ -253,77 +256,78 @@ def _verify(percent: int):
                         both = len(np.intersect1d(x, y, assume_unique=True))
                         if 100 * both >= percent * (len(x) + len(y) - both):
                             label[label == its] = mine
-                            a.append(int(v[k]))
-                            b.append(int(v[j]))
+                            if links:
+                                a.append(int(comp[k]))
+                                b.append(int(comp[j]))
+                if not links:
+                    least_v = np.full(hi - lo, np.iinfo(np.int64).max)
+                    np.minimum.at(least_v, label, v[lo:hi])
+                    a += v[lo:hi].tolist()
+                    b += least_v[label].tolist()
             if a:
                 yield _edges(a, b)
 
     return confirm
 
 
-def _confirmed(rows: DataFrame, percent: int) -> DataFrame:
+def _compared(rows: DataFrame, percent: int, links: bool) -> DataFrame:
     columns = ["family", "block", "v", "comp", "asks", "n", "sig", "shingles"]
-    dealt = rows.select(columns).repartition("family", "block").sortWithinPartitions("family", "block", "v")
-    return dealt.mapInArrow(_verify(percent), "a long, b long")
+    dealt = rows.withColumn("asks", F.col("asks").cast("int")).select(columns)
+    dealt = dealt.repartition("family", "block").sortWithinPartitions("family", "block", "v")
+    return dealt.mapInArrow(_verify(percent, links), "a long, b long")
 
 
-def _with_components(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """``members`` with comp: the root of the confirmed links so far, or the vertex itself."""
-    roots = components(edges).select(F.col("v").alias("__v"), "root")
-    joined = members.drop("comp").join(roots, members["v"] == roots["__v"], "left")
-    return joined.withColumn("comp", F.coalesce("root", "v")).drop("__v", "root")
+def _renamed(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` with comp replaced by b where ``names`` (a, b) has it as a."""
+    joined = rows.join(names.select(F.col("a").alias("__a"), F.col("b").alias("__b")), F.col("comp") == F.col("__a"), "left")
+    return joined.withColumn("comp", F.coalesce("__b", "comp")).drop("__a", "__b")
 
 
-def confirmed_links(members: DataFrame, percent: int) -> DataFrame:
-    """a, b: links that connect what is linked at all inside each family.
+def exact_classes(members: DataFrame, percent: int) -> DataFrame:
+    """v, comp: the class of each vertex, named by a vertex.
 
     ``members`` (family, v, n, sig, shingles) has each vertex of a family once."""
     counts = members.groupBy("family").agg(F.count(F.lit(1)).alias("__n"))
-    blocks = F.ceil(F.col("__n") / BLOCK).cast("long")
     # Blocks only spread the work of large families; any assignment gives the same classes.
-    dealt = members.join(counts, "family").withColumn("__blocks", blocks)
-    place = F.pmod(F.xxhash64("v"), F.col("__blocks"))
-    dealt = dealt.withColumn("block", place).withColumn("comp", F.col("v")).withColumn("asks", F.lit(True))
-    edges = stage(_confirmed(dealt, percent), "links")
-    large = counts.filter(F.col("__n") > BLOCK).select("family", "__n")
+    place = F.pmod(F.xxhash64("v"), F.ceil(F.col("__n") / BLOCK).cast("long"))
+    dealt = members.join(counts, "family").withColumn("block", place).withColumn("comp", F.col("v")).withColumn("asks", F.lit(True))
+    own = stage(_compared(dealt, percent, False).select(F.col("a").alias("v"), F.col("b").alias("comp")), "blocks")
+    large = counts.filter(F.col("__n") > BLOCK)
     if large.isEmpty():
-        return edges
-    rows = stage(members.join(large, "family"), "families")
-
-    def merged() -> DataFrame:
-        return _with_components(rows, edges)
-
+        return own
+    now = stage(members.join(large, "family").join(own, "v"), "families")
     # Representatives of the components found so far meet, until they fit one block or stop getting fewer.
-    heads_before = None
+    before = None
     while True:
-        now = stage(merged(), "families")
         heads = now.filter(F.col("v") == F.col("comp"))
         sizes = heads.groupBy("family").agg(F.count(F.lit(1)).alias("__heads"))
         n_heads = sizes.agg(F.max("__heads")).first()[0]
-        if n_heads == 1 or (heads_before is not None and (heads_before <= BLOCK or 2 * n_heads > heads_before)):
+        if n_heads == 1 or (before is not None and (before <= BLOCK or 2 * n_heads > before)):
             break
-        heads_before = n_heads
+        before = n_heads
         some = heads.join(sizes.filter(F.col("__heads") > 1), "family")
         spread = F.pmod(F.xxhash64(F.lit(n_heads), "v"), F.ceil(F.col("__heads") / BLOCK).cast("long"))
         some = some.withColumn("block", spread).withColumn("asks", F.lit(True))
-        edges = stage(edges.unionByName(_confirmed(some, percent)), "links")
+        names = stage(_compared(some, percent, False), "heads")
+        own, now = _renamed(own, names), stage(_renamed(now, names), "families")
     # Whoever is outside the largest component of its family meets every block of the family.
     by_size = now.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("__c"))
     largest = by_size.groupBy("family").agg(F.max(F.struct("__c", "comp")).alias("__m")).select(
         "family", F.col("__m.comp").alias("__main"), F.col("__m.__c").alias("__main_n"))
     open_ = now.join(largest, "family").filter(F.col("__main_n") < F.col("__n"))
-    outside = F.col("comp") != F.col("__main")
-    # Groups are (block of the outsiders, block of the others).
-    half = BLOCK // 2
+    # Groups are (block of the outsiders, block of all).
+    half = max(1, BLOCK // 2)
     seats = F.ceil(F.col("__n") / half).cast("long")
     asking_seats = F.ceil((F.col("__n") - F.col("__main_n")) / half).cast("long")
-    seat = F.pmod(F.xxhash64(F.lit(3), "v"), seats)
-    asking = open_.filter(outside).withColumn("__mine", F.pmod(F.xxhash64(F.lit(5), "v"), asking_seats))
-    asking = asking.withColumn("__seat", F.explode(F.sequence(F.lit(0).cast("long"), seats - 1))).withColumn("asks", F.lit(True))
-    asked = open_.withColumn("__seat", seat).withColumn("__mine", F.explode(F.sequence(F.lit(0).cast("long"), asking_seats - 1)))
-    asked = asked.withColumn("asks", F.lit(False))
-    final = asking.unionByName(asked).withColumn("block", F.col("__mine") * seats + F.col("__seat"))
-    return stage(edges.unionByName(_confirmed(final, percent)), "links")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    asking = open_.filter(F.col("comp") != F.col("__main")).withColumn("__mine", F.pmod(F.xxhash64(F.lit(5), "v"), asking_seats))
+    asking = asking.withColumn("__seat", each(seats)).withColumn("asks", F.lit(True))
+    asked = open_.withColumn("__seat", F.pmod(F.xxhash64(F.lit(3), "v"), seats)).withColumn("__mine", each(asking_seats))
+    final = asking.unionByName(asked.withColumn("asks", F.lit(False))).withColumn("block", F.col("__mine") * seats + F.col("__seat"))
+    links = stage(_compared(final, percent, True), "links")
+    if links.isEmpty():
+        return own
+    return _renamed(own, components(links).select(F.col("v").alias("a"), F.col("root").alias("b")))
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,8 +372,9 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     measured = texts.mapInArrow(_measure, f"doc_id {doc_type}, text_key binary, n long, d1 long, d2 long, sig binary")
     rows = stage(measured.withColumn("rid", F.monotonically_increasing_id()), "signatures")
     with_words = rows.filter(F.col("n") > 0)
-    vertices = stage(with_words.groupBy("d1", "d2").agg(F.min("rid").alias("v"), F.min("doc_id").alias("first_doc")), "vertices")
-    heads = rows.select("rid", "doc_id", "text_key", "n", "sig").join(vertices.select("v"), F.col("rid") == F.col("v")).drop("rid")
+    vertices = with_words.groupBy("d1", "d2").agg(F.min("rid").alias("v"), F.min("doc_id").alias("first_doc"))
+    heads = rows.select("rid", "doc_id", "text_key", "n", "d1", "d2", "sig").join(
+        vertices.select("v", "first_doc"), F.col("rid") == F.col("v")).drop("rid")
     heads = stage(heads, "heads")
     seats = heads.select("v", F.explode(_bands("sig")).alias("bucket"))
     shared = seats.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n"), F.min("v").alias("__first")).filter(F.col("__n") > 1)
@@ -378,7 +383,8 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     normal = met.filter(F.col("__n") <= BUCKET).select("bucket", "v")
     normal = normal.join(heads.select("v", "n", "sig"), "v").select("bucket", "v", "n", "sig")
     tried = normal.repartition("bucket").sortWithinPartitions("bucket", "v").mapInArrow(_bucket_edges(percent), "a long, b long")
-    families = stage(components(crowded.unionByName(tried)).withColumnRenamed("root", "family"), "families")
+    found = stage(crowded.unionByName(tried), "candidates")
+    families = components(found).withColumnRenamed("root", "family")
     wanted = heads.join(families, "v").select("family", "v", "n", "sig", F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
     fetched = texts.join(wanted, (F.col("text_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     one_each = fetched.select("text", "family", "v", "n", "sig").mapInArrow(
@@ -387,8 +393,8 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     # Rows that repeat id and text bring a vertex again.
     if members.count() > families.count():
         members = members.dropDuplicates(["v"])
-    roots = components(confirmed_links(members, percent))
-    named = vertices.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    roots = exact_classes(members, percent).withColumnRenamed("comp", "root")
+    named = heads.select("v", "d1", "d2", "first_doc").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     names = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     labels = stage(named.join(names, "root").select(
         F.col("d1").alias("__d1"), F.col("d2").alias("__d2"), "component_id", "root"), "classes")
