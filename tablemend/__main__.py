@@ -5,10 +5,10 @@
     python -m tablemend validate <base> <metrics> --as-of 2025-01-01
     python -m tablemend repair   <corrupted> <linked> <report>
     python -m tablemend correct  <corrupted> <corrected> <metrics> --as-of 2025-01-01 [--keep-keys]
-    python -m tablemend report   <metrics>
-    python -m tablemend compare  <metrics before> <metrics after>
+    python -m tablemend report   <metrics> <report>
+    python -m tablemend compare  <metrics before> <metrics after> <comparison>
 
-Metrics are kept as Parquet tables.  On a cluster, submit this file with the
+Metrics are kept as Parquet tables, reports as JSON; ``repair`` writes its log to <report>-fixes.  On a cluster, submit this file with the
 package as --py-files.
 """
 
@@ -48,8 +48,8 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     step("repair", "base", "out", "report")
     step("correct", "base", "out", "metrics").add_argument(
         "--keep-keys", action="store_true", help="leave foreign keys as they are")
-    step("report", "metrics")
-    step("compare", "before", "after")
+    step("report", "metrics", "out")
+    step("compare", "before", "after", "out")
     return parser.parse_args(argv)
 
 
@@ -69,7 +69,7 @@ def main(argv: list[str] | None = None) -> None:
         metric_store.write_metrics(pipeline.validate_dataset(tables(), specs), args.metrics)
     elif args.step == "repair":
         ds = tables()
-        fix_log(ds, specs).show(1000, False)
+        metric_store.write_metrics(fix_log(ds, specs), f"{args.report.rstrip('/')}-fixes")
         linked = stage_dataset(repair_integrity(ds, specs), args.out)
         export_json(integrity_report(linked, specs).coalesce(1), args.report)
     elif args.step == "correct":
@@ -83,16 +83,15 @@ def main(argv: list[str] | None = None) -> None:
         stored = metric_store.read_metrics(spark, args.metrics)
         shares = R.dimension_share(stored)
         for title, frame in (
-            ("share of errors", R.severity(shares)), ("tables by dimensions", R.matrix(shares, fill=True)),
+            ("severity", R.severity(shares)), ("matrix", R.matrix(shares, fill=True)),
             ("dimensions", R.dimension_ranking(shares)), ("tables", R.table_ranking(shares)),
-            ("errors by dimension", R.by_dimension(stored)), ("errors by table", R.by_table(stored)),
-            ("rules with most errors", R.top_rules(stored)),
+            ("errors_by_dimension", R.by_dimension(stored)), ("errors_by_table", R.by_table(stored)),
+            ("top_rules", R.top_rules(stored)),
         ):
-            print(title)
-            frame.show(1000, False)
+            export_json(frame.coalesce(1), f"{args.out.rstrip('/')}/{title}")
     else:
         before, after = (metric_store.read_metrics(spark, p) for p in (args.before, args.after))
-        R.before_after(before, after).show(1000, False)
+        export_json(R.before_after(before, after).coalesce(1), args.out)
 
 
 if __name__ == "__main__":

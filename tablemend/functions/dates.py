@@ -9,7 +9,7 @@ session setting.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,8 +75,18 @@ def lenient_date(c: Column, layout: str = ISO) -> Column:
 
 
 def cast_date(c: Column) -> Column:
-    """A date by plain cast (ISO date, optional time part), NULL where it does not fit."""
-    return c.try_cast("date")
+    """A date by plain cast (ISO date, optional time part), NULL where it does not fit, of any type."""
+    return c.cast("string").try_cast("date")
+
+
+def whole_number(c: Column) -> Column:
+    """A number without fraction, NULL for anything else."""
+    return F.regexp_extract(c.cast("string"), r"^\s*([+-]?\d+)\s*$", 1).try_cast("bigint")
+
+
+def before(a: Column, b: Column, date: Callable[[Column], Column] = cast_date) -> Column:
+    """a < b as dates, or else as whole numbers."""
+    return F.coalesce(date(a) < date(b), whole_number(a) < whole_number(b))
 
 
 def iso_text(d: Column) -> Column:

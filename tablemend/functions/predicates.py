@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablemend.constants import EMPTY_TEXTS, UNKNOWN, UUID_PATTERN
+from tablemend.constants import EMPTY_TEXTS, MISSING_FK, UNKNOWN, UUID_PATTERN
 from tablemend.functions.columns import text
 
 
@@ -29,6 +29,11 @@ def effectively_empty(c: Column) -> Column:
     return c.isNull() | F.lower(F.trim(text(c))).isin(*EMPTY_TEXTS)
 
 
+def stands_for_missing(c: Column) -> Column:
+    """Effectively empty, or a mark that a repair has set: no such text is a key."""
+    return effectively_empty(c) | (F.lower(F.trim(text(c))) == MISSING_FK.lower())
+
+
 def invalid_uuid(c: Column) -> Column:
     t = text(c)
     return effectively_empty(c) | (F.length(t) != 36) | ~t.rlike(UUID_PATTERN)
@@ -62,4 +67,5 @@ def is_unknown(c: Column) -> Column:
 
 def looks_like_integer(c: Column) -> Column:
     """A text that a cast to a 64-bit integer accepts (a fraction is cut off)."""
-    return text(c).rlike(r"^\s*[+-]?\d{1,18}(\.\d*)?\s*$")
+    whole = F.regexp_extract(text(c), r"^\s*([+-]?\d+)(?:\.\d*)?\s*$", 1)
+    return F.when(c.isNotNull(), whole.try_cast("bigint").isNotNull())

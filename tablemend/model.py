@@ -48,6 +48,25 @@ class Rule:
     optional: bool = False
 
 
+@dataclass(frozen=True)
+class CrossRule:
+    """A check of a row against facts about its parent, cut in halves so that few rows have to meet.
+
+    ``child`` makes one value of the columns in ``needs``; rows where it is NULL or false are
+    fine.  ``matters`` is true for the parents that a row can fail with (None: all).  ``test`` gets that
+    value and the ``facts`` and is true for a bad row.
+    """
+
+    dimension: str
+    name: str
+    description: str
+    needs: tuple[str, ...]
+    child: Callable[..., Column]
+    facts: tuple[str, ...]
+    matters: Callable[..., Column] | None
+    test: Callable[..., Column]
+
+
 @dataclass(frozen=True)
 class ColumnRule:
     """The same row-local check on every column of a table."""

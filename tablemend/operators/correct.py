@@ -53,6 +53,7 @@ def trim_texts(df: DataFrame) -> DataFrame:
 def fix_gender(name: str = "GENDER") -> Fix:
     """m and f in any case are kept in capitals, all else is unknown."""
     def apply(c: Column) -> list[Column]:
+        c = c.cast("string")
         return [F.when(F.lower(c).isin("m", "f"), F.upper(c)).otherwise(F.lit(UNKNOWN_GENDER))]
     return Fix(f"{name}_Corrected", "other values set to U", (name,), apply)
 
@@ -76,6 +77,7 @@ def fix_period(start: str, stop: str, layouts: Sequence[str]) -> Fix:
 def fix_characters(name: str, unwanted: str) -> Fix:
     """Remove the characters matched by ``unwanted``; nothing left is an invalid format."""
     def apply(c: Column) -> list[Column]:
+        c = c.cast("string")
         kept = F.regexp_replace(c, unwanted, "")
         return [F.when((kept == "") | (c == INVALID_FORMAT), F.lit(INVALID_FORMAT)).otherwise(kept)]
     return Fix(f"{name}_Format_Corrected", f"{unwanted} removed", (name,), apply)
@@ -83,6 +85,7 @@ def fix_characters(name: str, unwanted: str) -> Fix:
 
 def fix_numeric_code(name: str = "CODE") -> Fix:
     def apply(c: Column) -> list[Column]:
+        c = c.cast("string")  # the mark is a text, so a column of numbers becomes one
         return [F.when(c.rlike(DIGITS_PATTERN), c).otherwise(F.lit(UNKNOWN))]
     return Fix(f"{name}_Format_Corrected", "codes other than digits set to UNKNOWN", (name,), apply)
 
@@ -90,6 +93,7 @@ def fix_numeric_code(name: str = "CODE") -> Fix:
 def fix_identifier(name: str, prefix: str = "bad-") -> Fix:
     """Take the prefix off; what is not letters, digits and dashes then is unknown."""
     def apply(c: Column) -> list[Column]:
+        c = c.cast("string")
         bare = F.when(c.startswith(prefix), F.substr(c, F.lit(len(prefix) + 1))).otherwise(c)
         return [F.when(~bare.rlike(DASHED_PATTERN), F.lit(UNKNOWN)).otherwise(bare)]
     return Fix(f"{name}_Format_Corrected", "prefix removed, invalid set to UNKNOWN", (name,), apply)

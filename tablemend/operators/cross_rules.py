@@ -6,39 +6,50 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablemend.functions.columns import column, fold, quoted, require, resolve
-from tablemend.model import Rule
-from tablemend.operators.lookup import attach, lookup
+from tablemend.functions.columns import column, fold, resolve
+from tablemend.model import CrossRule
+from tablemend.operators.lookup import Lookup, attach, lookup
 from tablemend.operators.metrics import metric, skipped, unfold
 
 
 def cross_profile(
     df: DataFrame, table: str, fk: str, parent: DataFrame, pk: str,
-    facts: Mapping[str, Column], rules: Sequence[Rule], limit: int | None = None,
+    facts: Mapping[str, Column], rules: Sequence[CrossRule], limit: int | None = None,
 ) -> DataFrame:
     """Metrics of ``rules`` over the rows of ``df`` and ``facts`` of their parents.
 
     ``facts`` are aggregates over the parent rows of a key (parents may come in
-    copies); a rule names child columns and facts in ``needs``.  All rules share
-    one lookup, keys are compared without case, and every row counts at most once.
+    copies).  The child's half of each rule is taken first: only its value travels, and only
+    rows that can fail meet only parents that matter.  All rules share one lookup, keys are
+    compared without case, and every row counts at most once.
     """
-    lost = [n for r in rules for n in (fk, *r.needs) if n not in facts and resolve(df, n) is None]
+    lost = [n for r in rules for n in (fk, *r.needs) if resolve(df, n) is None]
     if lost or resolve(parent, pk) is None:
         why = f"column missing: {', '.join(lost) or pk}"
         one = df.sparkSession.range(1)
         return unfold(one, [skipped(table, r.dimension, r.name, f"not checked, {why}") for r in rules])
-    wanted = dict.fromkeys(require(df, n) for r in rules for n in (fk, *r.needs) if n not in facts)
-    rows = df.select(*[F.col(quoted(c)) for c in wanted])
-    known = lookup(parent, fold(column(parent, pk)), **facts)
-    joined = attach(rows, fold(column(rows, fk)), known, limit)
-    counted = joined.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[
-            F.count_if(r.test(*[F.col(n) if n in facts else column(rows, n) for n in r.needs])).alias(f"e{i}")
-            for i, r in enumerate(rules)
-        ],
+    halves = df.select(
+        fold(column(df, fk)).alias("__fk"),
+        *[r.child(*[column(df, n) for n in r.needs]).alias(f"__h{i}") for i, r in enumerate(rules)],
     )
+    can_fail = F.lit(False)
+    for i in range(len(rules)):
+        half = F.col(f"__h{i}")
+        is_flag = isinstance(halves.schema[f"__h{i}"].dataType, T.BooleanType)
+        can_fail = can_fail | (F.coalesce(half, F.lit(False)) if is_flag else half.isNotNull())
+    known = lookup(parent, fold(column(parent, pk)), **facts)
+    if all(r.matters for r in rules):
+        matter = F.lit(False)
+        for r in rules:
+            matter = matter | F.coalesce(r.matters(*[F.col(n) for n in r.facts]), F.lit(False))
+        known = Lookup(known.rows.filter(matter), known.estimate)
+    joined = attach(halves.filter(can_fail & F.col("__fk").isNotNull()), F.col("__fk"), known, limit)
+    tests = [r.test(F.col(f"__h{i}"), *[F.col(n) for n in r.facts]) for i, r in enumerate(rules)]
+    errors = joined.agg(F.lit(0).cast("bigint").alias("n"), *[F.count_if(t).alias(f"e{i}") for i, t in enumerate(tests)])
+    total = df.agg(F.count(F.lit(1)).alias("n"), *[F.lit(0).cast("bigint").alias(f"e{i}") for i in range(len(rules))])
+    counted = errors.unionByName(total).agg(F.sum("n").alias("n"), *[F.sum(f"e{i}").alias(f"e{i}") for i in range(len(rules))])
     return unfold(counted, [
         metric(table, r.dimension, r.name, r.description, f"e{i}", "n")
         for i, r in enumerate(rules)

@@ -1,34 +1,29 @@
 """Attach facts about a key to every row that uses it, whatever the sizes and the skew.
 
 A lookup has one row per key, so attaching it never multiplies rows.  It is
-broadcast only if a size estimate that bounds it is below the session's
-broadcast limit.  Otherwise both sides are shuffled by (key, slice): keys that
-hold a large share of the rows, found beforehand with a bounded sketch, are cut
-into as many slices as their share of the table calls for, and rows without a
-key are dealt out over all of them.
+broadcast if an estimate of its size is below the session's broadcast limit;
+otherwise the engine chooses the join.  Building the plan runs no job.  Rows without
+a key are spread over all tasks by their content; a key with a large share of the
+rows is one side of a left join, whose partitions the adaptive engine splits.
+No word that stands for a missing value is a key, on either side.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablemend.functions.columns import column, fold, quoted
+from tablemend.functions.predicates import stands_for_missing
 
 KEY = "__key"
-_SLICE = "__slice"
-_SLICES = "__slices"
-# The sketch keeps this many heavy keys; also the bound on what the driver sees.
-HEAVY_KEYS = 2000
-_SKETCH_ITEMS = 50_000
+_SPREAD = "__spread"
 # Columnar files unpack to a multiple of their size, which is what Spark estimates from.
 _UNPACKED = 4
-# Slices per task's worth of rows: small ones even out over the tasks they are hashed to.
+# Places per shuffle partition over which rows without a key are dealt out.
 _FINENESS = 8
 
 _UNITS = {"": 1, "b": 1, "k": 2**10, "kb": 2**10, "m": 2**20, "mb": 2**20,
@@ -49,14 +44,10 @@ def estimated_bytes(df: DataFrame) -> int:
 
 @dataclass(frozen=True)
 class Lookup:
-    """One row per key (column ``KEY``), and an upper bound on its size.
-
-    The bound is the estimate of the table the rows were taken from: a lookup has
-    at most as many rows as that, and none of the other columns.
-    """
+    """One row per key (column ``KEY``), and an estimate of its size."""
 
     rows: DataFrame
-    bytes_bound: int
+    estimate: int
 
     @property
     def facts(self) -> list[str]:
@@ -64,8 +55,8 @@ class Lookup:
 
 
 def lookup(df: DataFrame, key: Column, **facts: Column) -> Lookup:
-    """The keys of ``df`` that are not NULL, each with the aggregated ``facts``."""
-    keyed = df.withColumn(KEY, key).filter(F.col(KEY).isNotNull())
+    """The keys of ``df``, each with the aggregated ``facts``; NULL and marks of missing values are none."""
+    keyed = df.withColumn(KEY, key).filter(~stands_for_missing(F.col(KEY)))
     rows = keyed.groupBy(KEY).agg(*[c.alias(name) for name, c in facts.items()]) if facts \
         else keyed.select(KEY).distinct()
     return Lookup(rows, estimated_bytes(rows))
@@ -74,64 +65,24 @@ def lookup(df: DataFrame, key: Column, **facts: Column) -> Lookup:
 def known_keys(df: DataFrame, name: str, marker: str) -> Lookup:
     """The keys in a column, folded, with a true ``marker`` to tell a match from none."""
     keys = lookup(df, fold(column(df, name)))
-    return Lookup(keys.rows.withColumn(marker, F.lit(True)), keys.bytes_bound)
-
+    return Lookup(keys.rows.withColumn(marker, F.lit(True)), keys.estimate)
 
-def _slice_limit(spark: SparkSession) -> int:
-    """The slices into which a key that every row has would be cut."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions")) * _FINENESS
 
-
-def heavy_keys(df: DataFrame, key: Column) -> DataFrame | None:
-    """Keys that hold a noticeable part of a task's share, with the slices to cut them into.
-
-    The sketch is merged from one per task and at most ``HEAVY_KEYS`` entries
-    reach the driver, which pins them down, so that both sides of the join slice
-    alike.  It steers the layout only: a key it misses is still joined, in one slice.
-    """
-    spark = df.sparkSession
-    lanes = _slice_limit(spark)
-    keyed = df.select(key.alias(KEY)).filter(F.col(KEY).isNotNull())
-    sketch = F.expr(f"approx_top_k({KEY}, {HEAVY_KEYS}, {_SKETCH_ITEMS})")
-    row = keyed.agg(sketch.alias("top"), F.count(F.lit(1)).alias("n")).first()
-    heavy = [(t["item"], min(lanes, math.ceil(t["count"] * lanes / row["n"]))) for t in row["top"] or []]
-    heavy = [(k, slices) for k, slices in heavy if slices > 1]
-    if not heavy:
-        return None
-    schema = T.StructType([keyed.schema[KEY], T.StructField(_SLICES, T.IntegerType())])
-    return F.broadcast(spark.createDataFrame(heavy, schema))
-
-
-def attach(
-    df: DataFrame, key: Column, facts: Lookup, limit: int | None = None, source: DataFrame | None = None
-) -> DataFrame:
-    """Left join of ``facts`` on ``key``: every row of ``df`` once, NULL facts where no key matches.
-
-    ``source`` is a cheaper table with the same key column in which to look for
-    heavy keys, where ``df`` is already the result of a join.
-    """
+def attach(df: DataFrame, key: Column, facts: Lookup, limit: int | None = None) -> DataFrame:
+    """Left join of ``facts`` on ``key``, a text: every row of ``df`` once, NULL facts where no key matches."""
     spark = df.sparkSession
     limit = broadcast_limit(spark) if limit is None else limit
     columns = [F.col(quoted(c)) for c in df.columns]
     keyed = df.withColumn(KEY, key)
-    if facts.bytes_bound <= limit:
+    if facts.estimate <= limit:
         return keyed.join(F.broadcast(facts.rows), KEY, "left").select(*columns, *facts.facts)
-
-    lanes = _slice_limit(spark)
-    heavy = heavy_keys(df if source is None else source, key)
-    left, right = keyed, facts.rows
-    if heavy is not None:
-        left, right = left.join(heavy, KEY, "left"), right.join(heavy, KEY, "left")
-    slices = F.coalesce(F.col(_SLICES), F.lit(1)) if heavy is not None else F.lit(1)
-    # The slice of a row depends on its task and its content only, and both are
-    # the same again if the task has to be repeated.
+    # Rows without a key get texts that no key equals, by their content, so a repeated task deals alike.
+    places = int(spark.conf.get("spark.sql.shuffle.partitions")) * _FINENESS
     hashable = [F.col(quoted(f.name)) for f in df.schema if "map<" not in f.dataType.simpleString()]
-    spread = F.xxhash64(F.spark_partition_id(), *hashable)
-    width = F.when(F.col(KEY).isNull(), F.lit(lanes)).otherwise(slices)
-    left = left.withColumn(_SLICE, F.pmod(spread, width).cast("int"))
-    right = right.withColumn(_SLICE, F.explode(F.sequence(F.lit(0), slices - 1)))
-    joined = left.join(right.select(KEY, _SLICE, *facts.facts), [KEY, _SLICE], "left")
-    return joined.select(*columns, *facts.facts)
+    place = F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), F.lit(places)).cast("string")
+    left = keyed.withColumn(_SPREAD, F.coalesce(F.col(KEY), F.concat(F.lit("\x00"), place)))
+    right = facts.rows.withColumnRenamed(KEY, _SPREAD)
+    return left.join(right, _SPREAD, "left").select(*columns, *facts.facts)
 
 
 def matched_rows(

@@ -70,7 +70,7 @@ def isolated(spark: SparkSession, table: str, frame: DataFrame, dimension: str =
     try:
         return metric_rows(spark, [tuple(r) for r in frame.collect()])
     except Exception as error:
-        reason = str(error).strip().splitlines()[0][:500]
+        reason = str(error).strip()
         return metric_rows(spark, [(table, dimension, "Volume", f"rows cannot be read: {reason}", 0, 0, 0.0, FAILED)])
 
 

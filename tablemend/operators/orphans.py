@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tablemend.constants import INTEGRITY, UNKNOWN
 from tablemend.functions.columns import column, fold, resolve, text
-from tablemend.functions.predicates import effectively_empty
+from tablemend.functions.predicates import effectively_empty, stands_for_missing
 from tablemend.model import Dataset, FkRule
 from tablemend.operators.metrics import literal, metric, rows, skipped, union_all, unfold
 
@@ -50,7 +50,7 @@ def key_use_counts(
 
     tagged = [u.df.select(key(u.df, u.column).alias("key"), F.lit(i).alias("use")) for i, u in enumerate(uses)]
     known = parent.select(key(parent, parent_key).alias("key"), F.lit(_PARENT).alias("use"))
-    per_key = union_all([*tagged, known.filter("key is not null")]).groupBy("key").agg(
+    per_key = union_all([*tagged, known.filter(~stands_for_missing(F.col("key")))]).groupBy("key").agg(
         *[F.expr(f"count_if(use = {i}) as n{i}") for i in range(len(uses))],
         F.expr(f"count_if(use = {_PARENT}) as parents"),
     )
@@ -138,6 +138,25 @@ def fk_metrics(
     return union_all(parts)
 
 
+def orphans(
+    child: DataFrame, fk: str, parent: DataFrame, pk: str, *,
+    nulls_are_orphans: bool, ignore_case: bool, sentinel: str | None = None,
+) -> DataFrame:
+    """The rows of ``child`` whose key has no parent, as counted by :func:`fk_metrics`."""
+    def key(df: DataFrame, name: str) -> Column:
+        c = column(df, name)
+        return fold(c) if ignore_case else text(c)
+
+    keys = parent.select(key(parent, pk).alias("__parent")).filter(~stands_for_missing(F.col("__parent"))).distinct()
+    own = key(child, fk)
+    asked = child
+    if sentinel is not None:
+        asked = asked.filter(~own.eqNullSafe(F.lit(sentinel.lower() if ignore_case else sentinel)))
+    if not nulls_are_orphans:
+        asked = asked.filter(own.isNotNull())
+    return asked.join(keys, own == keys["__parent"], "left_anti")
+
+
 def empty_references(ds: Dataset, rules: Sequence[FkRule], dimension: str = "15C") -> DataFrame | None:
     """A warning per rule whose parent table has no key at all, so that no child can link."""
     parts = []

@@ -16,11 +16,6 @@ from tablemend.functions.columns import column, resolve
 from tablemend.model import ColumnRule, Rule
 from tablemend.operators.metrics import empty_table, metric, rows, skipped, union_all, unfold
 
-# A wider aggregation outgrows generated code; the rest goes to a further pass,
-# which reads other columns of a columnar table.
-MAX_COUNTERS = 300
-
-
 def expand(df: DataFrame, rules: Iterable[Rule | ColumnRule]) -> list[Rule]:
     """Replace each column rule by one rule per column of ``df``."""
     out: list[Rule] = []
@@ -54,26 +49,15 @@ def profile(
     tested = [(rule, bad_row(df, rule)) for rule in expand(df, rules)]
     tested = [(rule, test) for rule, test in tested if test is not None or not rule.optional]
     expanded, tests = [rule for rule, _ in tested], [test for _, test in tested]
-    chunks = [range(i, min(i + MAX_COUNTERS, len(expanded))) for i in range(0, len(expanded), MAX_COUNTERS)]
-    parts = []
-    for n, chunk in enumerate(chunks or [range(0)]):
-        counters = [F.count_if(tests[i]).alias(f"e{i}") for i in chunk if tests[i] is not None]
-        counted = df.agg(F.count(F.lit(1)).alias("n"), *counters)
-        found = [
-            skipped(table, expanded[i].dimension, expanded[i].name,
-                    f"not checked, column missing: {expanded[i].description}")
-            if tests[i] is None
-            else metric(table, expanded[i].dimension, expanded[i].name, expanded[i].description,
-                        f"e{i}", "n")
-            for i in chunk
-        ]
-        # The volume row comes once, from the first pass.
-        if n:
-            parts.append(unfold(counted.filter("n > 0"), found))
-        else:
-            volume = rows([empty_table(table, volume_dimension)])
-            parts.append(unfold(counted, f"if(n = 0, {volume}, {rows(found) if found else 'null'})"))
-    return union_all(parts)
+    counters = [F.count_if(test).alias(f"e{i}") for i, test in enumerate(tests) if test is not None]
+    counted = df.agg(F.count(F.lit(1)).alias("n"), *counters)
+    found = [
+        skipped(table, rule.dimension, rule.name, f"not checked, column missing: {rule.description}") if test is None
+        else metric(table, rule.dimension, rule.name, rule.description, f"e{i}", "n")
+        for i, (rule, test) in enumerate(zip(expanded, tests))
+    ]
+    volume = rows([empty_table(table, volume_dimension)])
+    return unfold(counted, f"if(n = 0, {volume}, {rows(found) if found else 'null'})")
 
 
 def profile_one_by_one(df: DataFrame, table: str, rules: Iterable[Rule]) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemend.constants import MISSING_FK, UNKNOWN
-from tablemend.functions.columns import column, fold, is_text, quoted, require, resolve
-from tablemend.functions.predicates import invalid_uuid, is_unknown
+from tablemend.functions.columns import column, fold, is_text, quoted, require, resolve, text
+from tablemend.functions.predicates import invalid_uuid, is_unknown, stands_for_missing
 from tablemend.model import Dataset, FkRule, TableSpec, Via
 from tablemend.operators.lookup import (
     KEY, Lookup, attach, estimated_bytes, known_keys, lookup, matched_rows,
@@ -46,7 +46,7 @@ def parents_through(
     detour = reference[rule.via.table]
     pairs = detour.select(
         fold(column(detour, rule.via.key)).alias("__id"), column(detour, rule.via.payload).alias("__parent")
-    ).filter(F.col("__id").isNotNull())
+    ).filter(~stands_for_missing(F.col("__id")))
     known = known_keys(reference[rule.ref_table], rule.ref_column, "__known")
     checked = attach(pairs, fold(F.col("__parent")), known, limit)
     parent = F.min(F.when(F.col("__known"), F.col("__parent")))
@@ -95,28 +95,28 @@ def repair_keys(
         through[rule] = f"__through{i}"
         marker = exists[via.column.lower(), via.table, via.key.lower()] = f"__detour{i}"
         facts = parents_through(reference, rule, through[rule], marker, limit)
-        out = attach(out, fold(column(df, via.column)), facts, limit, source=df)
+        out = attach(out, fold(column(df, via.column)), facts, limit)
 
     for i, rule in enumerate(usable):
         asked = (rule.column.lower(), rule.ref_table, rule.ref_column.lower())
         if asked not in exists:
             exists[asked] = f"__exists{i}"
             facts = known_keys(reference[rule.ref_table], rule.ref_column, exists[asked])
-            out = attach(out, fold(column(df, rule.column)), facts, limit, source=df)
+            out = attach(out, fold(column(df, rule.column)), facts, limit)
 
     repaired: dict[str, Column] = {}
     for rule in usable:
-        own = column(df, rule.column)
+        own = text(column(df, rule.column))  # a mark is a text, so a column of numbers becomes one
         choices = [F.when(F.col(exists[rule.column.lower(), rule.ref_table, rule.ref_column.lower()]), own)]
         if rule in through:
-            detour = F.col(through[rule])
+            detour = text(F.col(through[rule]))
             if mode.detour_if_unknown:
                 choices.insert(0, F.when(is_unknown(own), detour))
             else:
                 choices.append(detour)
         repaired[require(df, rule.column)] = F.coalesce(*choices, F.lit(mode.sentinel))
     flags = [
-        (~F.col(quoted(name)).eqNullSafe(value)).alias(CHANGED_PREFIX + name) for name, value in repaired.items()
+        (~text(F.col(quoted(name))).eqNullSafe(value)).alias(CHANGED_PREFIX + name) for name, value in repaired.items()
     ] if mark_changes else []
     return out.select(
         *[repaired[c].alias(c) if c in repaired else F.col(quoted(c)) for c in df.columns], *flags

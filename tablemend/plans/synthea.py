@@ -15,9 +15,9 @@ from tablemend.constants import (
 from tablemend.functions import predicates as P
 from tablemend.functions.columns import column
 from tablemend.functions.dates import (
-    COMPACT, DOTTED, EUROPEAN, ISO, US, cast_date, lenient_date, parse_any,
+    COMPACT, DOTTED, EUROPEAN, ISO, US, before, cast_date, lenient_date, parse_any,
 )
-from tablemend.model import ColumnRule, DomainSpec, Fix, FkRule, Rule, TableSpec, Via
+from tablemend.model import ColumnRule, CrossRule, DomainSpec, Fix, FkRule, Rule, TableSpec, Via
 from tablemend.operators import inject as I
 from tablemend.operators.correct import (
     fix_characters, fix_gender, fix_identifier, fix_life_dates, fix_numeric_code, fix_period,
@@ -26,27 +26,33 @@ from tablemend.operators.correct import (
 TABLES = ("patients", "encounters", "conditions", "medications", "allergies")
 CLINICAL = ("conditions", "medications", "allergies")
 
-# The columns of every table (S text, D date, L 64-bit integer).
+# The columns of every table.
 SCHEMAS = {
     "patients": (
-        "ID:S BIRTHDATE:D DEATHDATE:D SSN:S DRIVERS:S PASSPORT:S PREFIX:S FIRST:S LAST:S SUFFIX:S "
-        "MAIDEN:S MARITAL:S RACE:S ETHNICITY:S GENDER:S BIRTHPLACE:S ADDRESS:S CITY:S STATE:S ZIP:S"
+        "ID string, BIRTHDATE date, DEATHDATE date, SSN string, DRIVERS string, PASSPORT string, "
+        "PREFIX string, FIRST string, LAST string, SUFFIX string, MAIDEN string, MARITAL string, "
+        "RACE string, ETHNICITY string, GENDER string, BIRTHPLACE string, ADDRESS string, CITY string, "
+        "STATE string, ZIP string"
     ),
     "encounters": (
-        "ID:S START:L STOP:L PATIENT:S ORGANIZATION:S PROVIDER:S PAYER:S ENCOUNTERCLASS:S CODE:S "
-        "DISPLAY:S DESCRIPTION:S BASE_ENCOUNTER:S REASONCODE:S REASONDISPLAY:S"
+        "ID string, START bigint, STOP bigint, PATIENT string, ORGANIZATION string, PROVIDER string, "
+        "PAYER string, ENCOUNTERCLASS string, CODE string, DISPLAY string, DESCRIPTION string, "
+        "BASE_ENCOUNTER string, REASONCODE string, REASONDISPLAY string"
+    ),
+    "conditions": (
+        "START bigint, STOP bigint, PATIENT string, ENCOUNTER string, CODE string, SYSTEM string, "
+        "DISPLAY string, DESCRIPTION string"
     ),
-    "conditions": "START:L STOP:L PATIENT:S ENCOUNTER:S CODE:S SYSTEM:S DISPLAY:S DESCRIPTION:S",
     "medications": (
-        "START:L STOP:L PATIENT:S ENCOUNTER:S CODE:S SYSTEM:S DISPLAY:S PRESCRIPTION:S "
-        "REASONDISPLAY:S REASONCODE:S"
+        "START bigint, STOP bigint, PATIENT string, ENCOUNTER string, CODE string, SYSTEM string, "
+        "DISPLAY string, PRESCRIPTION string, REASONDISPLAY string, REASONCODE string"
     ),
     "allergies": (
-        "START:S STOP:S PATIENT:S ENCOUNTER:S CODE:S SYSTEM:S DISPLAY:S TYPE:S CATEGORY:S CRITICALITY:S "
-        "DESCRIPTION:S REACTION1:S SEVERITY1:S REACTION2:S SEVERITY2:S"
+        "START string, STOP string, PATIENT string, ENCOUNTER string, CODE string, SYSTEM string, "
+        "DISPLAY string, TYPE string, CATEGORY string, CRITICALITY string, DESCRIPTION string, "
+        "REACTION1 string, SEVERITY1 string, REACTION2 string, SEVERITY2 string"
     ),
 }
-_TYPES = {"S": T.StringType(), "D": T.DateType(), "L": T.LongType()}
 
 # Domains, in the order in which they are tried.
 DOMAINS = (
@@ -92,12 +98,13 @@ STALE_DAYS = 365 * 5
 
 
 def schema(table: str) -> T.StructType:
-    fields = [f.split(":") for f in SCHEMAS[table].split()]
-    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
+    return T.StructType.fromDDL(SCHEMAS[table])
 
 
 def code_list(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CODE_LIST.items()), "description string, code string")
+    """A table of known size, which the engine broadcasts by itself."""
+    values = ", ".join(f"('{description}', '{code}')" for description, code in CODE_LIST.items())
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(description, code)")
 
 
 def fk_rules(table: str) -> tuple[FkRule, ...]:
@@ -136,7 +143,7 @@ def profile_rules() -> tuple[Rule | ColumnRule, ...]:
         rule(ACCURACY, "BIRTHDATE", "Nederīgs datums", lambda c: cast_date(c).isNull(), "BIRTHDATE"),
         rule(TIMELINESS, "BIRTHDATE/DEATHDATE", "Nāves datums pirms dzimšanas",
              lambda b, d: cast_date(d) < cast_date(b), "BIRTHDATE", "DEATHDATE"),
-        rule(TIMELINESS, "START/STOP", "STOP pirms START", lambda a, b: cast_date(b) < cast_date(a), "START", "STOP"),
+        rule(TIMELINESS, "START/STOP", "STOP pirms START", lambda a, b: before(b, a), "START", "STOP"),
         rule(VALIDITY, "CODE", "Nederīgs formāts", lambda c: P.mismatch(c, CODE_PATTERN), "CODE"),
     )
 
@@ -209,8 +216,8 @@ def _syntax_rules(table: str, as_of: Column, strict: bool) -> list[Rule]:
 
 
 def _stops_early(start: Column, stop: Column) -> Column:
-    """Order of numbers, or of the dates in texts."""
-    return parse_any(stop, PERIOD_LAYOUTS) < parse_any(start, PERIOD_LAYOUTS)
+    """Order of the dates in texts, or else of numbers."""
+    return before(stop, start, lambda c: parse_any(c, PERIOD_LAYOUTS))
 
 
 def _unreadable(c: Column, layouts: tuple[str, ...], strict: bool) -> Column:
@@ -228,10 +235,9 @@ def death_facts(patients: DataFrame) -> dict[str, Column]:
     return {"died": F.min(lenient_date(column(patients, "DEATHDATE")))}
 
 
-def after_death_rules(table: str) -> tuple[Rule, ...]:
-    def late(start: Column, died: Column) -> Column:
-        return lenient_date(start) > died
-    return (Rule("8BL", "START/DEATHDATE", f"{table} after the patient's death", late, ("START", "died")),)
+def after_death_rules(table: str) -> tuple[CrossRule, ...]:
+    return (CrossRule("8BL", "START/DEATHDATE", f"{table} after the patient's death", ("START",), lenient_date,
+                      ("died",), lambda died: died.isNotNull(), lambda start, died: start > died),)
 
 
 def clinical_facts(patients: DataFrame) -> dict[str, Column]:
@@ -241,15 +247,17 @@ def clinical_facts(patients: DataFrame) -> dict[str, Column]:
     }
 
 
-def clinical_rules() -> tuple[Rule, ...]:
-    def says(description: Column, words: str) -> Column:
-        return F.lower(description).contains(words)
+def clinical_rules() -> tuple[CrossRule, ...]:
+    def says(words: str):
+        return lambda description: F.lower(description).contains(words)
+
+    young = F.lit("2015-01-01").cast("date")
     return (
-        Rule("10CL", "Male_Pregnancy", "pregnancy of a man",
-             lambda d, male: says(d, "pregnancy") & male, ("DESCRIPTION", "male")),
-        Rule("10CL", "Young_Type2_Diabetes", "type 2 diabetes of somebody born after 2015-01-01",
-             lambda d, born: says(d, "type 2 diabetes mellitus") & (born > F.lit("2015-01-01").cast("date")),
-             ("DESCRIPTION", "born")),
+        CrossRule("10CL", "Male_Pregnancy", "pregnancy of a man", ("DESCRIPTION",), says("pregnancy"),
+                  ("male",), lambda male: male, lambda said, male: said & male),
+        CrossRule("10CL", "Young_Type2_Diabetes", "type 2 diabetes of somebody born after 2015-01-01", ("DESCRIPTION",),
+                  says("type 2 diabetes mellitus"), ("born",), lambda born: born > young,
+                  lambda said, born: said & (born > young)),
     )
 
 
@@ -276,7 +284,7 @@ def post_rules(table: str, as_of: Column) -> tuple[Rule | ColumnRule, ...]:
             Rule("17PC_V", "CODE", "other than digits after correction",
                  lambda c: P.mismatch(c, DIGITS_PATTERN), ("CODE",)),
             Rule("17PC_T", "START/STOP", "STOP before START after correction",
-                 lambda a, b: cast_date(b) < cast_date(a), ("START", "STOP")),
+                 lambda a, b: before(b, a), ("START", "STOP")),
         ]
     return tuple(rules)
 

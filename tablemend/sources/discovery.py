@@ -53,12 +53,17 @@ def discover(
     finders = {"formats": _by_format_folder, "files": _by_file, "parts": _by_part_files}
     schemas = schemas or {}
     found: Dataset = {}
+    folders: dict[str, str] = {}
     for table, path, fmt in finders[layout](spark, base):
+        folder = path.rsplit("/", 1)[0] if layout == "formats" else path
         if table in found:
+            if folder != folders[table]:
+                raise ValueError(f"table {table} is in two folders, {folders[table]} and {folder}")
             continue
         df = _open(spark, table, path, fmt, schemas.get(table), skip_empty)
         if df is not None:
             found[table] = df
+            folders[table] = folder
     return found
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from itertools import cycle
@@ -55,7 +56,7 @@ def write_dataset(ds: Mapping[str, DataFrame], base: str, fmt: str = "csv") -> D
             arrived = read_table(spark, path, fmt, text_schema(df.schema)).count()
             rows.append((name, "15DS", "Data_Saved_HDFS", f"written as {fmt} to {path}", 0, arrived, 0.0, CHECKED))
         except Exception as error:
-            reason = str(error).splitlines()[0][:500]
+            reason = str(error).strip()
             rows.append((name, "15DS", "Data_Save_Failed", f"write to {path} failed: {reason}", 1, 1, 100.0, CHECKED))
     return spark.createDataFrame(rows, METRIC_SCHEMA)
 
@@ -83,16 +84,27 @@ def as_json(df: DataFrame) -> DataFrame:
 
 
 def offending_sample(df: DataFrame, bad: Column, columns: Sequence[str], n: int = 5) -> DataFrame:
-    """``n`` example values of the rows that ``bad`` finds."""
-    return df.filter(bad).select(*columns).limit(n)
+    """The first ``n`` values, in order, of the rows that ``bad`` finds."""
+    return df.filter(bad).select(*columns).orderBy(*columns).limit(n)
 
 
-def checkpoint_folder(spark: SparkSession) -> str | None:
-    """The shared checkpoint folder of the session, if it has one."""
+_own_folder: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the checkpoint folder of the session.
+
+    A local session without one gets a folder of its own; a cluster must name one.
+    """
     context = spark.sparkContext
-    if hasattr(context, "getCheckpointDir") and context.getCheckpointDir():
-        return context.getCheckpointDir()
-    return spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise RuntimeError("no checkpoint folder: set spark.checkpoint.dir to a folder that all executors share")
+    own = _own_folder.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tablemend-"))
+    context.setCheckpointDir(own)
+    return own
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -100,10 +112,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     The copy is a reliable one: losing an executor loses no row of it.
     """
-    if not checkpoint_folder(df.sparkSession):
-        raise RuntimeError(
-            "no checkpoint folder: set spark.checkpoint.dir to a folder that all executors share"
-        )
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

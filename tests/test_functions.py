@@ -82,7 +82,8 @@ def test_null_handling_differs_by_predicate(spark):
     assert one(spark, "b", lambda c: P.mismatch_except(c, "^a$", "b")) is False
 
 
-@pytest.mark.parametrize("text, number", [("12", True), (" -3 ", True), ("12.5", True), ("1e3", False), ("x", False)])
+@pytest.mark.parametrize("text, number", [("12", True), (" -3 ", True), ("12.5", True), ("1e3", False), ("x", False),
+                                          ("1234567890123456789", True), ("9223372036854775808", False), ("0" * 30 + "1", True)])
 def test_looks_like_integer(spark, text, number):
     assert one(spark, text, P.looks_like_integer) is number
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tablemend.model import ColumnRule, Rule
 from tablemend.functions import predicates as P
-from tablemend.operators.profile import MAX_COUNTERS, profile, profile_one_by_one
+from tablemend.operators.profile import profile, profile_one_by_one
 from tablemend.operators.uniqueness import duplicate_keys, duplicate_rows, row_groups
 from tablemend.plans import pipeline, synthea
 from tests.fixtures import errors
@@ -113,10 +113,12 @@ def test_missing_column_is_skipped_or_left_out(clinic):
     assert {(r.rule_name, r.status, r.error_count) for r in rows} == {("a", "skipped", 0), ("c", "checked", 1)}
 
 
-def test_wide_table_is_profiled_in_chunks(spark):
-    n = MAX_COUNTERS + 20
+def test_wide_table_is_profiled_in_one_pass(spark):
+    n = 320
     df = spark.range(10).select(*[F.when(F.col("id") < i % 3, F.col("id")).alias(f"c{i}") for i in range(n)])
-    got = errors(profile(df, "wide", [ColumnRule("7S", "null", P.is_null)]))
+    plan = profile(df, "wide", [ColumnRule("7S", "null", P.is_null)])
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
+    got = errors(plan)
     assert len(got) == n
     assert all(got["wide", "7S", f"c{i}"] == (10 - i % 3, 10) for i in range(n))
     assert profile(df.filter("1 = 0"), "wide", [ColumnRule("7S", "null", P.is_null)]).count() == 1

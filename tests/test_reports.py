@@ -1,5 +1,6 @@
 import pytest
 
+from tablemend.constants import MISSING_FK
 from tablemend.operators import report as R
 from tablemend.operators.metrics import metric_rows
 from tablemend.operators.semantic import SUGGESTED, code_lookup, suggest_codes
@@ -112,6 +113,10 @@ def test_whole_run(spark, tmp_path):
     assert ("encounters", "15C", "PATIENT_FK_Corrected_Direct") in log
     left = errors(out.after)
     assert all(bad == 0 for (t, d, r), (bad, _) in left.items() if d == "17PC_RI" and "MISSING" not in r)
+    # Rows without any key are marked and given to nobody, and no mark counts as a parent.
+    rows = out.tables["conditions"].collect()
+    lost = [r for r in rows if r.ENCOUNTER == MISSING_FK and r.PATIENT == MISSING_FK]
+    assert lost and not any(r.PATIENT == "UNKNOWN" or r.ENCOUNTER == "UNKNOWN" for r in rows)
     compared = {(r.table_name, r.rule_name): r for r in out.comparison.collect()}
     assert compared["patients", None].errors_before == 1 and compared["patients", None].errors_after == 0
     assert out.integrity.count() > 0 and out.fixes.count() > 0 and out.validation.count() > 0

@@ -16,7 +16,7 @@ def base(clinic, tmp_path_factory):
     return base
 
 
-def test_all_steps(spark, base, capsys):
+def test_all_steps(spark, base):
     at = ["--as-of", AS_OF]
     main(["profile", f"{base}/original", f"{base}/m0", *at])
     main(["inject", f"{base}/original", f"{base}/corrupted", "--formats", "parquet,json,csv", *at])
@@ -26,10 +26,12 @@ def test_all_steps(spark, base, capsys):
     main(["correct", f"{base}/corrupted", f"{base}/corrected", f"{base}/m3", *at])
     main(["correct", f"{base}/corrupted", f"{base}/uncoupled", f"{base}/m4", "--keep-keys", *at])
     main(["profile", f"{base}/corrected", f"{base}/m5", "--layout", "parts", *at])
-    main(["report", f"{base}/m1"])
-    main(["compare", f"{base}/m1", f"{base}/m5"])
-    shown = capsys.readouterr().out
-    assert "rules with most errors" in shown and "errors_delta" in shown
+    main(["report", f"{base}/m1", f"{base}/shares"])
+    main(["compare", f"{base}/m1", f"{base}/m5", f"{base}/compared"])
+    reports = ("severity", "matrix", "dimensions", "tables", "errors_by_dimension", "errors_by_table", "top_rules")
+    assert all(spark.read.json(f"{base}/shares/{r}").count() > 0 for r in reports)
+    assert "errors_delta" in spark.read.json(f"{base}/compared").columns
+    assert spark.read.parquet(f"{base}/report-fixes").count() > 0
     stored = [spark.read.parquet(f"{base}/m{i}") for i in range(6)]
     assert all(m.count() > 0 for m in stored)
     assert stored[3].filter("rule_name = 'Data_Saved_HDFS'").count() == 5

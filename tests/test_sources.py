@@ -99,7 +99,7 @@ def test_write_dataset_isolates_failures(spark, table, tmp_path):
 
 
 def test_lineage_is_cut_in_the_shared_folder(spark, table):
-    assert K.checkpoint_folder(spark)
+    assert K.shared_folder(spark)
     cut = K.cut_lineage(table)
     assert content(cut) == content(table)
     assert "Scan ExistingRDD" in cut._jdf.queryExecution().toString()

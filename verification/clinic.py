@@ -83,9 +83,9 @@ def encounters(tables: Star) -> DataFrame:
 
 
 def _lines(tables: Star) -> DataFrame:
-    """Line items with the customer of their order."""
+    """All line items, with the customer of their order if there is one."""
     owner = tables["orders"].selectExpr("o_orderkey as l_orderkey", "o_custkey")
-    return tables["lineitem"].join(owner, "l_orderkey")
+    return tables["lineitem"].join(owner, "l_orderkey", "left")
 
 
 _LINE_KEY = "l_orderkey * 8 + l_linenumber as line_key"

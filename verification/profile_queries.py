@@ -10,7 +10,7 @@ from tablemend.constants import (
 )
 from tablemend.functions import predicates as P
 from tablemend.functions.dates import cast_date
-from tablemend.model import ColumnRule, FkRule, Rule
+from tablemend.model import ColumnRule, CrossRule, FkRule, Rule
 from tablemend.operators.cross_rules import cross_profile
 from tablemend.operators.metrics import union_all
 from tablemend.operators.orphans import KeyUse, fk_metrics, key_use_counts
@@ -189,7 +189,7 @@ def _validation_checks(table: str) -> list[str]:
                    f"NOT {S.matches('CODE', '^[A-Za-z0-9.-]+$')}")
 
     def number(c: str) -> str:
-        return S.matches(c, r"^\s*[+-]?\d{1,18}(\.\d*)?\s*$")
+        return f"TRY_CAST(regexp_extract({c}, '^\\s*([+-]?\\d+)(?:\\.\\d*)?\\s*$', 1) AS BIGINT) IS NOT NULL"
 
     def unreadable(c: str, *layouts: str) -> str:
         return f"{c} IS NULL OR NOT ({S.any_day(c, *layouts)} IS NOT NULL OR {number(c)})"
@@ -464,8 +464,8 @@ def event_after_parent_date(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey"""))
 def shipped_before_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = star(spark, sf_dir, "lineitem", "orders")
-    rule = Rule("8BL", "l_shipdate/o_orderdate", "shipped before the order",
-                lambda shipped, ordered: cast_date(shipped) < ordered, ("l_shipdate", "ordered"))
+    rule = CrossRule("8BL", "l_shipdate/o_orderdate", "shipped before the order", ("l_shipdate",), cast_date,
+                     ("ordered",), None, lambda shipped, ordered: shipped < ordered)
     facts = {"ordered": F.min(cast_date(F.col("o_orderdate")))}
     return cross_profile(ds["lineitem"], "lineitem", "l_orderkey", ds["orders"], "o_orderkey", facts, [rule])
 
@@ -565,8 +565,7 @@ def structure_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _declared(table: str) -> list[tuple[str, str]]:
-    kinds = {"S": "string", "D": "date", "L": "bigint"}
-    return [(f.split(":")[0], kinds[f.split(":")[1]]) for f in synthea.SCHEMAS[table].split()]
+    return [(f.name, f.dataType.simpleString()) for f in synthea.schema(table)]
 
 
 def _drift_sql(table: str) -> list[str]:

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemend.constants import UNKNOWN
+from tablemend.constants import TIMELINESS
 from tablemend.functions.dates import EUROPEAN, ISO
 from tablemend.model import FkRule
 from tablemend.operators import correct as C
 from tablemend.operators.integrity_report import integrity_report
 from tablemend.operators.metrics import union_all
-from tablemend.operators.orphans import link_rates
+from tablemend.operators.orphans import link_rates, orphans
+from tablemend.operators.profile import profile
 from tablemend.operators.repair import (
     MARK_MISSING, fix_log, repair_integrity, repair_keys, sanitize_identifiers,
 )
@@ -23,7 +23,7 @@ from tablemend.plans import pipeline, synthea
 from tablemend.sources.discovery import discover
 from tablemend.sources.readers import read_text
 from tablemend.sources.sinks import (
-    checkpoint_folder, offending_sample, stage_dataset, write_corrupted, write_table,
+    offending_sample, shared_folder, stage_dataset, write_corrupted, write_table,
 )
 from verification import clinic
 from verification import sql as S
@@ -31,9 +31,8 @@ from verification.catalog import query
 from verification.profile_queries import specs
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder for files of a query, in the shared checkpoint folder if there is one."""
-    shared = checkpoint_folder(spark)
-    return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tables-")
+    """A new folder for files of a query, in the folder that all executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
 # --- one correction at a time ------------------------------------------------
@@ -508,7 +507,65 @@ def source_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_text(spark, path)
 
 
-@query("offending_sample")
+_NO_PATIENT = "SELECT * FROM encounters WHERE {nulls} coalesce(PATIENT NOT IN (SELECT ID FROM patients WHERE ID IS NOT NULL), {null})"
+
+
+@query("orphan_rows_nulls_count", S.with_(S.ctes("patients", "encounters"), _NO_PATIENT.format(nulls="PATIENT IS NULL OR", null="true")))
+def orphan_rows_nulls_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ds = clinic.dirty(spark, sf_dir, "patients", "encounters")
+    return orphans(ds["encounters"], "PATIENT", ds["patients"], "ID", nulls_are_orphans=True, ignore_case=False)
+
+
+@query("orphan_rows_nonnull_ci", S.with_(S.ctes("encounters", "conditions"), """
+SELECT * FROM conditions WHERE ENCOUNTER IS NOT NULL AND lower(ENCOUNTER) <> 'bad'
+AND lower(ENCOUNTER) NOT IN (SELECT lower(ID) FROM encounters WHERE ID IS NOT NULL)"""))
+def orphan_rows_nonnull_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ds = clinic.dirty(spark, sf_dir, "encounters", "conditions")
+    return orphans(ds["conditions"], "ENCOUNTER", ds["encounters"], "ID", nulls_are_orphans=False, ignore_case=True,
+                   sentinel="BAD")
+
+
+@query("offending_sample", S.with_(S.ctes("patients", "encounters"), f"""
+SELECT PATIENT, ID, START FROM ({_NO_PATIENT.format(nulls="", null="false")})
+ORDER BY PATIENT NULLS FIRST, ID NULLS FIRST, START NULLS FIRST LIMIT 5"""))
 def sample_of_offenders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = repair_integrity(clinic.dirty(spark, sf_dir), specs())["conditions"]
-    return offending_sample(df, F.col("PATIENT") == UNKNOWN, ["PATIENT", "ENCOUNTER"])
+    ds = clinic.dirty(spark, sf_dir, "patients", "encounters")
+    lost = orphans(ds["encounters"], "PATIENT", ds["patients"], "ID", nulls_are_orphans=False, ignore_case=False)
+    return offending_sample(lost, F.lit(True), ["PATIENT", "ID", "START"])
+
+
+@query("repair_numeric_keys", """
+SELECT l_orderkey, l_linenumber,
+       CASE WHEN l_partkey % 5 <> 0 THEN CAST(l_partkey AS VARCHAR) ELSE 'MISSING_FK' END AS l_partkey,
+       CASE WHEN l_suppkey % 3 = 0 THEN CAST(l_suppkey AS VARCHAR) ELSE 'UNKNOWN' END AS code
+FROM lineitem""")
+def repair_numeric_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers as keys and codes: parts divisible by five are missing, two suppliers in three have a negative code."""
+    part = clinic.table(spark, sf_dir, "part").filter("p_partkey % 5 <> 0")
+    lines = clinic.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_partkey", "if(l_suppkey % 3 = 0, l_suppkey, -l_suppkey) AS code")
+    linked = repair_keys(lines, [FkRule("lineitem", "l_partkey", "part", "p_partkey")], {"part": part}, MARK_MISSING)
+    return C.apply_fix(linked, C.fix_numeric_code("code"))
+
+
+@query("correct_fill_numbers", """
+SELECT l_orderkey, CASE WHEN l_quantity > 45 THEN 0 ELSE l_quantity END AS quantity,
+       CASE WHEN l_partkey % 7 = 0 THEN 0 ELSE l_partkey END AS part,
+       CASE WHEN l_returnflag = 'N' THEN 'UNKNOWN' ELSE l_returnflag END AS flag, l_shipdate
+FROM lineitem""")
+def correct_fill_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    holes = clinic.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "if(l_quantity > 45, null, l_quantity) AS quantity", "if(l_partkey % 7 = 0, null, l_partkey) AS part",
+        "nullif(l_returnflag, 'N') AS flag", "l_shipdate")
+    return C.fill_nulls(holes)
+
+
+@query("profile_numeric_period", S.metric_from("orders", TIMELINESS, "START/STOP", "STOP pirms START", """
+SELECT count(*) FILTER (WHERE o_orderkey % 11 = 0) AS e, count(*) AS t FROM orders"""))
+def profile_numeric_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """START and STOP as 64-bit numbers, the declared type: one order in eleven stops before it starts."""
+    rows = clinic.table(spark, sf_dir, "orders").selectExpr(
+        "unix_timestamp(cast(o_orderdate as timestamp)) AS START",
+        "unix_timestamp(cast(o_orderdate as timestamp)) + if(o_orderkey % 11 = 0, -1, 86400) AS STOP")
+    rules = [r for r in synthea.profile_rules() if getattr(r, "name", "") == "START/STOP"]
+    return profile(rows, "orders", rules)

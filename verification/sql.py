@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tablemend.plans import synthea
+from verification import clinic
 from verification.clinic import AS_OF
 
 TODAY = f"DATE '{AS_OF}'"
@@ -69,35 +71,17 @@ def uuid(head: str, key: str) -> str:
     return f"'{head}000000-0000-4000-8000-' || lpad(CAST({key} AS VARCHAR), 12, '0')"
 
 
-_DESCRIPTIONS = [
-    "Received certificate of high school equivalency (finding)",
-    "Chronic neck pain (finding)",
-    "Acute deep venous thrombosis (disorder)",
-    "Nonproliferative diabetic retinopathy due to type 2 diabetes mellitus (disorder)",
-    "Neuropathy due to type 2 diabetes mellitus (disorder)",
-    "Chronic intractable migraine without aura (disorder)",
-    "Microalbuminuria due to type 2 diabetes mellitus (disorder)",
-    "Macular edema and retinopathy due to type 2 diabetes mellitus (disorder)",
-    "Proliferative diabetic retinopathy due to type II diabetes mellitus (disorder)",
-    "Normal pregnancy (finding)",
-    "Diabetes mellitus: TYPE 2 diabetes mellitus (disorder)",
-    "  Chronic neck pain  ",
-    "Stress",
-]
-_CODES = [
-    "105480006", "279039007", "128053003", "399270008", "230572002", "719080004", "408540003", "422034002",
-    "399304008",
-]
+_DESCRIPTIONS = clinic.DESCRIPTIONS
 CODE_LIST = "code_list(description, code) AS (VALUES " + ", ".join(
-    f"({quote(d)}, {quote(c)})" for d, c in zip(_DESCRIPTIONS, _CODES)
+    f"({quote(d)}, {quote(c)})" for d, c in synthea.CODE_LIST.items()
 ) + ")"
 
 _LIST = "[" + ", ".join(quote(d) for d in _DESCRIPTIONS) + "]"
-_CODE_ARRAY = "[" + ", ".join(quote(c) for c in _CODES) + "]"
+_CODE_ARRAY = "[" + ", ".join(quote(c) for c in synthea.CODE_LIST.values()) + "]"
 _LINES = """
 lines AS (
   SELECT l.*, o.o_custkey, l.l_orderkey * 8 + l.l_linenumber AS k, CAST(l.l_shipdate AS DATE) AS d
-  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
+  FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
 
 CLEAN = {
     "patients": f"""
