@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.step == "profile":
         metric_store.write_metrics(pipeline.profile_dataset(tables(), specs, isolate=True), args.metrics)
     elif args.step == "validate":
-        metric_store.write_metrics(pipeline.validate_dataset(tables(), specs), args.metrics)
+        metric_store.write_metrics(pipeline.validate_dataset(tables(), specs, isolate=True), args.metrics)
     elif args.step == "repair":
         ds = tables()
         metric_store.write_metrics(fix_log(ds, specs), f"{args.report.rstrip('/')}-fixes")
@@ -77,8 +77,9 @@ def main(argv: list[str] | None = None) -> None:
         staging = f"{args.out.rstrip('/')}-marked"
         corrected, log = pipeline.correct_with_log(ds, specs, staging, repair=keys)
         saved = write_dataset(corrected, args.out, "csv")
-        after = pipeline.assess_corrected(corrected, specs, pipeline.MISSING_FK if keys else None)
+        after = pipeline.assess_corrected(corrected, specs, pipeline.MISSING_FK if keys else None, isolate=True)
         metric_store.write_metrics(union_all([log, saved, after]), args.metrics)
+        export_json(metric_store.read_metrics(spark, args.metrics).coalesce(1), f"{args.metrics.rstrip('/')}-json")
     elif args.step == "report":
         stored = metric_store.read_metrics(spark, args.metrics)
         shares = R.dimension_share(stored)

@@ -19,7 +19,7 @@ from tablemend.constants import (
 from tablemend.functions.columns import column, quoted, resolve
 from tablemend.functions.dates import clamp_future, clamp_order, iso_text, parse_any
 from tablemend.model import Fix, TableSpec
-from tablemend.operators.metrics import metric, unfold
+from tablemend.operators.metrics import metric, skipped, unfold
 
 _COPIES, _FILLED = "__copies", "__filled"
 _FIXED, _TRIMMED = "__fixed", "__trimmed"
@@ -173,7 +173,7 @@ def apply_fix(df: DataFrame, fix: Fix) -> DataFrame:
 def correction_log(
     marked: DataFrame, table: str, fixes: Sequence[Fix], dimension: str = "15C"
 ) -> DataFrame:
-    """Rows changed by every step, from the marks; steps whose columns are missing have no row."""
+    """Rows changed by every step, from the marks; steps whose columns are missing are reported as skipped."""
     usable = _usable(marked, fixes)
     counted = marked.agg(
         F.coalesce(F.sum(_COPIES), F.lit(0)).alias("before"),
@@ -188,7 +188,12 @@ def correction_log(
         *[(f.name, f.description, f"f{i}", "after") for i, f in enumerate(usable)],
         ("Whitespace_Trimmed", "surrounding blanks removed", "trimmed", "after"),
     ]
-    return unfold(counted, [metric(table, dimension, n, text, e, t) for n, text, e, t in steps])
+    lost = {f.name: [c for c in f.columns if not resolve(marked, c)] for f in fixes if f not in usable}
+    return unfold(counted, [
+        *[metric(table, dimension, n, text, e, t) for n, text, e, t in steps],
+        *[skipped(table, dimension, f"{name}_Skipped", f"not corrected, column missing: {', '.join(columns)}")
+          for name, columns in lost.items()],
+    ])
 
 
 def corrector(spec: TableSpec) -> Callable[[DataFrame], DataFrame]:

@@ -58,16 +58,22 @@ def profile_dataset(
 
 
 def validate_dataset(
-    ds: Dataset, specs: Mapping[str, TableSpec], impute: bool = True, limit: int | None = None
+    ds: Dataset, specs: Mapping[str, TableSpec], impute: bool = True, limit: int | None = None, isolate: bool = False
 ) -> DataFrame:
     """All checks before the correction: domain, schema, syntax, keys, business, semantics, age.
 
     Outside the healthcare domain the rules that only make sense there are
     reported as skipped.  ``impute`` adds the count of keys that could be filled.
+    With ``isolate`` a table that cannot be read is reported and left out.
     """
     spark = next(iter(ds.values())).sparkSession
     domain = detect_domain(list(ds), synthea.DOMAINS)
     parts = [domain_metric(spark, domain), schema_drift(ds, specs)]
+    if isolate:
+        ds, failures = _readable(ds)
+        parts += failures
+        if not ds:
+            return union_all(parts)
     if domain is not synthea.HEALTHCARE:
         for name, df in ds.items():
             general = [r for r in (specs[name].validation_rules if name in specs else ()) if r.dimension != "7S"]
@@ -103,6 +109,22 @@ def validate_dataset(
     return union_all(parts)
 
 
+def _readable(ds: Dataset) -> tuple[Dataset, list[DataFrame]]:
+    """The tables whose rows can be read in all columns, and a volume row for each of the others."""
+    good, failures = {}, []
+    for name, df in ds.items():
+        digest = F.bit_xor(F.xxhash64(*[F.col(quoted(c)).cast("string") for c in df.columns]))
+        counted = df.agg(F.count(F.lit(1)).alias("n"), digest.alias("digest"))
+        read = "concat('rows can be read', if(digest is null, '', ''))"  # the digest makes the scan read every column
+        row = metric(name, "6V", "Volume", "rows can be read", "0", "n").replace("'rows can be read'", read)
+        found = isolated(df.sparkSession, name, unfold(counted, [row]))
+        if found.filter(F.col("status") == FAILED).isEmpty():
+            good[name] = df
+        else:
+            failures.append(found)
+    return good, failures
+
+
 def _skip(df: DataFrame, name: str, dimensions: Sequence[str], why: str) -> DataFrame:
     return unfold(df.sparkSession.range(1), [skipped(name, d, "Domain_Specific_Checks", why) for d in dimensions])
 
@@ -181,9 +203,18 @@ def _rekeyed(flag: str, chained: set[str]) -> str:
     return f"{name}_FK_Corrected_{'Three_Table' if name in chained else 'Direct'}"
 
 
-def assess_corrected(ds: Dataset, specs: Mapping[str, TableSpec], sentinel: str | None = MISSING_FK) -> DataFrame:
-    """The checks on corrected tables; keys marked with ``sentinel`` are counted apart."""
+def assess_corrected(
+    ds: Dataset, specs: Mapping[str, TableSpec], sentinel: str | None = MISSING_FK, isolate: bool = False
+) -> DataFrame:
+    """The checks on corrected tables; keys marked with ``sentinel`` are counted apart.
+
+    With ``isolate`` a table that cannot be read is reported and left out.
+    """
     parts = []
+    if isolate:
+        ds, parts = _readable(ds)
+        if not ds:
+            return union_all(parts)
     for name, df in ds.items():
         rules = specs[name].post_rules if name in specs else ()
         parts += [
@@ -196,6 +227,8 @@ def assess_corrected(ds: Dataset, specs: Mapping[str, TableSpec], sentinel: str
     if fks:
         parts.append(fk_metrics(ds, fks, "17PC_RI", nulls_are_orphans=False, ignore_case=True, sentinel=sentinel,
                                 report_sentinel=sentinel is not None, full_rule_name=False))
+        empty = empty_references(ds, fks, "17PC_RI")
+        parts += [] if empty is None else [empty]
     return union_all(parts)
 
 

@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemend.constants import (
-    ACCURACY, CODE_PATTERN, COMPLETENESS, DASHED_PATTERN, DIGITS_PATTERN, TIMELINESS, UNIQUENESS, VALIDITY,
+    ACCURACY, CODE_PATTERN, COMPLETENESS, DASHED_PATTERN, DIGITS_PATTERN, DIMENSION_NAMES, TIMELINESS, UNIQUENESS, VALIDITY,
 )
 from tablemend.functions import predicates as P
 from tablemend.functions.dates import cast_date
+from tablemend.functions.draws import HashDraws
 from tablemend.model import ColumnRule, CrossRule, FkRule, Rule
 from tablemend.operators.cross_rules import cross_profile
 from tablemend.operators.metrics import union_all
 from tablemend.operators.orphans import KeyUse, fk_metrics, key_use_counts
 from tablemend.operators.profile import profile
+from tablemend.operators.report import by_dimension
 from tablemend.operators.semantic import code_lookup, suggest_codes, suggested_codes, unknown_codes
 from tablemend.operators.structure import (
     detect_domain, domain_metric, overview, schema_drift, volumes,
@@ -46,6 +48,7 @@ STAR = {
     "pages": ["page_id", "url", "html"],
     "benchmark": ["item_id", "text"],
     "conversations": ["conv_id", "turn", "role", "text"],
+    "embeddings": ["vec_id", "embedding", "label"],
 }
 
 
@@ -106,10 +109,10 @@ def table_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("empty_table_volume", S.union([
     S.metric_from("orders", "6V", "Volume", "table has no rows",
-                  "SELECT count(*) AS e, count(*) AS t FROM orders WHERE o_orderdate > o_orderdate", "empty"),
+                  "SELECT count(*) AS e, count(*) AS t FROM orders WHERE o_totalprice < -1e18", "empty"),
 ]))
 def empty_table_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = star(spark, sf_dir, "orders")["orders"].filter("o_orderdate > o_orderdate")
+    none = star(spark, sf_dir, "orders")["orders"].filter("o_totalprice < -1e18")
     rule = ColumnRule(COMPLETENESS, FILLED, P.null_or_empty, upper_names=True)
     return profile(none, "orders", [rule])
 
@@ -531,11 +534,11 @@ def semantic_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("semantic_unknown_parts", S.check(
     "lineitem", "9S", "l_partkey", "numeric code not in the code list",
-    "l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_type <> 'ECONOMY')"))
+    "l_linenumber = 2 OR l_partkey NOT IN (SELECT p_partkey FROM part)"))
 def semantic_unknown_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = star(spark, sf_dir, "lineitem", "part")
-    codes = ds["part"].filter("p_type <> 'ECONOMY'")
-    return unknown_codes(ds["lineitem"], "lineitem", codes, "l_partkey", "p_partkey", rule="l_partkey")
+    lines = ds["lineitem"].withColumn("l_partkey", F.expr("if(l_linenumber = 2, l_partkey + 1000000000000, l_partkey)"))
+    return unknown_codes(lines, "lineitem", ds["part"], "l_partkey", "p_partkey", rule="l_partkey")
 
 
 _THROUGH = "through AS (SELECT lower(ID) AS id, min(PATIENT) AS parent FROM encounters GROUP BY 1)"
@@ -605,6 +608,15 @@ def domain_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return domain_metric(spark, detect_domain(list(ds), synthea.DOMAINS)).unionByName(volumes(ds))
 
 
+@query("schema_undeclared", S.union(
+    [S.metric_from(t, "5MD", "Schema Definition", "no schema declared", "SELECT 1 AS e, 1 AS t") for t in STAR]
+    + [S.metric_from(t, "6V", "Volume", "table has rows", f"SELECT 0 AS e, count(*) AS t FROM {t}") for t in STAR]
+))
+def schema_undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ds = star(spark, sf_dir)
+    return schema_drift(ds, {}).unionByName(volumes(ds))
+
+
 # --- the whole validation ----------------------------------------------------
 
 def _validation_sql() -> list[str]:
@@ -629,6 +641,32 @@ def validate_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.validate_dataset(clinic.dirty(spark, sf_dir), specs())
 
 
+_NAMED = " ".join(f"WHEN '{code}' THEN {S.quote(name)}" for code, name in DIMENSION_NAMES.items())
+
+
+@query("report_by_dimension_named", S.with_(
+    [*S.ctes(*S.TABLES), _DEATHS, _CLINICAL_CTES, S.CODE_LIST, _SUGGEST, _THROUGH], f"""
+SELECT quality_dimension, CASE quality_dimension {_NAMED} ELSE quality_dimension END AS dimension_name,
+  CAST(sum(error_count) AS BIGINT) AS error_count FROM ({S.union(_validation_sql())}) GROUP BY quality_dimension"""))
+def report_by_dimension_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_dimension(pipeline.validate_dataset(clinic.dirty(spark, sf_dir), specs()))
+
+
+@query("inject_hash_draws", """
+SELECT rate, true AS within, count(*) AS n FROM lineitem, (VALUES ('0.05'), ('0.01'), ('0.3')) AS r(rate) GROUP BY rate""")
+def inject_hash_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draws of production: within five standard errors of their rate."""
+    draws = HashDraws()
+    seeded = star(spark, sf_dir, "lineitem")["lineitem"].withColumn(
+        "seed", draws.seed([F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")]))
+    parts = []
+    for salt, rate in enumerate((0.05, 0.01, 0.3)):
+        hit = F.avg(draws.below("seed", str(salt), rate).cast("double"))
+        within = F.abs(hit - rate) <= 5 * F.sqrt(F.lit(rate * (1 - rate)) / F.count(F.lit(1)))
+        parts.append(seeded.agg(within.alias("within"), F.count(F.lit(1)).alias("n")).select(F.lit(str(rate)).alias("rate"), "within", "n"))
+    return union_all(parts)
+
+
 # --- injection ---------------------------------------------------------------
 
 def _injection(table: str) -> None:

@@ -13,17 +13,18 @@ from tablemend.model import FkRule
 from tablemend.operators import correct as C
 from tablemend.operators.integrity_report import integrity_report
 from tablemend.operators.metrics import union_all
-from tablemend.operators.orphans import link_rates, orphans
+from tablemend.operators.orphans import empty_references, link_rates, orphans
 from tablemend.operators.profile import profile
 from tablemend.operators.repair import (
     MARK_MISSING, fix_log, repair_integrity, repair_keys, sanitize_identifiers,
 )
+from tablemend.operators.structure import volumes
 from tablemend.operators.uniqueness import drop_duplicate_rows
 from tablemend.plans import pipeline, synthea
 from tablemend.sources.discovery import discover
 from tablemend.sources.readers import read_text
 from tablemend.sources.sinks import (
-    offending_sample, shared_folder, stage_dataset, write_corrupted, write_table,
+    export_json, offending_sample, shared_folder, stage_dataset, write_corrupted, write_dataset, write_table,
 )
 from verification import clinic
 from verification import sql as S
@@ -331,13 +332,16 @@ LINKED_CTES = [*S.ctes(*S.TABLES), *[sanitized(t) for t in S.TABLES], *KEY_CTES,
 
 @query("repair_integrity", S.with_(LINKED_CTES, """
 SELECT 'encounters' AS table_name, ID, PATIENT, '' AS ENCOUNTER FROM encounters_linked
+UNION ALL SELECT 'patients', ID, '', '' FROM patients_linked
 UNION ALL SELECT 'conditions', START, PATIENT, ENCOUNTER FROM conditions_linked
 UNION ALL SELECT 'medications', START, PATIENT, ENCOUNTER FROM medications_linked
 UNION ALL SELECT 'allergies', START, PATIENT, ENCOUNTER FROM allergies_linked"""))
 def repair_all_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = repair_integrity(clinic.dirty(spark, sf_dir), specs())
     parts = [fixed["encounters"].select(F.lit("encounters").alias("table_name"), "ID", "PATIENT",
-                                        F.lit("").alias("ENCOUNTER"))]
+                                        F.lit("").alias("ENCOUNTER")),
+             fixed["patients"].select(F.lit("patients").alias("table_name"), "ID", F.lit("").alias("PATIENT"),
+                                      F.lit("").alias("ENCOUNTER"))]
     for t in synthea.CLINICAL:
         parts.append(fixed[t].select(F.lit(t).alias("table_name"), F.col("START").alias("ID"), "PATIENT", "ENCOUNTER"))
     return union_all(parts)
@@ -507,6 +511,34 @@ def source_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_text(spark, path)
 
 
+@query("empty_reference", S.metric_from(
+    "lineitem", "15C", "l_orderkey_Ref_Table_Empty", "orders.o_orderkey has no keys",
+    "SELECT 1 AS e, 1 AS t WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice < -1e18)"))
+def empty_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ds = {"lineitem": clinic.table(spark, sf_dir, "lineitem"),
+          "orders": clinic.table(spark, sf_dir, "orders").filter("o_totalprice < -1e18")}
+    return empty_references(ds, [FkRule("lineitem", "l_orderkey", "orders", "o_orderkey")])
+
+
+_SAVED = ("customer", "orders", "lineitem")
+
+
+@query("sink_dataset_saved", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, 'Data_Saved_HDFS' AS rule_name, count(*) AS total_count FROM {t}" for t in _SAVED))
+def sink_dataset_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ds = {t: clinic.table(spark, sf_dir, t) for t in _SAVED}
+    return write_dataset(ds, _folder(spark), "parquet").select("table_name", "rule_name", "total_count")
+
+
+@query("sink_metrics_json", S.union(
+    [S.metric_from(t, "6V", "Volume", "table has rows", f"SELECT 0 AS e, count(*) AS t FROM {t}") for t in _SAVED]))
+def sink_metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_folder(spark)}/metrics"
+    found = volumes({t: clinic.table(spark, sf_dir, t) for t in _SAVED})
+    export_json(found, path)
+    return spark.read.schema(found.schema).json(path)
+
+
 _NO_PATIENT = "SELECT * FROM encounters WHERE {nulls} coalesce(PATIENT NOT IN (SELECT ID FROM patients WHERE ID IS NOT NULL), {null})"
 
 
