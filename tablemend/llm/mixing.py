@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from tablemend.llm.common import WORD, stage, uniform
 
 CELLS = 4096
+#: Up to so many sources (a few MB), what is known per source is broadcast; beyond, the engine chooses the join.
+FEW_SOURCES = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -94,23 +96,24 @@ def plan(docs: DataFrame, weights: Sequence[float], share: float, most: float,
     goal = goal.withColumn("__whole", whole.cast("long"))
     goal = stage(goal.withColumn("__rest", F.col("target") - F.col("__whole") * F.col("source_size")), "mix-targets")
 
+    few = goal.count() <= FEW_SOURCES
     open_ = goal.filter(F.col("__rest") > 0).select("source", "__rest")
     rows = narrow.filter(F.col("__size") > 0).select("source", "__size", "__rank")
-    first = stage(_cut(rows, open_, 0.0), "mix-cuts")
+    first = stage(_cut(rows, open_, 0.0, few), "mix-cuts")
     gaps = _same(open_, first).withColumn("__rest", F.col("__rest") - F.col("__used"))
     # What the next document overshoots is filled with documents of a quarter of the gap or less, in rank order.
     gaps = gaps.filter(F.col("__rest") > 0).withColumn("__limit", F.col("__rest") / 4)
-    later = _join(rows, gaps.select("source", "__cut", "__limit")).filter(
+    later = _join(rows, gaps.select("source", "__cut", "__limit"), few).filter(
         (F.col("__rank") > F.col("__cut")) & (F.col("__size") <= F.col("__limit"))
     )
-    second = _cut(later.select("source", "__size", "__rank"), gaps.select("source", "__rest"), 0.5)
+    second = _cut(later.select("source", "__size", "__rank"), gaps.select("source", "__rest"), 0.5, few)
     cuts = _same(goal, first.select("source", "__cut"))
     cuts = _same(cuts, gaps.select("source", "__limit"))
     cuts = _same(cuts, second.select("source", F.col("__cut").alias("__fill")))
     return narrow, stage(cuts.drop("__rest"), "mix-cuts")
 
 
-def _cut(rows: DataFrame, goals: DataFrame, part: float) -> DataFrame:
+def _cut(rows: DataFrame, goals: DataFrame, part: float, few: bool) -> DataFrame:
     """source, __cut, __used: ranks up to __cut hold about __rest words.
 
     The last rank counts if all but ``part`` of its words fit.  Where all rows together
@@ -118,12 +121,12 @@ def _cut(rows: DataFrame, goals: DataFrame, part: float) -> DataFrame:
     """
     first = F.col("__rank") * CELLS
     second = (first - F.floor(first)) * CELLS
-    one = stage(_same(goals, _cell(_join(rows, goals), first, "__rest", "__c1")), "mix-cells")
+    one = stage(_same(goals, _cell(_join(rows, goals, few), first, "__rest", "__c1")), "mix-cells")
     inner = one.withColumn("__rest", F.col("__rest") - F.coalesce("__before", F.lit(0))).drop("__before")
-    hit = _join(rows, inner).filter(_cell_of(first) == F.col("__c1"))
+    hit = _join(rows, inner, few).filter(_cell_of(first) == F.col("__c1"))
     two = stage(_same(inner, _cell(hit, second, "__rest", "__c2")), "mix-cells")
     last = two.withColumn("__rest", F.col("__rest") - F.coalesce("__before", F.lit(0))).drop("__before")
-    near = _join(rows, last).filter((_cell_of(first) == F.col("__c1")) & (_cell_of(second) == F.col("__c2")))
+    near = _join(rows, last, few).filter((_cell_of(first) == F.col("__c1")) & (_cell_of(second) == F.col("__c2")))
     equal = near.groupBy("source", "__rank").agg(F.sum("__size").alias("__n"), F.first("__rest").alias("__rest"))
     upto = Window.partitionBy("source").orderBy("__rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fits = F.col("__upto") - F.col("__n") * part <= F.col("__rest")
@@ -143,9 +146,9 @@ def _cell_of(position: Column) -> Column:
     return F.least(F.floor(position), F.lit(CELLS - 1))
 
 
-def _join(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+def _join(rows: DataFrame, bounds: DataFrame, few: bool) -> DataFrame:
     b = bounds.withColumnRenamed("source", "__source")
-    return rows.join(b, rows["source"].eqNullSafe(b["__source"])).drop("__source")
+    return rows.join(F.broadcast(b) if few else b, rows["source"].eqNullSafe(b["__source"])).drop("__source")
 
 
 def _same(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -162,7 +165,7 @@ def _copies() -> Column:
 
 def _attach(rows: DataFrame, cuts: DataFrame, source: str = "source") -> DataFrame:
     c = cuts.withColumnRenamed("source", "__source")
-    joined = rows.join(c, rows[source].eqNullSafe(c["__source"]), "left")
+    joined = rows.join(F.broadcast(c) if cuts.count() <= FEW_SOURCES else c, rows[source].eqNullSafe(c["__source"]), "left")
     return joined.withColumn("__copies", _copies())
 
 
