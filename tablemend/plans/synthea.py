@@ -98,7 +98,10 @@ STALE_DAYS = 365 * 5
 
 
 def schema(table: str) -> T.StructType:
-    return T.StructType.fromDDL(SCHEMAS[table])
+    """The declared columns; needs no session."""
+    types = {"string": T.StringType(), "date": T.DateType(), "bigint": T.LongType()}
+    fields = [field.split(" ") for field in SCHEMAS[table].split(", ")]
+    return T.StructType([T.StructField(name, types[kind]) for name, kind in fields])
 
 
 def code_list(spark: SparkSession) -> DataFrame:
