@@ -379,7 +379,7 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     seats = heads.select("v", F.explode(_bands("sig")).alias("bucket"))
     shared = seats.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n"), F.min("v").alias("__first")).filter(F.col("__n") > 1)
     met = stage(seats.join(shared, "bucket"), "buckets")
-    crowded = met.filter(F.col("__n") > BUCKET).select(F.col("v").alias("a"), F.col("__first").alias("b")).filter("a != b")
+    crowded = met.filter(F.col("__n") > BUCKET).select(F.col("v").alias("a"), F.col("__first").alias("b")).filter("a != b").distinct()
     normal = met.filter(F.col("__n") <= BUCKET).select("bucket", "v")
     normal = normal.join(heads.select("v", "n", "sig"), "v").select("bucket", "v", "n", "sig")
     tried = normal.repartition("bucket").sortWithinPartitions("bucket", "v").mapInArrow(_bucket_edges(percent), "a long, b long")
