@@ -23,6 +23,16 @@ TIMELINESS = "Savlaicīgums (Timeliness)"
 VALIDITY = "Derīgums (Validity)"
 INTEGRITY = "Starptabulu integritāte"
 
+# The wording of the profile's findings, and the name of no domain.
+EMPTY_VALUE = "Null vai tukšas vērtības"
+BAD_GENDER = "Nederīgs dzimums"
+BAD_DATE = "Nederīgs datums"
+DIED_EARLY = "Nāves datums pirms dzimšanas"
+STOPPED_EARLY = "STOP pirms START"
+BAD_FORMAT = "Nederīgs formāts"
+REPEATED_ROWS = "Rindu dublikāti"
+UNDETERMINED = "Nenoteikts"
+
 # Dimension codes of validation, correction and re-assessment,
 # with the names the summary report shows for them.
 DIMENSION_NAMES = {

@@ -7,13 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemend.constants import CHECKED
+from tablemend.constants import CHECKED, UNDETERMINED
 from tablemend.functions.columns import resolve
 from tablemend.model import Dataset, DomainSpec, TableSpec
 from tablemend.operators.metrics import empty_table, metric, metric_rows, rows, union_all, unfold
 
-UNDETERMINED = "Nenoteikts"
-
 
 def overview(ds: Dataset) -> DataFrame:
     """Columns and rows of every table."""

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablemend.constants import FAILED, MISSING_FK
+from tablemend.constants import FAILED, MISSING_FK, REPEATED_ROWS
 from tablemend.functions.columns import quoted
 from tablemend.model import Dataset, FkRule, TableSpec
 from tablemend.operators import report
@@ -46,7 +46,7 @@ def profile_dataset(
     parts = []
     for name, df in ds.items():
         rules = specs[name].profile_rules if name in specs else synthea.profile_rules()
-        own = profile(df, name, rules).unionByName(duplicate_rows(df, name, description="Rindu dublikāti"))
+        own = profile(df, name, rules).unionByName(duplicate_rows(df, name, description=REPEATED_ROWS))
         parts.append(isolated(df.sparkSession, name, own) if isolate else own)
     if isolate:
         failed = {r["table_name"] for p in parts for r in p.filter(F.col("status") == FAILED).collect()}

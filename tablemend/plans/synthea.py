@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemend.constants import (
-    ACCURACY, CODE_PATTERN, COMPLETENESS, DASHED_PATTERN, DIGITS_PATTERN, INVALID_FORMAT, TIMELINESS, VALIDITY,
+    ACCURACY, BAD_DATE, BAD_FORMAT, BAD_GENDER, CODE_PATTERN, COMPLETENESS, DASHED_PATTERN, DIED_EARLY,
+    DIGITS_PATTERN, EMPTY_VALUE, INVALID_FORMAT, STOPPED_EARLY, TIMELINESS, VALIDITY,
 )
 from tablemend.functions import predicates as P
 from tablemend.functions.columns import column
@@ -141,13 +142,13 @@ def profile_rules() -> tuple[Rule | ColumnRule, ...]:
         return Rule(dimension, name, text, test, needs, optional=True)
 
     return (
-        ColumnRule(COMPLETENESS, "Null vai tukšas vērtības", P.null_or_empty, upper_names=True),
-        rule(ACCURACY, "GENDER", "Nederīgs dzimums", lambda c: P.outside(c, ("M", "F", "U")), "GENDER"),
-        rule(ACCURACY, "BIRTHDATE", "Nederīgs datums", lambda c: cast_date(c).isNull(), "BIRTHDATE"),
-        rule(TIMELINESS, "BIRTHDATE/DEATHDATE", "Nāves datums pirms dzimšanas",
+        ColumnRule(COMPLETENESS, EMPTY_VALUE, P.null_or_empty, upper_names=True),
+        rule(ACCURACY, "GENDER", BAD_GENDER, lambda c: P.outside(c, ("M", "F", "U")), "GENDER"),
+        rule(ACCURACY, "BIRTHDATE", BAD_DATE, lambda c: cast_date(c).isNull(), "BIRTHDATE"),
+        rule(TIMELINESS, "BIRTHDATE/DEATHDATE", DIED_EARLY,
              lambda b, d: cast_date(d) < cast_date(b), "BIRTHDATE", "DEATHDATE"),
-        rule(TIMELINESS, "START/STOP", "STOP pirms START", lambda a, b: before(b, a), "START", "STOP"),
-        rule(VALIDITY, "CODE", "Nederīgs formāts", lambda c: P.mismatch(c, CODE_PATTERN), "CODE"),
+        rule(TIMELINESS, "START/STOP", STOPPED_EARLY, lambda a, b: before(b, a), "START", "STOP"),
+        rule(VALIDITY, "CODE", BAD_FORMAT, lambda c: P.mismatch(c, CODE_PATTERN), "CODE"),
     )
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemend.constants import (
-    ACCURACY, CODE_PATTERN, COMPLETENESS, DASHED_PATTERN, DIGITS_PATTERN, DIMENSION_NAMES, TIMELINESS, UNIQUENESS, VALIDITY,
+    ACCURACY, BAD_DATE, BAD_FORMAT, BAD_GENDER, CODE_PATTERN, COMPLETENESS, DASHED_PATTERN, DIED_EARLY, DIGITS_PATTERN,
+    DIMENSION_NAMES, EMPTY_VALUE, REPEATED_ROWS, STOPPED_EARLY, TIMELINESS, UNIQUENESS, VALIDITY,
 )
 from tablemend.functions import predicates as P
 from tablemend.functions.dates import cast_date
@@ -58,12 +59,11 @@ def star(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
 
 # --- completeness and volume -------------------------------------------------
 
-FILLED = "Null vai tukšas vērtības"
 
 
 def _complete_sql(table: str, columns: list[str]) -> str:
     return S.union([
-        S.check(table, COMPLETENESS, c.upper(), FILLED, f'"{c}" IS NULL OR CAST("{c}" AS VARCHAR) = \'\'')
+        S.check(table, COMPLETENESS, c.upper(), EMPTY_VALUE, f'"{c}" IS NULL OR CAST("{c}" AS VARCHAR) = \'\'')
         for c in columns
     ])
 
@@ -71,7 +71,7 @@ def _complete_sql(table: str, columns: list[str]) -> str:
 def _completeness(table: str) -> None:
     @query(f"profile_completeness_{table}", _complete_sql(table, STAR[table]))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rule = ColumnRule(COMPLETENESS, FILLED, P.null_or_empty, upper_names=True)
+        rule = ColumnRule(COMPLETENESS, EMPTY_VALUE, P.null_or_empty, upper_names=True)
         return profile(star(spark, sf_dir, table)[table], table, [rule])
 
 
@@ -84,7 +84,7 @@ for _t in ("customer", "orders", "lineitem", "documents", "events"):
     + [S.check(t, "7S", c, "missing value (NULL)", f'"{c}" IS NULL') for t in S.TABLES for c in S.COLUMNS[t]]
 )))
 def completeness_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [ColumnRule(COMPLETENESS, FILLED, P.null_or_empty, upper_names=True),
+    rules = [ColumnRule(COMPLETENESS, EMPTY_VALUE, P.null_or_empty, upper_names=True),
              ColumnRule("7S", "missing value (NULL)", P.is_null)]
     return union_all(profile(df, n, rules) for n, df in clinic.dirty(spark, sf_dir).items())
 
@@ -113,7 +113,7 @@ def table_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 ]))
 def empty_table_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = star(spark, sf_dir, "orders")["orders"].filter("o_totalprice < -1e18")
-    rule = ColumnRule(COMPLETENESS, FILLED, P.null_or_empty, upper_names=True)
+    rule = ColumnRule(COMPLETENESS, EMPTY_VALUE, P.null_or_empty, upper_names=True)
     return profile(none, "orders", [rule])
 
 
@@ -356,18 +356,18 @@ def profile_sql(tables: list[str]) -> list[str]:
     parts = []
     for t in tables:
         parts.append(_complete_sql(t, S.COLUMNS[t]))
-        parts.append(S.duplicates(t, UNIQUENESS, None, "Rindu dublikāti"))
+        parts.append(S.duplicates(t, UNIQUENESS, None, REPEATED_ROWS))
         if t == "patients":
             parts += [
-                S.check(t, ACCURACY, "GENDER", "Nederīgs dzimums", "GENDER NOT IN ('M', 'F', 'U')"),
-                S.check(t, ACCURACY, "BIRTHDATE", "Nederīgs datums", f"{S.day('BIRTHDATE')} IS NULL"),
-                S.check(t, TIMELINESS, "BIRTHDATE/DEATHDATE", "Nāves datums pirms dzimšanas",
+                S.check(t, ACCURACY, "GENDER", BAD_GENDER, "GENDER NOT IN ('M', 'F', 'U')"),
+                S.check(t, ACCURACY, "BIRTHDATE", BAD_DATE, f"{S.day('BIRTHDATE')} IS NULL"),
+                S.check(t, TIMELINESS, "BIRTHDATE/DEATHDATE", DIED_EARLY,
                         f"{S.day('DEATHDATE')} < {S.day('BIRTHDATE')}"),
             ]
         else:
             parts += [
-                S.check(t, TIMELINESS, "START/STOP", "STOP pirms START", f"{S.day('STOP')} < {S.day('START')}"),
-                S.check(t, VALIDITY, "CODE", "Nederīgs formāts", f"NOT {S.matches('CODE', '^[A-Za-z0-9.-]+$')}"),
+                S.check(t, TIMELINESS, "START/STOP", STOPPED_EARLY, f"{S.day('STOP')} < {S.day('START')}"),
+                S.check(t, VALIDITY, "CODE", BAD_FORMAT, f"NOT {S.matches('CODE', '^[A-Za-z0-9.-]+$')}"),
             ]
     return parts + [
         S.orphans(t, "Starptabulu integritāte", f"{c}→{p}.{k}", c, p, k, nulls=True, fold=False)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemend.constants import TIMELINESS
+from tablemend.constants import STOPPED_EARLY, TIMELINESS
 from tablemend.functions.dates import EUROPEAN, ISO
 from tablemend.model import FkRule
 from tablemend.operators import correct as C
@@ -592,7 +592,7 @@ def correct_fill_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.fill_nulls(holes)
 
 
-@query("profile_numeric_period", S.metric_from("orders", TIMELINESS, "START/STOP", "STOP pirms START", """
+@query("profile_numeric_period", S.metric_from("orders", TIMELINESS, "START/STOP", STOPPED_EARLY, """
 SELECT count(*) FILTER (WHERE o_orderkey % 11 = 0) AS e, count(*) AS t FROM orders"""))
 def profile_numeric_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """START and STOP as 64-bit numbers, the declared type: one order in eleven stops before it starts."""
