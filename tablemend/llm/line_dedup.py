@@ -24,7 +24,6 @@ row loses its own lines.  An empty table gives empty tables.  Columns besides ``
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -190,17 +189,16 @@ class LineStore:
         )
 
 
-def ingest(docs: DataFrame, deliveries: int = 2, min_chars: int = MIN_CHARS, keys_per_shard: int | None = None) -> LineStore:
+def ingest(docs: DataFrame, deliveries: int = 2, min_chars: int = MIN_CHARS, keys_per_shard: int = 50_000) -> LineStore:
     """A store of all documents, inserted in ``deliveries`` batches by a hash of the id, as they would come over time.
 
-    A shard holds about as many keys as there are shards (the root of the references), 5,000 at least.
+    A shard holds at most about ``keys_per_shard`` keys, so that it fits into a task.
     """
     refs = stage(
         references(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(deliveries)).cast("int")),
         "line-refs",
     )
-    n = refs.count()
-    shards = max(1, -(-n // (keys_per_shard or max(5_000, math.isqrt(n)))))
+    shards = max(1, -(-refs.count() // keys_per_shard))
     store = LineStore.empty(docs.sparkSession, shards, min_chars)
     batches = [refs.filter(F.col("batch") == b).drop("batch") for b in range(deliveries)]
     return reduce(lambda s, b: s.insert_references(b), batches, store)
