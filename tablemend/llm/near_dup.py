@@ -5,7 +5,8 @@ five-word shingles (words as in the whole text, A-Z lower-cased; fewer words are
 
 1. Each document gets its set's size, a 128-bit digest and ``HASHES`` minhashes.  Documents
    with the same set are one vertex from here on, however many they are.
-2. Vertices that agree in a band of hashes share a bucket.  A bucket compares signatures in
+2. Vertices that agree in a band of hashes share a bucket; the bands follow from ``percent``
+   (20 of 5 hashes at 85, 25 of 4 at 80).  A bucket compares signatures in
    batches: with a uniform prior, m agreements in n hashes give the similarity a
    Beta(m + 1, n - m + 1) posterior, and a pair goes as soon as the posterior chance of reaching the
    threshold falls below ``MISS``.  Survivors are not listed pair by pair: each bucket gives the
@@ -41,9 +42,9 @@ from tablemend.llm.common import stage
 from tablemend.llm.components import components
 from tablemend.llm.textvec import chunks, mix, shingles, words
 
-BANDS, ROWS = 20, 5
-HASHES = BANDS * ROWS
-MISS = 1e-6
+HASHES = 100
+#: Posterior chance below which a pair goes, and most of the pairs at the threshold that may share no band.
+MISS, UNSEEN = 1e-6, 1e-5
 BUCKET, BLOCK = 2_000, 1_024
 _BATCH = 20
 
@@ -357,10 +358,17 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["family", "v", "n", "sig", "shingles"])
 
 
-def _bands(sig: str):
+def band_rows(percent: int) -> int:
+    """The most hashes in a band with which pairs at the threshold share one, but for ``UNSEEN`` of them."""
+    s = percent / 100
+    return max(r for r in range(1, HASHES + 1) if HASHES % r == 0 and (r == 1 or (1 - s**r) ** (HASHES // r) <= UNSEEN))
+
+
+def _bands(sig: str, percent: int):
     """An array of bucket numbers: a hash of each band's bytes and its number."""
-    width = 4 * ROWS
-    return F.array(*[F.xxhash64(F.lit(k), F.substring(sig, 1 + k * width, width)) for k in range(BANDS)])
+    rows = band_rows(percent)
+    width = 4 * rows
+    return F.array(*[F.xxhash64(F.lit(k), F.substring(sig, 1 + k * width, width)) for k in range(HASHES // rows)])
 
 
 def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -376,7 +384,7 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     heads = rows.select("rid", "doc_id", "text_key", "n", "d1", "d2", "sig").join(
         vertices.select("v", "first_doc"), F.col("rid") == F.col("v")).drop("rid")
     heads = stage(heads, "heads")
-    seats = heads.select("v", F.explode(_bands("sig")).alias("bucket"))
+    seats = heads.select("v", F.explode(_bands("sig", percent)).alias("bucket"))
     shared = seats.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n"), F.min("v").alias("__first")).filter(F.col("__n") > 1)
     met = stage(seats.join(shared, "bucket"), "buckets")
     crowded = met.filter(F.col("__n") > BUCKET).select(F.col("v").alias("a"), F.col("__first").alias("b")).filter("a != b").distinct()

@@ -5,6 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
+from tablemend.llm import near_dup
 from tests.llm.conftest import prose
 
 COLUMNS = corpus_pipeline.COLUMNS
@@ -62,3 +63,29 @@ def test_the_run_gives_the_last_stage(spark, planted):
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and rows.count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dup", "mixing", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_from_four_fifths_on_go(spark):
+    stage, rng, docs, stay = dict(corpus_pipeline.STAGES)["near_dup"], random.Random(9), [], set()
+
+    def plant(length, edits, one_stays):
+        """Texts of distinct words and their copies with single words, far apart, replaced."""
+        words = [f"w{len(docs)}x{k}" for k in range(length)]
+        copy = [f"new{k}" if k in edits else w for k, w in enumerate(words)]
+        i = len(docs)
+        docs.extend([(i, " ".join(words), "en", "s", 0), (i + 1, " ".join(copy), "en", "s", 0)])
+        stay.update({i} if one_stays else {i, i + 1})
+
+    for _ in range(8):
+        plant(100, {rng.randint(10, 40), rng.randint(60, 90)}, True)  # 86 of 106 shingles
+        plant(49, {rng.randint(10, 40)}, True)  # 40 of 50
+        plant(48, {rng.randint(10, 40)}, False)  # 39 of 49
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in stage(spark, df, "").collect()} == stay
+
+
+def test_bands_follow_the_threshold():
+    assert {p: near_dup.band_rows(p) for p in (85, 80)} == {85: 5, 80: 4}
+    for p in range(1, 100):
+        rows = near_dup.band_rows(p)
+        assert rows == 1 or (1 - (p / 100) ** rows) ** (near_dup.HASHES // rows) <= 1e-5
