@@ -8,8 +8,8 @@ characters of an entity are its terms.  With documents as events, a term t tells
 
 bits of the log2(n / n_e) bits that identify entity e: n_et documents have t near e, n_e
 have e and n_t have t anywhere, counted over all documents.  A term that tells ``SHARE`` of the bits
-or more, in two different surroundings at least, discloses the entity.  Near it, the term is
-generalised to its first letters if these tell less than that, and removed otherwise.
+or more discloses the entity, however often the two occur.  Near it, the term is generalised to its
+first letters if these tell less than that, and removed otherwise.
 
 Everything is DataFrame functions.  Positions are code points; they come from the text between the
 matches (a split by the same pattern) and running sums over a document's matches.  The patterns
@@ -126,14 +126,14 @@ def _words_at(side: str, pattern: str, origin: Column) -> Column:
 
 
 def term_occurrences(spans: DataFrame) -> DataFrame:
-    """rid, entity, term, start, end, around (a hash of the surroundings): words near entities."""
+    """rid, entity, term, start, end: words near entities."""
     before = _words_at("before", _BEFORE, F.col("start") - F.char_length("before"))
     after = _words_at("after", _AFTER, F.col("end"))
     words = spans.select(
-        "rid", "entity", F.xxhash64("before", "after").alias("around"), F.explode(F.concat(before, after)).alias("w")
+        "rid", "entity", F.explode(F.concat(before, after)).alias("w")
     )
     return words.select("rid", "entity", F.lower("w.word").alias("term"), F.col("w.start").alias("start"),
-                        (F.col("w.start") + F.char_length("w.word")).alias("end"), "around")
+                        (F.col("w.start") + F.char_length("w.word")).alias("end"))
 
 
 def _prefix(term: Column) -> Column:
@@ -154,9 +154,8 @@ def disclosing(near: DataFrame, spans: DataFrame, docs: DataFrame, share: float)
     n_e = spans.select("rid", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
 
     def together(rows: DataFrame) -> DataFrame:
-        once = rows.groupBy("entity", "term", "rid").agg(F.min("around").alias("lo"), F.max("around").alias("hi"))
-        pairs = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        return pairs.filter(F.col("lo") != F.col("hi")).drop("lo", "hi")
+        once = rows.select("entity", "term", "rid").distinct()
+        return once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"))
 
     short = near.withColumn("term", _prefix(F.col("term")))
     pairs = together(near.unionByName(short))

@@ -80,6 +80,17 @@ def test_terms_that_go_with_an_entity_are_generalised_or_removed(table):
     assert pii.sanitise(table([(1, None, "a")])).collect()[0]["sanitised"] is None
 
 
+def test_a_term_tells_as_much_in_one_surrounding(table):
+    rng = random.Random(3)
+    docs = [(k, prose(rng, 30), "a") for k in range(200)]
+    docs += [(1000, "we say that Quillon writes to q@x.org and rests", "a")]  # in one document
+    docs += [(2000 + k, "we say that Zyxwvut writes to z@x.org and rests", "a") for k in range(5)]  # in exact copies
+    docs += [(3000 + k, "we say that one writes to all and rests", "a") for k in range(150)]
+    shown = {r["doc_id"]: r["sanitised"] for r in pii.sanitise(table(docs)).collect()}
+    assert shown[1000] == "we say that  writes to [email] and rests"
+    assert all(shown[2000 + k] == "we say that  writes to [email] and rests" for k in range(5))
+
+
 def test_spans_run_without_python(spark, table):
     plan = pii.find(table([(1, "a@b.co", "x")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|ExternalRDD", plan)
