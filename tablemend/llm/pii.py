@@ -1,15 +1,17 @@
 """Personal data: spans by pattern, and terms that reveal them by what they share with the corpus.
 
 Base spans are the leftmost, non-overlapping matches of four patterns, each checked
-(:func:`valid`); every distinct value found is a protected entity.  Words within ``WINDOW``
-characters of an entity are its terms.  With documents as events, a term t tells
+(:func:`valid`); every distinct value found is a protected entity.  The words of any length, with
+letters or digits, of all documents that hold an entity are its terms.  With documents as events, a
+term t tells
 
     PMI(e; t) = log2(n * n_et / (n_e * n_t))
 
-bits of the log2(n / n_e) bits that identify entity e: n_et documents have t near e, n_e
-have e and n_t have t anywhere, counted over all documents.  A term that tells ``SHARE`` of the bits
-or more discloses the entity, however often the two occur.  Near it, the term is generalised to its
-first letters if these tell less than that, and removed otherwise.
+bits of the log2(n / n_e) bits that identify entity e: n_et documents have both, n_e
+have e and n_t have t, anywhere in the text and counted over all documents.  A term that tells ``SHARE`` of the bits
+or more discloses the entity, however often the two occur.  Wherever the term occurs in a document that
+holds the entity, it is generalised to its first letters if these are shorter and tell less than that
+of every such entity, and removed otherwise.
 
 Everything is DataFrame functions.  Positions are code points; they come from the text between the
 matches (a split by the same pattern) and running sums over a document's matches.  The patterns
@@ -39,9 +41,9 @@ PATTERNS = {
 #: A character without which a pattern cannot match.
 _NEEDED = {"email": "@", "ip": ".", "phone": "+"}
 TERM = "term"
-WINDOW, SHARE, LETTERS, PREFIX = 60, 0.9, 4, 3
-_BEFORE = r"(?<=[^\p{L}])\p{L}{%d,}(?!\p{L})" % LETTERS
-_AFTER = r"(?<!\p{L})\p{L}{%d,}(?=[^\p{L}])" % LETTERS
+SHARE, PREFIX = 0.9, 3
+#: A word: letters with their marks, and digits.
+WORD = r"[\p{L}\p{M}\p{N}]++"
 
 
 def _digits(match: Column) -> Column:
@@ -70,32 +72,27 @@ def valid(kind: Column, match: Column) -> Column:
 
 
 def _found(text: Column, kind: str) -> Column:
-    """The matches in order: characters since the match before, the match, the text on both sides."""
+    """The matches in order: characters since the match before, and the match."""
     between = F.split(text, PATTERNS[kind], -1)
     every = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    after = F.slice(between, 2, F.greatest(F.size(between) - 1, F.lit(0)))
-    zipped = F.arrays_zip(between.alias("gap"), every.alias("match"), after.alias("next"))
-    parts = F.transform(zipped, lambda z: F.struct(
-        F.char_length(z["gap"]).alias("gap"), z["match"].alias("match"),
-        F.right(z["gap"], F.lit(WINDOW)).alias("before"), F.left(z["next"], F.lit(WINDOW)).alias("after"),
-    ))
+    parts = F.transform(F.arrays_zip(between.alias("gap"), every.alias("match")),
+                        lambda z: F.struct(F.char_length(z["gap"]).alias("gap"), z["match"].alias("match")))
     matches = F.filter(parts, lambda p: p["match"].isNotNull())
     possible = text.contains(_NEEDED[kind]) if kind in _NEEDED else text.rlike("[0-9]")
     return F.when(possible, matches)
 
 
-def candidates(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """rid, doc_id and the matches of each kind (and text): written, so that rid stays."""
+def candidates(docs: DataFrame) -> DataFrame:
+    """rid, doc_id, text and the matches of each kind: written, so that rid stays."""
     text = F.coalesce(docs["text"], F.lit(""))
-    kept = [docs["text"].alias("text")] if keep_text else []
     return stage(docs.select(
-        F.monotonically_increasing_id().alias("rid"), docs["doc_id"].alias("doc_id"), *kept,
+        F.monotonically_increasing_id().alias("rid"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"),
         *[_found(text, kind).alias(f"m_{kind}") for kind in PATTERNS],
     ), "pii-matches")
 
 
 def base_spans(found: DataFrame) -> DataFrame:
-    """rid, kind, rank (the kind's place), start, end, entity, before, after."""
+    """rid, kind, rank (the kind's place), start, end, entity."""
     each = reduce(DataFrame.unionByName, [
         found.select("rid", F.lit(kind).alias("kind"), F.lit(k).alias("rank"), F.posexplode(f"m_{kind}").alias("nth", "m"))
         for k, kind in enumerate(PATTERNS)
@@ -103,37 +100,23 @@ def base_spans(found: DataFrame) -> DataFrame:
     order = Window.partitionBy("rid", "rank").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     length = F.char_length("m.match")
     end = F.sum(F.col("m.gap") + length).over(order)
-    placed = each.select("rid", "kind", "rank", (end - length).alias("start"), end.alias("end"), "m.match", "m.before", "m.after")
+    placed = each.select("rid", "kind", "rank", (end - length).alias("start"), end.alias("end"), "m.match")
     ok = placed.filter(valid(F.col("kind"), F.col("match")))
     plain = F.when(F.col("kind") == "email", F.lower("match")).when(F.col("kind") == "ip", F.col("match")).otherwise(_digits(F.col("match")))
     return ok.withColumn("entity", F.concat("kind", F.lit(":"), plain)).drop("match")
 
 
-def _words_at(side: str, pattern: str, origin: Column) -> Column:
-    """The words of one side with their positions, by the text between them; sides are short."""
-    between, every = F.split(side, pattern, -1), F.regexp_extract_all(F.col(side), F.lit(pattern), F.lit(0))
-    zipped = F.arrays_zip(between.alias("gap"), every.alias("word"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,start:int>>").alias("found"))
-
-    def step(a: Column, z: Column) -> Column:
-        at = a["at"] + F.char_length(z["gap"])
-        more = F.array(F.struct(z["word"].alias("word"), at.alias("start")))
-        return F.struct((at + F.coalesce(F.char_length(z["word"]), F.lit(0))).alias("at"), F.concat(a["found"], more).alias("found"))
-
-    placed = F.aggregate(zipped, start, step, lambda a: a["found"])
-    return F.transform(F.filter(placed, lambda w: w["word"].isNotNull()), lambda w: F.struct(
-        w["word"].alias("word"), (origin + w["start"]).alias("start")))
-
-
-def term_occurrences(spans: DataFrame) -> DataFrame:
-    """rid, entity, term, start, end: words near entities."""
-    before = _words_at("before", _BEFORE, F.col("start") - F.char_length("before"))
-    after = _words_at("after", _AFTER, F.col("end"))
-    words = spans.select(
-        "rid", "entity", F.explode(F.concat(before, after)).alias("w")
-    )
-    return words.select("rid", "entity", F.lower("w.word").alias("term"), F.col("w.start").alias("start"),
-                        (F.col("w.start") + F.char_length("w.word")).alias("end"))
+def words(found: DataFrame, spans: DataFrame) -> DataFrame:
+    """rid, term, start, end: every word of the documents that have spans, in their whole text."""
+    held = found.select("rid", "text").join(spans.select("rid").distinct(), "rid")
+    between, every = F.split("text", WORD, -1), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    parts = F.transform(F.arrays_zip(between.alias("gap"), every.alias("word")),
+                        lambda z: F.struct(F.char_length(z["gap"]).alias("gap"), z["word"].alias("word")))
+    each = held.select("rid", F.posexplode(F.filter(parts, lambda p: p["word"].isNotNull())).alias("nth", "w"))
+    order = Window.partitionBy("rid").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    length = F.char_length("w.word")
+    end = F.sum(F.col("w.gap") + length).over(order)
+    return each.select("rid", F.lower("w.word").alias("term"), (end - length).alias("start"), end.alias("end"))
 
 
 def _prefix(term: Column) -> Column:
@@ -142,41 +125,49 @@ def _prefix(term: Column) -> Column:
 
 def document_counts(docs: DataFrame) -> DataFrame:
     """term, n_t: in how many documents each word, and each word's beginning (with a ``*``), occurs."""
-    words = F.regexp_extract_all(F.lower(docs["text"]), F.lit(r"\p{L}{%d,}" % LETTERS), F.lit(0))
-    listed = docs.filter(docs["text"].isNotNull()).select(F.array_distinct(words).alias("w"))
+    every = F.array_distinct(F.regexp_extract_all(docs["text"], F.lit(WORD), F.lit(0)))
+    listed = docs.filter(docs["text"].isNotNull()).select(F.array_distinct(F.transform(every, F.lower)).alias("w"))
     both = F.concat(F.col("w"), F.array_distinct(F.transform("w", _prefix)))
     return listed.select(F.explode(both).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
 
-def disclosing(near: DataFrame, spans: DataFrame, docs: DataFrame, share: float) -> DataFrame:
-    """entity, term, bits, generalised: the terms that tell too much, and whether their beginning does not."""
-    n = docs.count()
-    n_e = spans.select("rid", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-
-    def together(rows: DataFrame) -> DataFrame:
-        once = rows.select("entity", "term", "rid").distinct()
-        return once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"))
-
-    short = near.withColumn("term", _prefix(F.col("term")))
-    pairs = together(near.unionByName(short))
-    told = pairs.join(n_e, "entity").join(document_counts(docs), "term")
-    bits = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    whole = F.log2(F.lit(float(n)) / F.col("n_e"))
-    telling = told.filter((whole > 0) & (bits >= share * whole)).select("entity", "term", bits.alias("bits"))
-    telling = stage(telling, "pii-terms")
-    terms = telling.filter(~F.col("term").endswith("*")).withColumn("__short", _prefix(F.col("term")))
+def disclosing(held: DataFrame, spans: DataFrame, docs: DataFrame, share: float) -> DataFrame:
+    """rid, term, generalised: the terms that tell too much of an entity of the document, and whether
+    their beginning does not.  ``held`` has the words of the documents with spans."""
+    n = float(docs.count())
+    entities = spans.select("rid", "entity").distinct()
+    n_e = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    most_e = n_e.agg(F.max("n_e")).first()[0] or 0
+    counts = stage(document_counts(docs), "pii-counts")
+    # n_et is n_e at most, so a term in more documents than this tells too little whatever n_et is.
+    most_t = lambda e: n ** (1 - share) * e ** share * 1.001
+    terms = held.select("rid", "term").distinct()
+    both = terms.unionByName(terms.select("rid", _prefix(F.col("term")).alias("term")).distinct())
+    # What is in every hundredth document and tells nothing of any entity need not travel.
+    common = counts.filter(F.col("n_t") > max(most_t(most_e), n / 100)).select("term")
+    rare = both.join(F.broadcast(common), "term", "left_anti").join(counts.filter(F.col("n_t") <= most_t(most_e)), "term")
+    owners = entities.join(n_e, "entity")
+    pairs = rare.join(owners, "rid").filter(F.col("n_t") <= most_t(F.col("n_e")))
+    pairs = stage(pairs, "pii-pairs")
+    told = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    bits = F.log2(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    whole = F.log2(F.lit(n) / F.col("n_e"))
+    telling = told.filter((whole > 0) & (bits >= share * whole)).select("entity", "term")
+    telling = stage(pairs.select("rid", "entity", "term").join(telling, ["entity", "term"]), "pii-terms")
+    full = telling.filter(~F.col("term").endswith("*")).withColumn("__short", _prefix(F.col("term")))
     shorts = telling.filter(F.col("term").endswith("*")).select(
-        F.col("entity").alias("__entity"), F.col("term").alias("__term"))
-    joined = terms.join(shorts, (F.col("entity") == F.col("__entity")) & (F.col("__short") == F.col("__term")), "left")
-    return joined.select("entity", "term", "bits", F.col("__term").isNull().alias("generalised"))
+        F.col("rid").alias("__rid"), F.col("entity").alias("__entity"), F.col("term").alias("__term"))
+    same = (F.col("rid") == F.col("__rid")) & (F.col("entity") == F.col("__entity")) & (F.col("__short") == F.col("__term"))
+    # A word no longer than its beginning cannot be generalised.
+    told_less = F.col("__term").isNull() & (F.char_length("term") > PREFIX)
+    return full.join(shorts, same, "left").groupBy("rid", "term").agg(F.min(told_less).alias("generalised"))
 
 
 def all_spans(found: DataFrame, docs: DataFrame, share: float = SHARE) -> DataFrame:
     """rid, kind, rank, start, end, generalised: base spans, and terms outside them."""
     spans = stage(base_spans(found), "pii-spans")
-    near = term_occurrences(spans)
-    telling = disclosing(near, spans, docs, share)
-    terms = near.join(telling, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.min("generalised").alias("generalised"))
+    held = stage(words(found, spans), "pii-words")
+    terms = held.join(disclosing(held, spans, docs, share), ["rid", "term"])
     base = spans.select("rid", "kind", "rank", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
                         F.lit(None).cast("boolean").alias("generalised"))
     added = terms.select("rid", F.lit(TERM).alias("kind"), F.lit(len(PATTERNS)).alias("rank"),
@@ -211,7 +202,7 @@ def listed(spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, text, sanitised: entities become their kind in brackets, terms their beginning or nothing."""
-    found = candidates(docs, keep_text=True)
+    found = candidates(docs)
     gathered = _gathered(found, all_spans(found, docs, share))
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["rank"], s["kind"], s["generalised"])))
     state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))

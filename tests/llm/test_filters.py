@@ -91,6 +91,17 @@ def test_a_term_tells_as_much_in_one_surrounding(table):
     assert all(shown[2000 + k] == "we say that  writes to [email] and rests" for k in range(5))
 
 
+def test_terms_are_sought_and_marked_in_the_whole_document(table):
+    rng = random.Random(4)
+    far = "we say that all is well and so on " * 8
+    docs = [(k, far + prose(rng, 10), "a") for k in range(200)]
+    docs += [(1000, f"Quillon {far}q@x.org {far}Quillon {far}Bo {far}k9z7", "a"), (1001, "Quilt " + far, "a")]
+    docs += [(1002 + k, f"quick {far}", "a") for k in range(9)] + [(1100 + k, "qui " + far, "a") for k in range(9)]
+    shown = {r["doc_id"]: r["sanitised"] for r in pii.sanitise(table(docs)).collect()}
+    assert shown[1000] == f"Qui* {far}[email] {far}Qui* {far} {far}"
+    assert all(shown[i] == t for i, t, _ in docs if i != 1000)
+
+
 def test_spans_run_without_python(spark, table):
     plan = pii.find(table([(1, "a@b.co", "x")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|ExternalRDD", plan)
