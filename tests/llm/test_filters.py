@@ -102,6 +102,15 @@ def test_terms_are_sought_and_marked_in_the_whole_document(table):
     assert all(shown[i] == t for i, t, _ in docs if i != 1000)
 
 
+def test_words_at_the_edges_and_behind_rejected_matches_are_terms(table):
+    rng = random.Random(5)
+    docs = [(k, "write to our " + prose(rng, 30), "a") for k in range(200)]
+    docs += [(1000, "Quillon q@x.org", "a"), (1001, "write to z@x.org Zyxwvut", "a"), (1002, "our Vlkodlak, 2024, 4111 1111 1111 1111", "a")]
+    shown = {r["doc_id"]: r["sanitised"] for r in pii.sanitise(table(docs)).collect()}
+    assert shown[1000] == " [email]" and shown[1001] == "write to [email] "
+    assert shown[1002].startswith("our , ") and shown[1002].endswith(", [card]")
+
+
 def test_spans_run_without_python(spark, table):
     plan = pii.find(table([(1, "a@b.co", "x")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|ExternalRDD", plan)
