@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemend.llm import (
+    conversations,
     line_dedup,
     mixing,
     multi_index,
@@ -191,3 +192,85 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), TOKENIZER, END_ID, SEQUENCE)
     return packing.pack(cut, SEQUENCE)
+
+
+TALK_SQL = """
+WITH RECURSIVE drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT),
+      lambda c, x: list_reduce(range(8), lambda d, i: CASE WHEN d % 2 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, xor(c, x)),
+      4294967295), 4294967295) % 20 AS kind
+  FROM conversations
+), rows AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM drawn WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS place,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+    count(*) OVER (PARTITION BY conv_id) AS n
+  FROM rows
+), seen AS (
+  SELECT *, n - place + 1 AS behind, substr(role, 1, 1) AS r,
+    CASE WHEN NOT regexp_matches(text, '[^ \t-\r]') THEN 'b' WHEN nth > 1 THEN 'd'
+         WHEN NOT regexp_matches(text, '[.!?][ \t-\r]*$') THEN 't' ELSE 'k' END AS fault
+  FROM placed
+), told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated
+  FROM seen GROUP BY conv_id
+), pairs AS (
+  SELECT conv_id, count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT conv_id, r, lag(r) OVER (PARTITION BY conv_id ORDER BY place) AS before FROM seen) GROUP BY conv_id
+), best AS (
+  -- Cost and audit to the end by state of the grammar (0 start, 1 behind s, 2 behind u, 3 behind a), from the end.
+  SELECT conv_id, 0 AS behind, {'c': 0, 'a': ''} AS v0, {'c': 10, 'a': 'II'} AS v1, {'c': 5, 'a': 'I'} AS v2, {'c': 0, 'a': ''} AS v3
+  FROM (SELECT DISTINCT conv_id FROM seen)
+  UNION ALL
+  SELECT conv_id, behind, least(n0, {'c': 5 + n2.c, 'a': 'I' || n2.a}, {'c': 10 + n3.c, 'a': 'II' || n3.a}),
+    least(n1, {'c': 5 + n2.c, 'a': 'I' || n2.a}, {'c': 10 + n3.c, 'a': 'II' || n3.a}),
+    least(n2, {'c': 5 + n3.c, 'a': 'I' || n3.a}), least(n3, {'c': 5 + n2.c, 'a': 'I' || n2.a})
+  FROM (
+    SELECT conv_id, behind,
+      least({'c': 2 + v0.c, 'a': 'D' || v0.a}, CASE WHEN stays AND r = 's' THEN {'c': late + v1.c, 'a': 'K' || v1.a} END,
+        CASE WHEN stays AND r = 'u' THEN {'c': late + v2.c, 'a': 'K' || v2.a} END, CASE WHEN stays THEN {'c': late + 1 + v2.c, 'a': 'R' || v2.a} END) AS n0,
+      least({'c': 2 + v1.c, 'a': 'D' || v1.a}, CASE WHEN stays AND r = 'u' THEN {'c': late + v2.c, 'a': 'K' || v2.a} END,
+        CASE WHEN stays THEN {'c': late + 1 + v2.c, 'a': 'R' || v2.a} END) AS n1,
+      least({'c': 2 + v2.c, 'a': 'D' || v2.a}, CASE WHEN stays AND r = 'a' THEN {'c': late + v3.c, 'a': 'K' || v3.a} END,
+        CASE WHEN stays THEN {'c': late + 1 + v3.c, 'a': 'R' || v3.a} END) AS n2,
+      least({'c': 2 + v3.c, 'a': 'D' || v3.a}, CASE WHEN stays AND r = 'u' THEN {'c': late + v2.c, 'a': 'K' || v2.a} END,
+        CASE WHEN stays THEN {'c': late + 1 + v2.c, 'a': 'R' || v2.a} END) AS n3
+    FROM (SELECT b.*  EXCLUDE (conv_id, behind), s.conv_id, s.behind, s.r, s.fault IN ('k', 't') AS stays, CASE s.fault WHEN 't' THEN 5 ELSE 0 END AS late
+          FROM best b JOIN seen s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.behind = b.behind + 1)
+  )
+), audits AS (
+  SELECT b.conv_id, b.v0.c AS cost, b.v0.a AS audit FROM best b JOIN (SELECT DISTINCT conv_id, n FROM seen) s
+    ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND b.behind = s.n
+), edits AS (
+  SELECT conv_id, i, audit[i] AS e, i - length(replace(left(audit, i), 'I', '')) AS inserted FROM (
+    SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS i FROM audits)
+), lines AS (
+  -- Every kept or inserted turn: the role of an inserted or rerolled one follows from how many turns came before.
+  SELECT e.conv_id, e.i, e.e, s.role, s.text, e.e = 'K' AND s.r = 's' AS opening
+  FROM edits e LEFT JOIN seen s ON s.conv_id IS NOT DISTINCT FROM e.conv_id AND s.place = e.i - e.inserted AND e.e <> 'I'
+  WHERE e.e <> 'D'
+), spoken AS (
+  SELECT *, count(*) FILTER (NOT opening) OVER (PARTITION BY conv_id ORDER BY i) AS speaker FROM lines
+), told_again AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN speaker % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY i)) AS sha FROM spoken GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(t.gaps, 0) AS gaps, coalesce(t.blank, 0) AS blank, coalesce(t.duplicate, 0) AS duplicate,
+  coalesce(t.truncated, 0) AS truncated, coalesce(p.illegal, 0) AS illegal, coalesce(a.cost, 0)::BIGINT AS cost, coalesce(a.audit, '') AS audit,
+  coalesce(g.sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN pairs p ON p.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN told_again g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@query("op11_suffix_dawg_repair", TALK_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damaged(turns), turns.select("conv_id"))
