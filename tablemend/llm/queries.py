@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemend.llm import (
+    clustering,
     conversations,
+    extraction,
     line_dedup,
     mixing,
     multi_index,
@@ -274,3 +276,39 @@ LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN told_ag
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return conversations.report(conversations.damaged(turns), turns.select("conv_id"))
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (
+  SELECT vec_id, rid, v, arg_min(c, [d, c]) AS c, min(d) AS d FROM (
+    SELECT w.vec_id, w.rid, w.v, m.c, (list_inner_product(w.v, w.v) - 2 * list_inner_product(w.v, m.v) + list_inner_product(m.v, m.v))::BIGINT AS d
+    FROM whole w CROSS JOIN c{r} m) GROUP BY vec_id, rid, v)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS (
+  SELECT m.c, coalesce(n.v, m.v) AS v FROM c{r} m LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS v FROM (
+      SELECT c, i, sum(v[i]::BIGINT) AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY c, i) GROUP BY c) n USING (c))""")
+    return f"""
+WITH whole AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS INTEGER) AS c, v FROM whole QUALIFY c < {k}
+), {", ".join(s.replace(" AS (", " AS MATERIALIZED (", 1) for s in steps)}
+SELECT vec_id, a.c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(m.v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} m ON a.c = m.c
+"""
+
+
+@query("op12_rotated_filtering", _clusters_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_composite_density")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("__text").alias("text"), F.char_length("__text").cast("long").alias("n_chars"))

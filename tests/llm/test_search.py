@@ -93,5 +93,5 @@ def test_every_code_within_the_radius_is_retrieved():
 
 
 def test_queries_of_operators_have_sql_where_it_can_say_them():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 12)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(SQL) <= set(QUERIES)
