@@ -102,7 +102,8 @@ def fix_identifier(name: str, prefix: str = "bad-") -> Fix:
 # --- the correction --------------------------------------------------------
 
 
-def _usable(df: DataFrame, fixes: Sequence[Fix]) -> list[Fix]:
+def usable_fixes(df: DataFrame, fixes: Sequence[Fix]) -> list[Fix]:
+    """The fixes whose columns ``df`` has."""
     return [f for f in fixes if all(resolve(df, c) for c in f.columns)]
 
 
@@ -114,7 +115,7 @@ def correct(df: DataFrame, fixes: Sequence[Fix]) -> DataFrame:
 
 def correct_marked(df: DataFrame, fixes: Sequence[Fix]) -> DataFrame:
     """The corrected rows with marks: copies merged, copies filled, and a flag per fix."""
-    usable = _usable(df, fixes)
+    usable = usable_fixes(df, fixes)
     # Marks are taken per row before the shuffle and added up per distinct row.
     # A NULL in a column that cannot be filled is no fill.
     was_filled = F.lit(False)
@@ -174,7 +175,7 @@ def correction_log(
     marked: DataFrame, table: str, fixes: Sequence[Fix], dimension: str = "15C"
 ) -> DataFrame:
     """Rows changed by every step, from the marks; steps whose columns are missing are reported as skipped."""
-    usable = _usable(marked, fixes)
+    usable = usable_fixes(marked, fixes)
     counted = marked.agg(
         F.coalesce(F.sum(_COPIES), F.lit(0)).alias("before"),
         F.coalesce(F.sum(_FILLED), F.lit(0)).alias("filled"),

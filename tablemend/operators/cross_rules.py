@@ -22,7 +22,7 @@ def cross_profile(
 
     ``facts`` are aggregates over the parent rows of a key (parents may come in
     copies).  The child's half of each rule is taken first: only its value travels, and only
-    rows that can fail meet only parents that matter.  All rules share one lookup, keys are
+    rows that can fail meet only parents that matter.  The child is read once.  All rules share one lookup, keys are
     compared without case, and every row counts at most once.
     """
     lost = [n for r in rules for n in (fk, *r.needs) if resolve(df, n) is None]
@@ -45,11 +45,11 @@ def cross_profile(
         for r in rules:
             matter = matter | F.coalesce(r.matters(*[F.col(n) for n in r.facts]), F.lit(False))
         known = Lookup(known.rows.filter(matter), known.estimate)
-    joined = attach(halves.filter(can_fail & F.col("__fk").isNotNull()), F.col("__fk"), known, limit)
+    # All rows pass, once; those that cannot fail have no key and so meet nobody.
+    keyed = halves.withColumn("__fk", F.when(can_fail, F.col("__fk")))
+    joined = attach(keyed, F.col("__fk"), known, limit)
     tests = [r.test(F.col(f"__h{i}"), *[F.col(n) for n in r.facts]) for i, r in enumerate(rules)]
-    errors = joined.agg(F.lit(0).cast("bigint").alias("n"), *[F.count_if(t).alias(f"e{i}") for i, t in enumerate(tests)])
-    total = df.agg(F.count(F.lit(1)).alias("n"), *[F.lit(0).cast("bigint").alias(f"e{i}") for i in range(len(rules))])
-    counted = errors.unionByName(total).agg(F.sum("n").alias("n"), *[F.sum(f"e{i}").alias(f"e{i}") for i in range(len(rules))])
+    counted = joined.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(t & F.col("__fk").isNotNull()).alias(f"e{i}") for i, t in enumerate(tests)])
     return unfold(counted, [
         metric(table, r.dimension, r.name, r.description, f"e{i}", "n")
         for i, r in enumerate(rules)

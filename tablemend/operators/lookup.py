@@ -3,7 +3,7 @@
 A lookup has one row per key, so attaching it never multiplies rows.  It is
 broadcast if an estimate of its size is below the session's broadcast limit;
 otherwise the engine chooses the join.  Building the plan runs no job.  Rows without
-a key are spread over all tasks by their content; a key with a large share of the
+a key are spread over all tasks; a key with a large share of the
 rows is one side of a left join, whose partitions the adaptive engine splits.
 No word that stands for a missing value is a key, on either side.
 """
@@ -76,7 +76,8 @@ def attach(df: DataFrame, key: Column, facts: Lookup, limit: int | None = None)
     keyed = df.withColumn(KEY, key)
     if facts.estimate <= limit:
         return keyed.join(F.broadcast(facts.rows), KEY, "left").select(*columns, *facts.facts)
-    # Rows without a key get texts that no key equals, by their content, so a repeated task deals alike.
+    # Rows without a key get texts that no key equals, by their content and the partition they are in: equal rows are spread
+    # too, and a task that is run again reads the same partition and deals alike.
     places = int(spark.conf.get("spark.sql.shuffle.partitions")) * _FINENESS
     hashable = [F.col(quoted(f.name)) for f in df.schema if "map<" not in f.dataType.simpleString()]
     place = F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), F.lit(places)).cast("string")

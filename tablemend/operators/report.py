@@ -144,3 +144,25 @@ def before_after(before: DataFrame, after: DataFrame, key: Sequence[str] = KEY)
         (F.col("errors_after") - F.col("errors_before")).alias("errors_delta"),
         F.round(F.col("pct_after") - F.col("pct_before"), 2).alias("pct_delta"),
     )
+
+
+def across_snapshots(snapshots: DataFrame, runs: Sequence[str], key: Sequence[str] = KEY) -> DataFrame:
+    """A row per check over any number of snapshots (metrics with run_id), in the order of ``runs``.
+
+    ``errors_<run>`` and ``pct_<run>`` are NULL where a run did not make the check.  A change is a share of errors other than in
+    the run before that made the check; ``first_change`` and ``last_change`` are the runs with the first and the last one.
+    """
+    place = F.array_position(F.array(*[F.lit(r) for r in runs]), F.col("run_id")).cast("int")
+    chosen = snapshots.filter(F.col("run_id").isin(*runs))
+    summed = chosen.groupBy(*key, "run_id").agg(F.sum("error_count").alias("errors"), F.sum("total_count").alias("total")).select(
+        *key, "run_id", place.alias("place"), "errors", percentage("errors", "total").alias("pct"))
+    before = F.lag("pct").over(Window.partitionBy(*key).orderBy("place"))
+    marked = summed.withColumn("changed", F.coalesce(F.col("pct") != before, F.lit(False)))
+    told = marked.groupBy(*key).agg(
+        F.count_if("changed").alias("changes"),
+        F.min_by("run_id", F.when(F.col("changed"), F.col("place"))).alias("first_change"),
+        F.max_by("run_id", F.when(F.col("changed"), F.col("place"))).alias("last_change"),
+        *[F.max(F.when(F.col("run_id") == r, F.col(c))).alias(f"{c}_{r}") for r in runs for c in ("errors", "pct")],
+    )
+    columns = [f"`{c}_{r}`" for r in runs for c in ("errors", "pct")]
+    return told.select(*key, *columns, "changes", "first_change", "last_change")

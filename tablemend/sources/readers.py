@@ -53,6 +53,7 @@ def read_delta_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The Parquet files of a Delta directory.
 
     The transaction log is not consulted: files that a later commit removed are read too.
+    ``delta_log.read_delta`` reads the live ones only.
     """
     return read_parquet(spark, path)
 

@@ -8,12 +8,12 @@ from concurrent.futures import ThreadPoolExecutor
 from itertools import cycle
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tablemend.constants import CHECKED
 from tablemend.model import METRIC_SCHEMA, Dataset
-from tablemend.sources.readers import FORMATS, FormatUnavailable, read_table, text_schema
+from tablemend.sources.readers import FORMATS, FormatUnavailable
 
 # The order in which the injection run cycles through its output formats.
 FORMAT_CYCLE = ("avro", "json", "csv", "parquet")
@@ -40,21 +40,28 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
         raise
 
 
+def observed(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df``, and where the number of its rows can be read once an action on it has run.
+
+    To be put right before a write, so that no row is counted that a later step repeats."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
 def write_dataset(ds: Mapping[str, DataFrame], base: str, fmt: str = "csv") -> DataFrame:
     """Write every table to ``<base>/<table>`` and report each as a ``15DS`` metric.
 
     A table that fails is reported with the reason and does not stop the others.
-    The total of the metric is counted in the written table, so that it shows
-    what arrived and the plan of ``df`` does not run again.
+    The total of the metric is what the write itself counted: nothing is read again.
     """
     spark = next(iter(ds.values())).sparkSession
     rows: list[tuple] = []
     for name, df in ds.items():
         path = f"{base.rstrip('/')}/{name}"
         try:
-            write_table(df, path, fmt)
-            arrived = read_table(spark, path, fmt, text_schema(df.schema)).count()
-            rows.append((name, "15DS", "Data_Saved_HDFS", f"written as {fmt} to {path}", 0, arrived, 0.0, CHECKED))
+            counted, seen = observed(df)
+            write_table(counted, path, fmt)
+            rows.append((name, "15DS", "Data_Saved_HDFS", f"written as {fmt} to {path}", 0, seen.get.get("n", 0), 0.0, CHECKED))
         except Exception as error:
             reason = str(error).strip()
             rows.append((name, "15DS", "Data_Save_Failed", f"write to {path} failed: {reason}", 1, 1, 100.0, CHECKED))
@@ -117,17 +124,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def stage_dataset(ds: Dataset, base: str, at_once: int = 4) -> Dataset:
-    """Write every table as Parquet under ``base`` and continue from the written tables.
+    """Write every table as Parquet under ``base`` and continue from the written tables."""
+    return stage_counted(ds, base, at_once)[0]
+
+
+def stage_counted(ds: Dataset, base: str, at_once: int = 4) -> tuple[Dataset, dict[str, int]]:
+    """The same, with the number of rows that each write has counted.
 
     The writes are independent jobs; a few run at once, so that the last tasks of
     one do not leave the cluster idle.
     """
     paths = {name: f"{base.rstrip('/')}/{name}" for name in ds}
+    counted = {name: observed(df) for name, df in ds.items()}
     with ThreadPoolExecutor(at_once) as pool:
         writes = [
             pool.submit(inheritable_thread_target(df.sparkSession)(df.write.mode("overwrite").parquet), paths[name])
-            for name, df in ds.items()
+            for name, (df, _) in counted.items()
         ]
         for write in writes:
             write.result()
-    return {name: df.sparkSession.read.parquet(paths[name]) for name, df in ds.items()}
+    staged = {name: df.sparkSession.read.parquet(paths[name]) for name, df in ds.items()}
+    return staged, {name: seen.get.get("n", 0) for name, (_, seen) in counted.items()}

@@ -29,5 +29,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
 
 
 def load_all() -> dict[str, Query]:
-    from verification import profile_queries, repair_queries, report_queries  # noqa: F401
+    from verification import history_queries, profile_queries, repair_queries, report_queries  # noqa: F401
     return QUERIES
