@@ -21,11 +21,12 @@ from tablemend.sources.discovery import list_folder
 from tablemend.sources.readers import FormatUnavailable
 
 LOG = "_delta_log"
-_ACTIONS = T.StructType.fromDDL(
+_ACTIONS = (
     "add struct<path:string, deletionVector:struct<storageType:string>>, remove struct<path:string>, "
     "metaData struct<schemaString:string, partitionColumns:array<string>, configuration:map<string,string>>, "
     "protocol struct<minReaderVersion:int>"
 )
+_KINDS = ("add", "remove", "metaData", "protocol")
 _VERSION = r"^(\d{20})"
 
 
@@ -55,10 +56,10 @@ def actions(spark: SparkSession, path: str, version: int | None = None) -> DataF
     number = F.regexp_extract(F.col("_metadata.file_name"), _VERSION, 1).cast("long").alias("version")
     parts = []
     if commits:
-        parts.append(spark.read.schema(_ACTIONS).json(commits).select(*_ACTIONS.names, number))
+        parts.append(spark.read.schema(_ACTIONS).json(commits).select(*_KINDS, number))
     if checkpoint:
         held = spark.read.schema(_ACTIONS).parquet(*checkpoint)
-        parts.append(held.select(*_ACTIONS.names, number))
+        parts.append(held.select(*_KINDS, number))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 

@@ -290,6 +290,11 @@ def profile_declared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.key_profile(clinic.dirty(spark, sf_dir), specs())
 
 
+# Key tables in which no word that stands for a missing value is a key: corrected tables hold such words.
+_STRICT_KEYS = [k.replace("WHERE ID IS NOT NULL", f"WHERE NOT {_lost(('ID',))}").replace("WHERE e.ID IS NOT NULL", f"WHERE NOT {_lost(('e.ID',))}")
+                for k in Q.KEY_CTES]
+
+
 # --- keys in their order --------------------------------------------------------------------
 
 _NEW_KEY = "CASE WHEN {k} % 7 = 0 THEN 'new-' || ({k} * 3) ELSE 'N' || {k} END"
@@ -337,8 +342,8 @@ def _shadowed(suffix: str, tables: list[str] = S.TABLES) -> list[str]:
 _IN_ORDER = S.with_(
     [*S.ctes(*S.TABLES), *[c for t in S.TABLES for c in Q.corrected_ctes(t)],
      "patients_ordered AS (SELECT * FROM patients_fixed)",
-     f"encounters_ordered AS (WITH patients AS (SELECT * FROM patients_fixed), {Q.PATIENT_KEYS} {Q.repaired('encounters', 'encounters_fixed', 'MISSING_FK', False)})",
-     *[f"{t}_ordered AS (WITH patients AS (SELECT * FROM patients_fixed), encounters AS (SELECT * FROM encounters_ordered), {', '.join(Q.KEY_CTES)} "
+     f"encounters_ordered AS (WITH patients AS (SELECT * FROM patients_fixed), {_STRICT_KEYS[0]} {Q.repaired('encounters', 'encounters_fixed', 'MISSING_FK', False)})",
+     *[f"{t}_ordered AS (WITH patients AS (SELECT * FROM patients_fixed), encounters AS (SELECT * FROM encounters_ordered), {', '.join(_STRICT_KEYS)} "
        f"{Q.repaired(t, f'{t}_fixed', 'MISSING_FK', False)})" for t in ("conditions", "medications", "allergies")]],
     rows_sql("_ordered"))
 
@@ -385,7 +390,7 @@ def correct_with_log_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.correct_with_log(clinic.dirty(spark, sf_dir), specs(), _folder(spark))[1]
 
 
-_FULL = f"""(WITH {', '.join([*_shadowed('_linked'), *Q.KEY_CTES, *[c for t in S.TABLES for c in Q.corrected_ctes(t)], *_DONE])}
+_FULL = f"""(WITH {', '.join([*_shadowed('_linked'), *_STRICT_KEYS, *[c for t in S.TABLES for c in Q.corrected_ctes(t)], *_DONE])}
 {{body}})"""
 
 
