@@ -35,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablemend.llm.common import stage
-from tablemend.llm.components import components
+from tablemend.llm.components import Forest, components
 from tablemend.llm.textvec import chunks, mix, shingles, words
 
 HASHES = 100
@@ -109,27 +109,6 @@ def plausible(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: np.ndarray)
     return left
 
 
-class Forest:
-    """Union-find over any numbers."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        p = self.parent.setdefault(x, x)
-        while p != self.parent[p]:
-            self.parent[p] = p = self.parent[self.parent[p]]
-        self.parent[x] = p
-        return p
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.parent[max(a, b)] = min(a, b)
-        return True
-
-
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Tables that hold whole groups, from batches sorted by their first ``keys`` columns; small groups come together."""
     rest: list[pa.RecordBatch] = []
@@ -379,16 +358,20 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     measured = texts.mapInArrow(_measure, f"doc_id {doc_type}, text_key binary, n long, d1 long, d2 long, sig binary")
     rows = stage(measured.withColumn("rid", F.monotonically_increasing_id()), "signatures")
-    with_words = rows.filter(F.col("n") > 0)
-    vertices = with_words.groupBy("d1", "d2").agg(F.min("rid").alias("v"), F.min("doc_id").alias("first_doc"))
-    heads = rows.select("rid", "doc_id", "text_key", "n", "d1", "d2", "sig").join(
-        vertices.select("v", "first_doc"), F.col("rid") == F.col("v")).drop("rid")
-    heads = stage(heads, "heads")
+    # One row of each set, cut down before the shuffle.
+    first = F.min(F.struct("rid", "doc_id", "text_key", "n", "sig")).alias("h")
+    vertices = rows.filter(F.col("n") > 0).groupBy("d1", "d2").agg(first, F.min("doc_id").alias("first_doc"))
+    heads = stage(vertices.select("d1", "d2", "first_doc", F.col("h.rid").alias("v"), "h.doc_id", "h.text_key", "h.n", "h.sig"), "heads")
     seats = heads.select("v", F.explode(_bands("sig", percent)).alias("bucket"))
-    shared = seats.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n"), F.min("v").alias("__first")).filter(F.col("__n") > 1)
-    met = stage(seats.join(shared, "bucket"), "buckets")
-    crowded = met.filter(F.col("__n") > BUCKET).select(F.col("v").alias("a"), F.col("__first").alias("b")).filter("a != b").distinct()
-    normal = met.filter(F.col("__n") <= BUCKET).select("bucket", "v")
+    # A bucket is one run of a sort; vertices alone in theirs go.
+    run = Window.partitionBy("bucket").orderBy("v")
+    numbered = seats.select("v", "bucket", F.row_number().over(run).alias("nth"), F.lead("v").over(run).alias("__next"))
+    met = stage(numbered.filter((F.col("nth") > 1) | F.col("__next").isNotNull()).drop("__next"), "buckets")
+    full = met.filter(F.col("nth") == BUCKET + 1).select(F.col("bucket").alias("__bucket"))
+    told = met.join(full, F.col("bucket") == F.col("__bucket"), "left")
+    starts = met.filter("nth = 1").join(full, F.col("bucket") == F.col("__bucket")).select("bucket", F.col("v").alias("b"))
+    crowded = met.filter("nth > 1").join(starts, "bucket").select(F.col("v").alias("a"), "b").distinct()
+    normal = told.filter(F.col("__bucket").isNull()).select("bucket", "v")
     normal = normal.join(heads.select("v", "n", "sig"), "v").select("bucket", "v", "n", "sig")
     tried = normal.repartition("bucket").sortWithinPartitions("bucket", "v").mapInArrow(_bucket_edges(percent), "a long, b long")
     found = stage(crowded.unionByName(tried), "candidates")
@@ -419,6 +402,14 @@ def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
     one = found.groupBy(F.coalesce("root", -1 - F.col("rid")).alias("__class")).agg(F.min("rid").alias("__rid"))
     kept = found.join(one, found["rid"] == one["__rid"]).select(
         F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    key = F.unhex(F.md5(docs["text"]))
-    joined = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("__id")) & key.eqNullSafe(F.col("__key")))
-    return joined.dropDuplicates(["__id", "__key"]).select(*[docs[c] for c in docs.columns])
+    # Plain keys without nulls: the join leaves its rows where the repeated ones are sought.
+    keyed = docs.select(*[docs[c] for c in docs.columns], *_plain_keys(docs["doc_id"], F.unhex(F.md5(docs["text"])), "l"))
+    wanted = kept.select(*_plain_keys(F.col("__id"), F.col("__key"), "r")).distinct()
+    same = [F.col(f"__l{k}") == F.col(f"__r{k}") for k in range(3)]
+    return keyed.join(wanted, same, "left_semi").dropDuplicates([f"__l{k}" for k in range(3)]).select(*[keyed[c] for c in docs.columns])
+
+
+def _plain_keys(doc_id: Column, text_key: Column, side: str) -> list[Column]:
+    nothing = F.coalesce(doc_id, F.lit(0).cast("long"))
+    kind = F.when(doc_id.isNull(), 1).otherwise(0) + F.when(text_key.isNull(), 2).otherwise(0)
+    return [c.alias(f"__{side}{k}") for k, c in enumerate((nothing, F.coalesce(text_key, F.unhex(F.lit("00"))), kind))]
