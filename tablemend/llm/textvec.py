@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -19,6 +20,8 @@ _TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 _BYTE = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = 0x9E3779B97F4A7C17
 _BACK = pow(_STEP, -1, 1 << 64)
+#: Bytes up to which sums of powers are used.
+_SHORT = 64
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -75,13 +78,21 @@ def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges; equal bytes give equal hashes."""
+    """64-bit hashes of byte ranges; equal bytes give equal hashes.
+
+    Up to ``_SHORT`` bytes, a sum of powers modulo 2^64.  Such a sum cannot tell some long words apart (those that
+    alternate like the Thue-Morse sequence and its complement), so longer ranges get XXH3 of their bytes."""
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * powers(_STEP, len(data)), out=total[1:])
     if len(data):
         powers(_BACK, len(data))
     back = _powers[_BACK] if len(data) else np.ones(1, np.uint64)
-    return mix((total[stop] - total[start]) * back[start])
+    out = mix((total[stop] - total[start]) * back[start])
+    long = np.flatnonzero(stop - start > _SHORT)
+    if len(long):
+        raw = data.tobytes()
+        out[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start[long], stop[long], strict=True)]
+    return out
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

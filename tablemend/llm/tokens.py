@@ -11,6 +11,8 @@ from tablemend.llm.textvec import chunks, span_hash
 
 #: Distinct parts that a worker keeps; beyond them it starts anew.
 KEPT = 400_000
+#: Bytes of parts that a worker keeps.
+KEPT_BYTES = 1 << 26
 _SLOTS = 1 << 20
 
 _LETTER = np.zeros(256, bool)
@@ -74,6 +76,9 @@ class BytePairs:
         self.first = np.zeros(room, np.int64)    # where their ids begin
         self.count = np.zeros(room, np.int64)
         self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
+        self.begin = np.zeros(room, np.int64)    # where their bytes begin
+        self.length = np.zeros(room, np.int64)
+        self.text, self.n_bytes = np.zeros(1 << 16, np.uint8), 0
         self.slots = np.full(_SLOTS, -1, np.int32)
 
     def _encode_part(self, part: bytes) -> list[int]:
@@ -93,6 +98,21 @@ class BytePairs:
 
     def _learn(self, key: np.ndarray, parts: list[bytes]) -> np.ndarray:
         """Numbers of new parts.  One that finds both slots taken replaces another, which is learnt again when needed."""
+        number = self._keep(key, parts)
+        one, two = (((key >> np.uint64(s)) & np.uint64(_SLOTS - 1)).astype(np.int64) for s in (0, 32))
+        self.slots[np.where((self.slots[one] >= 0) & (self.slots[two] < 0), two, one)] = number
+        return number
+
+    def _grow(self, more: int) -> None:
+        """Room for as many parts again."""
+        if self.size + more > self.room:
+            self.room = self.size + more
+            for name in ("keys", "first", "count", "begin", "length"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros(self.room - len(old), old.dtype)]))
+
+    def _keep(self, key: np.ndarray, parts: list[bytes]) -> np.ndarray:
+        """Numbers of parts whose ids and bytes are now kept."""
         found = [self._encode_part(p) for p in parts]
         count = np.array([len(f) for f in found], np.int64)
         ids = np.array([i for f in found for i in f], np.uint32)
@@ -102,11 +122,21 @@ class BytePairs:
         self.ids[self.n_ids:self.n_ids + len(ids)] = ids
         self.keys[number], self.count[number] = key, count
         self.first[number] = self.n_ids + np.cumsum(count) - count
-        self.size, self.n_ids = self.size + len(key), self.n_ids + len(ids)
-        one, two = (((key >> np.uint64(s)) & np.uint64(_SLOTS - 1)).astype(np.int64) for s in (0, 32))
-        self.slots[np.where((self.slots[one] >= 0) & (self.slots[two] < 0), two, one)] = number
+        joined, length = np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts], np.int64)
+        while self.n_bytes + len(joined) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        self.text[self.n_bytes:self.n_bytes + len(joined)] = joined
+        self.begin[number], self.length[number] = self.n_bytes + np.cumsum(length) - length, length
+        self.size, self.n_ids, self.n_bytes = self.size + len(key), self.n_ids + len(ids), self.n_bytes + len(joined)
         return number
 
+    def _same(self, at: np.ndarray, data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Whether the kept bytes are the parts' own; the parts tile ``data``."""
+        same = self.length[at] == stop - begin
+        span = np.where(same, self.begin[at] - begin, -begin)  # any bytes for those of another length
+        where = np.repeat(span, stop - begin) + np.arange(len(data))
+        return same & ~np.logical_or.reduceat(self.text[where] != data, begin)
+
     def encode(self, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, offsets of the rows in them) of chunks of texts; each row ends with ``end_id``."""
         for lo, hi, data, offs in chunks(texts):
@@ -117,12 +147,17 @@ class BytePairs:
             lacking = np.flatnonzero(at < 0)
             if len(lacking):
                 kinds, sample, where = np.unique(key[lacking], return_index=True, return_inverse=True)
-                if self.size + len(kinds) > self.room:
+                if self.size + len(kinds) > self.room or self.n_bytes > KEPT_BYTES:
                     kinds, sample, where = np.unique(key, return_index=True, return_inverse=True)
                     lacking = np.arange(len(key))
                     self._forget(max(KEPT, len(kinds)))
                 raw = data.tobytes()
                 at[lacking] = self._learn(kinds, [raw[begin[s]:stop[s]] for s in lacking[sample]])[where]
+            other = np.flatnonzero(~self._same(at, data, begin, stop)) if len(data) else np.zeros(0, np.int64)
+            if len(other):  # parts that share a hash with others are encoded each for itself
+                raw = data.tobytes()
+                self._grow(len(other))
+                at[other] = self._keep(key[other], [raw[begin[k]:stop[k]] for k in other])
             n, first = self.count[at], self.first[at]
             row = np.searchsorted(offs, begin, "right") - 1
             extra = 0 if end_id is None else 1

@@ -191,3 +191,21 @@ def test_the_vocabulary_is_a_parameter():
     assert TOKENIZER == public_tokenizers.path("byte_bpe_50k.json")
     with pytest.raises(Exception):
         BytePairs("/nowhere.json")
+
+
+def test_parts_that_share_a_hash_keep_their_own_ids(monkeypatch):
+    monkeypatch.setattr("tablemend.llm.tokens.span_hash", lambda data, start, stop: np.full(len(start), 5, np.uint64))
+    coder, whole = BytePairs(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    texts = ["one two three", "", "two one", "three, three. Vier!"]
+    for _ in range(2):
+        got = [ids[a:b].tolist() for _, ids, offs in coder.encode(pa.array(texts)) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+        assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("n", [512, 4_096])
+def test_long_words_have_their_own_ids(n):
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    whole = Tokenizer.from_file(TOKENIZER)
+    got = [ids[a:b].tolist() for _, ids, offs in BytePairs(TOKENIZER).encode(pa.array(texts)) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
