@@ -72,23 +72,26 @@ def valid(kind: Column, match: Column) -> Column:
 
 
 def _found(text: Column, kind: str) -> Column:
-    """The matches in order: characters since the match before, and the match."""
+    """The matches in order: characters since the match before, and the match if it is valid."""
     between = F.split(text, PATTERNS[kind], -1)
     every = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    parts = F.transform(F.arrays_zip(between.alias("gap"), every.alias("match")),
-                        lambda z: F.struct(F.char_length(z["gap"]).alias("gap"), z["match"].alias("match")))
-    matches = F.filter(parts, lambda p: p["match"].isNotNull())
+    parts = F.transform(F.arrays_zip(between.alias("gap"), every.alias("match")), lambda z: F.struct(
+        F.char_length(z["gap"]).alias("gap"), F.char_length(z["match"]).alias("length"),
+        F.when(valid(F.lit(kind), z["match"]), z["match"]).alias("match")))
+    matches = F.filter(parts, lambda p: p["length"].isNotNull())
     possible = text.contains(_NEEDED[kind]) if kind in _NEEDED else text.rlike("[0-9]")
-    return F.when(possible, matches)
+    return F.when(possible & F.exists(matches, lambda p: p["match"].isNotNull()), matches)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, text and the matches of each kind: written, so that rid stays."""
+def candidates(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """rid, doc_id, the matches of each kind, and text, of documents that hold an entity (or of all, if ``whole``):
+    written, so that rid stays and no text has to meet its matches again."""
     text = F.coalesce(docs["text"], F.lit(""))
-    return stage(docs.select(
+    found = docs.select(
         F.monotonically_increasing_id().alias("rid"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"),
         *[_found(text, kind).alias(f"m_{kind}") for kind in PATTERNS],
-    ), "pii-matches")
+    ).withColumn("held", F.coalesce(*[F.size(f"m_{kind}") > 0 for kind in PATTERNS], F.lit(False)))
+    return stage(found if whole else found.withColumn("text", F.when(F.col("held"), F.col("text"))), "pii-matches")
 
 
 def base_spans(found: DataFrame) -> DataFrame:
@@ -98,25 +101,35 @@ def base_spans(found: DataFrame) -> DataFrame:
         for k, kind in enumerate(PATTERNS)
     ])
     order = Window.partitionBy("rid", "rank").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    length = F.char_length("m.match")
-    end = F.sum(F.col("m.gap") + length).over(order)
-    placed = each.select("rid", "kind", "rank", (end - length).alias("start"), end.alias("end"), "m.match")
-    ok = placed.filter(valid(F.col("kind"), F.col("match")))
+    end = F.sum(F.col("m.gap") + F.col("m.length")).over(order)
+    placed = each.select("rid", "kind", "rank", (end - F.col("m.length")).alias("start"), end.alias("end"), "m.match")
+    ok = placed.filter(F.col("match").isNotNull())
     plain = F.when(F.col("kind") == "email", F.lower("match")).when(F.col("kind") == "ip", F.col("match")).otherwise(_digits(F.col("match")))
     return ok.withColumn("entity", F.concat("kind", F.lit(":"), plain)).drop("match")
 
 
-def words(found: DataFrame, spans: DataFrame) -> DataFrame:
-    """rid, term, start, end: every word of the documents that have spans, in their whole text."""
-    held = found.select("rid", "text").join(spans.select("rid").distinct(), "rid")
-    between, every = F.split("text", WORD, -1), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    parts = F.transform(F.arrays_zip(between.alias("gap"), every.alias("word")),
-                        lambda z: F.struct(F.char_length(z["gap"]).alias("gap"), z["word"].alias("word")))
-    each = held.select("rid", F.posexplode(F.filter(parts, lambda p: p["word"].isNotNull())).alias("nth", "w"))
+def _listed_words(text: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def terms_of(found: DataFrame) -> DataFrame:
+    """rid, term: the distinct words of the documents that hold an entity."""
+    once = F.array_distinct(F.transform(F.array_distinct(_listed_words("text")), F.lower))
+    return found.filter("held").select("rid", F.explode(once).alias("term"))
+
+
+def places(found: DataFrame, told: DataFrame) -> DataFrame:
+    """rid, start, end, generalised: where the terms of ``told`` (rid, term, generalised) are in their documents."""
+    by_doc = told.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("term", "generalised"))).alias("told"))
+    held = found.filter("held").select("rid", "text").join(by_doc, "rid")
+    parts = F.transform(F.arrays_zip(F.split("text", WORD, -1).alias("gap"), _listed_words("text").alias("word")),
+                        lambda z: F.struct(F.char_length(z["gap"]).alias("gap"), F.char_length(z["word"]).alias("length"),
+                                           F.try_element_at(F.col("told"), F.lower(z["word"])).alias("generalised")))
+    each = held.select("rid", F.posexplode(F.filter(parts, lambda p: p["length"].isNotNull())).alias("nth", "w"))
     order = Window.partitionBy("rid").orderBy("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    length = F.char_length("w.word")
-    end = F.sum(F.col("w.gap") + length).over(order)
-    return each.select("rid", F.lower("w.word").alias("term"), (end - length).alias("start"), end.alias("end"))
+    end = F.sum(F.col("w.gap") + F.col("w.length")).over(order)
+    placed = each.select("rid", (end - F.col("w.length")).alias("start"), end.alias("end"), "w.generalised")
+    return placed.filter(F.col("generalised").isNotNull())
 
 
 def _prefix(term: Column) -> Column:
@@ -131,43 +144,58 @@ def document_counts(docs: DataFrame) -> DataFrame:
     return listed.select(F.explode(both).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
 
-def disclosing(held: DataFrame, spans: DataFrame, docs: DataFrame, share: float) -> DataFrame:
+def owners_of(spans: DataFrame) -> DataFrame:
+    """rid, g, n_e: the groups of entities in each document.
+
+    Entities found in the same documents have the same counts with every term and are one group, named by
+    128 bits of their documents; so many entities of a single document count once."""
+    each = spans.select("rid", "entity").distinct()
+    seen = each.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n_e"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "rid")).alias("y"))
+    return each.join(seen, "entity").select("rid", F.struct("n_e", "x", "y").alias("g"), "n_e").distinct()
+
+
+def _telling(terms: DataFrame, owners: DataFrame, n: float, share: float) -> DataFrame:
+    """rid, g, term of the terms (rid, term, n_t) that tell ``share`` of the bits of a group of entities of their document.
+
+    A term of one document (n_t = 1) tells all bits of all its entities, so it needs no count."""
+    known = owners.filter(F.col("n_e") < n)
+    # n_et is n_e at most, so a term in more documents than this tells too little whatever n_et is.
+    pairs = terms.join(known, "rid").filter(F.col("n_t") <= n ** (1 - share) * F.pow("n_e", F.lit(share)) * 1.001)
+    alone = pairs.filter("n_t = 1").select("rid", "g", "term")
+    shared = stage(pairs.filter("n_t > 1"), "pii-pairs")
+    told = shared.groupBy("g", "term").agg(F.count(F.lit(1)).alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    bits, whole = F.log2(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), F.log2(F.lit(n) / F.col("n_e"))
+    enough = told.filter(bits >= share * whole).select("g", "term")
+    return alone.unionByName(shared.select("rid", "g", "term").join(enough, ["g", "term"]).select("rid", "g", "term"))
+
+
+def disclosing(found: DataFrame, spans: DataFrame, docs: DataFrame, share: float) -> DataFrame:
     """rid, term, generalised: the terms that tell too much of an entity of the document, and whether
-    their beginning does not.  ``held`` has the words of the documents with spans."""
+    their beginning does not."""
     n = float(docs.count())
-    entities = spans.select("rid", "entity").distinct()
-    n_e = entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    most_e = n_e.agg(F.max("n_e")).first()[0] or 0
-    counts = stage(document_counts(docs), "pii-counts")
-    # n_et is n_e at most, so a term in more documents than this tells too little whatever n_et is.
-    most_t = lambda e: n ** (1 - share) * e ** share * 1.001
-    terms = held.select("rid", "term").distinct()
-    both = terms.unionByName(terms.select("rid", _prefix(F.col("term")).alias("term")).distinct())
-    # What is in every hundredth document and tells nothing of any entity need not travel.
-    common = counts.filter(F.col("n_t") > max(most_t(most_e), n / 100)).select("term")
-    rare = both.join(F.broadcast(common), "term", "left_anti").join(counts.filter(F.col("n_t") <= most_t(most_e)), "term")
-    owners = entities.join(n_e, "entity")
-    pairs = rare.join(owners, "rid").filter(F.col("n_t") <= most_t(F.col("n_e")))
-    pairs = stage(pairs, "pii-pairs")
-    told = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
-    bits = F.log2(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    whole = F.log2(F.lit(n) / F.col("n_e"))
-    telling = told.filter((whole > 0) & (bits >= share * whole)).select("entity", "term")
-    telling = stage(pairs.select("rid", "entity", "term").join(telling, ["entity", "term"]), "pii-terms")
-    full = telling.filter(~F.col("term").endswith("*")).withColumn("__short", _prefix(F.col("term")))
-    shorts = telling.filter(F.col("term").endswith("*")).select(
-        F.col("rid").alias("__rid"), F.col("entity").alias("__entity"), F.col("term").alias("__term"))
-    same = (F.col("rid") == F.col("__rid")) & (F.col("entity") == F.col("__entity")) & (F.col("__short") == F.col("__term"))
+    owners = stage(owners_of(spans), "pii-owners")
+    most_e = owners.agg(F.max("n_e")).first()[0] or 0
+    most_t = n ** (1 - share) * most_e ** share * 1.001
+    counts = stage(document_counts(docs).filter(F.col("n_t") <= most_t), "pii-counts")
+    terms = stage(terms_of(found).join(counts, "term"), "pii-terms")
+    telling = stage(_telling(terms, owners, n, share), "pii-telling")
+    # Beginnings matter only where a longer term tells.
+    longer = telling.filter(F.char_length("term") > PREFIX).select("rid", _prefix(F.col("term")).alias("term")).distinct()
+    asked = longer.select("term").distinct()
+    wanted = terms_of(found).select("rid", _prefix(F.col("term")).alias("term")).join(asked, "term", "left_semi").distinct()
+    short = _telling(wanted.join(counts, "term"), owners, n, share).select(
+        F.col("rid").alias("__rid"), F.col("g").alias("__g"), F.col("term").alias("__short"))
+    same = (F.col("rid") == F.col("__rid")) & (F.col("g") == F.col("__g")) & (_prefix(F.col("term")) == F.col("__short"))
     # A word no longer than its beginning cannot be generalised.
-    told_less = F.col("__term").isNull() & (F.char_length("term") > PREFIX)
-    return full.join(shorts, same, "left").groupBy("rid", "term").agg(F.min(told_less).alias("generalised"))
+    told_less = F.col("__short").isNull() & (F.char_length("term") > PREFIX)
+    return telling.join(short, same, "left").groupBy("rid", "term").agg(F.min(told_less).alias("generalised"))
 
 
 def all_spans(found: DataFrame, docs: DataFrame, share: float = SHARE) -> DataFrame:
     """rid, kind, rank, start, end, generalised: base spans, and terms outside them."""
     spans = stage(base_spans(found), "pii-spans")
-    held = stage(words(found, spans), "pii-words")
-    terms = held.join(disclosing(held, spans, docs, share), ["rid", "term"])
+    terms = places(found, disclosing(found, spans, docs, share))
     base = spans.select("rid", "kind", "rank", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
                         F.lit(None).cast("boolean").alias("generalised"))
     added = terms.select("rid", F.lit(TERM).alias("kind"), F.lit(len(PATTERNS)).alias("rank"),
@@ -185,7 +213,7 @@ def all_spans(found: DataFrame, docs: DataFrame, share: float = SHARE) -> DataFr
 def find(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """rid, doc_id, spans: per document an array of (rank, start, end, kind, generalised), sorted."""
     found = candidates(docs)
-    return _gathered(found, all_spans(found, docs, share)).select("rid", "doc_id", "spans")
+    return _gathered(found.select("rid", "doc_id"), all_spans(found, docs, share)).select("rid", "doc_id", "spans")
 
 
 def _gathered(found: DataFrame, spans: DataFrame) -> DataFrame:
@@ -202,7 +230,7 @@ def listed(spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, text, sanitised: entities become their kind in brackets, terms their beginning or nothing."""
-    found = candidates(docs)
+    found = candidates(docs, whole=True)
     gathered = _gathered(found, all_spans(found, docs, share))
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["rank"], s["kind"], s["generalised"])))
     state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
