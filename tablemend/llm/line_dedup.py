@@ -3,14 +3,15 @@
 A :class:`LineStore` holds three tables:
 
 * ``refs``: one row for each keyed line of each document (key, doc_id, text hash, line number);
-* ``counts``: per key the number of documents that hold it and the largest of their ids;
+* ``counts``: per key the number of documents that hold it, the largest of their ids and the filter it was put into;
 * ``filters``: per shard of the key space one or more cuckoo filters of the keys in ``counts``.
 
 Inserting a batch counts its own keys first, then asks the filters of each shard.  Keys
-they have never seen are new for certain and are appended; only the others meet the count
-table, which settles false positives.  Deleting documents takes their references away,
-recounts the keys they held and takes keys without references out of the filters, after
-which the store is as if the documents had never come.
+they have never seen are new for certain; only the others meet the count
+table, which settles false positives.  Every key that it does not hold is put into a filter of its shard and
+appended; rows of keys that did not come are left alone.  Deleting documents takes their references away,
+recounts the keys they held and takes keys without references out of the very filter they were put into, so that no
+other key loses its mark; after that the store is as if the documents had never come.
 
 A line's key is the line without white space at both ends, A-Z lower-cased; keys of at
 least ``min_chars`` code points count.  A key found in ``min_docs`` documents or more loses
@@ -33,12 +34,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemend.llm.common import SPACES, ascii_lower, stage
-from tablemend.llm.cuckoo import Cuckoo
+from tablemend.llm.cuckoo import SLOTS, Cuckoo
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Stands for no id, so that ids stay whole numbers on their way through pandas.
 NO_ID = -(1 << 63)
-_COUNTS = "shard int, key binary, n_docs long, last_doc long"
+_COUNTS = "shard int, key binary, n_docs long, last_doc long, generation int"
+_ROW = ["shard", "key", "n_docs", "last_doc", "generation"]
 _FILTERS = "shard int, generation int, data binary"
 
 
@@ -72,36 +74,50 @@ def _count(refs: DataFrame, shards: int) -> DataFrame:
     return grouped.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key", "n_docs", "last_doc")
 
 
-def _ask_and_insert(key: tuple, keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    """Which keys of one shard were seen before, and the shard's filters with all of them."""
-    generations = [Cuckoo.loads(d) for d in filters.sort_values("generation")["data"]] if len(filters) else []
+def _opened(filters: pd.DataFrame) -> list[Cuckoo]:
+    return [Cuckoo.loads(d) for d in filters.sort_values("generation")["data"]] if len(filters) else []
+
+
+def _ask(key: tuple, keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+    """The keys of one shard, and whether a filter may have seen them."""
     seen = np.zeros(len(keys), bool)
     if len(keys):
         h = _hash(keys["key"])
-        for g in generations:
+        for g in _opened(filters):
             seen |= g.contains(h)
-        new = h[~seen]
-        if generations and len(new):
-            new = generations[-1].insert(new)
-        while len(new):
-            generations.append(Cuckoo.sized(len(new)))
-            new = generations[-1].insert(new)
-    out = keys.assign(seen=seen, generation=np.int32(-1), data=None)
+    return keys[["shard", "key", "n_docs", "last_doc"]].assign(seen=seen)
+
+
+def _insert(key: tuple, keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+    """The new keys of one shard with the filter each was put into, and the shard's filters."""
+    generations = _opened(filters)
+    put = np.full(len(keys), -1, np.int32)
+    if len(keys):
+        h, left = _hash(keys["key"]), np.arange(len(keys))
+        for g, last in enumerate(generations[-1:], len(generations) - 1):
+            # A filter takes all keys of a batch or none.
+            if not len(last.insert(h)):
+                put[left], left = g, left[:0]
+        if len(left):
+            generations.append(Cuckoo.sized(len(left)))
+            while len(generations[-1].insert(h[left])):  # more than its slots hold: a larger one
+                generations[-1] = Cuckoo(np.zeros((2 * len(generations[-1].table), SLOTS), np.uint16))
+            put[left] = len(generations) - 1
     rows = pd.DataFrame({
-        "shard": np.int32(key[0]), "key": None, "n_docs": 0, "last_doc": NO_ID, "seen": False,
+        "shard": np.int32(key[0]), "key": None, "n_docs": 0, "last_doc": NO_ID,
         "generation": np.arange(len(generations), dtype=np.int32), "data": [g.dumps() for g in generations],
     })
+    out = keys[["shard", "key", "n_docs", "last_doc"]].assign(generation=put, data=None)
     return pd.concat([f for f in (out, rows) if len(f)]) if len(out) or len(rows) else rows
 
 
 def _take_out(key: tuple, keys: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    """The shard's filters without the keys."""
-    generations = [Cuckoo.loads(d) for d in filters.sort_values("generation")["data"]]
-    h = _hash(keys["key"]) if len(keys) else np.zeros(0, np.uint64)
-    for g in reversed(generations):
-        inside = g.contains(h)
-        g.remove(h[inside])
-        h = h[~inside]
+    """The shard's filters without the keys, each taken out of the filter it was put into."""
+    generations = _opened(filters)
+    if len(keys):
+        h, put = _hash(keys["key"]), keys["generation"].to_numpy()
+        for g, filter_ in enumerate(generations):
+            filter_.remove(h[put == g])
     return pd.DataFrame({
         "shard": np.int32(key[0]), "generation": np.arange(len(generations), dtype=np.int32),
         "data": [g.dumps() for g in generations],
@@ -115,6 +131,8 @@ class LineStore:
     filters: DataFrame
     shards: int
     min_chars: int = MIN_CHARS
+    #: Whether nothing was ever inserted, so that there is nothing to ask.
+    fresh: bool = True
 
     @classmethod
     def empty(cls, spark: SparkSession, shards: int, min_chars: int = MIN_CHARS) -> LineStore:
@@ -127,21 +145,25 @@ class LineStore:
         return self.insert_references(stage(references(docs, self.min_chars), "line-refs"))
 
     def insert_references(self, refs: DataFrame) -> LineStore:
-        asked = stage(
-            _count(refs, self.shards).groupBy("shard").cogroup(self.filters.groupBy("shard"))
-            .applyInPandas(_ask_and_insert, f"{_COUNTS}, seen boolean, generation int, data binary"),
-            "line-asked",
-        )
-        keys, filters = asked.filter("generation < 0"), asked.filter("generation >= 0")
-        columns = ["shard", "key", "n_docs", "last_doc"]
-        met, new = keys.filter("seen").select(columns), keys.filter("not seen").select(columns)
-        # Only keys that may have been seen meet the counts so far.
-        merged = self.counts.unionByName(met).groupBy("shard", "key").agg(
-            F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc")
-        )
-        counts = stage(merged.unionByName(new), "line-counts")
-        all_refs = self.refs.unionByName(refs)
-        return LineStore(all_refs, counts, filters.select("shard", "generation", "data"), self.shards, self.min_chars)
+        mine = ["shard", "key", "n_docs", "last_doc"]
+        came = _count(refs, self.shards)
+        if self.fresh:
+            known, new = None, came
+        else:
+            asked = stage(came.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(
+                _ask, "shard int, key binary, n_docs long, last_doc long, seen boolean"), "line-asked")
+            met = asked.filter("seen").select(F.col("key").alias("__key"), F.col("n_docs").alias("__n"), F.col("last_doc").alias("__last"))
+            # The count table has the last word on keys that may have been seen.
+            known = stage(self.counts.join(met, F.col("key") == F.col("__key")).select(
+                "shard", "key", (F.col("n_docs") + F.col("__n")).alias("n_docs"), F.greatest("last_doc", "__last").alias("last_doc"), "generation"), "line-known")
+            new = asked.join(known.select(F.col("key").alias("__key")), F.col("key") == F.col("__key"), "left_anti").select(mine)
+        put = stage(new.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_insert, f"{_COUNTS}, data binary"), "line-put")
+        counts = put.filter("data is null").select(_ROW)
+        if known is not None:
+            untouched = self.counts.join(known.select(F.col("key").alias("__key")), F.col("key") == F.col("__key"), "left_anti")
+            counts = stage(untouched.select(_ROW).unionByName(known).unionByName(counts), "line-counts")
+        filters = put.filter("data is not null").select("shard", "generation", "data")
+        return LineStore(self.refs.unionByName(refs), counts, filters, self.shards, self.min_chars, fresh=False)
 
     def delete(self, doc_ids: DataFrame) -> LineStore:
         """The store without the documents of ``doc_ids`` (one column, doc_id)."""
@@ -149,15 +171,18 @@ class LineStore:
         mine = self.refs["doc_id"].eqNullSafe(ids["__id"])
         refs = stage(self.refs.join(ids, mine, "left_anti"), "line-refs")
         touched = self.refs.join(ids, mine, "left_semi").select("key").distinct()
-        recount = _count(refs.join(touched, "key", "left_semi"), self.shards)
-        untouched = self.counts.join(touched, "key", "left_anti").select("shard", "key", "n_docs", "last_doc")
-        counts = stage(untouched.unionByName(recount), "line-counts")
-        shard = F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int")
-        gone = touched.join(counts.select("key"), "key", "left_anti").select(shard.alias("shard"), "key")
+        recount = _count(refs.join(touched, "key", "left_semi"), self.shards).select(
+            F.col("key").alias("__key"), F.col("n_docs").alias("__n"), F.col("last_doc").alias("__last"))
+        held = stage(self.counts.join(touched, "key").join(recount, F.col("key") == F.col("__key"), "left"), "line-held")
+        stays = held.filter(F.col("__key").isNotNull()).select(
+            "shard", "key", F.col("__n").alias("n_docs"), F.col("__last").alias("last_doc"), "generation")
+        untouched = self.counts.join(touched, "key", "left_anti").select(_ROW)
+        counts = stage(untouched.unionByName(stays), "line-counts")
+        gone = held.filter(F.col("__key").isNull()).select("shard", "key", "generation")
         filters = stage(
             gone.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_take_out, _FILTERS), "line-filters",
         )
-        return LineStore(refs, counts, filters, self.shards, self.min_chars)
+        return LineStore(refs, counts, filters, self.shards, self.min_chars, self.fresh)
 
     def drops(self, min_docs: int = MIN_DOCS) -> DataFrame:
         """doc_id, text_hash, __dropped (sorted line numbers) of the documents that lose lines."""

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -206,3 +207,51 @@ def test_posterior_bounds_keep_links():
     rng = np.random.default_rng(1)
     agreed = np.cumsum(rng.random((20_000, 5, 20)) < 0.85, axis=2)[:, :, -1].cumsum(axis=1)
     assert (agreed < least[None, :]).any(axis=1).mean() < 2e-3
+
+
+def thue_morse(n):
+    """A word of n letters and its complement, whose sums of powers modulo 2^64 are equal."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [512, 4_096])
+def test_long_words_differ(table, n):
+    x, y = thue_morse(n)
+    docs = table([(1, x, "a"), (2, y, "a"), (3, f"a b c d {x} a b c d {y}", "a"), (4, "p q r s " + x, "a"), (5, "p q r s " + y, "a")])
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.classes(docs, 85).collect()}
+    assert found == {1: (1, 1), 2: (1, 2), 3: (6, 3), 4: (1, 4), 5: (1, 5)}
+
+
+def test_deletion_behind_false_positives_leaves_other_keys_alone(monkeypatch):
+    """Filters of four marks in four buckets take most new keys for known ones."""
+    places = Cuckoo._places
+    monkeypatch.setattr(Cuckoo, "_places", lambda self, h: (places(self, h)[0] & 3, (places(self, h)[1] & 3) + 1))
+    keys = [hashlib.md5(str(k).encode()).digest() for k in range(24)]
+    frame = lambda some: pd.DataFrame({"shard": np.int32(0), "key": some, "n_docs": 1, "last_doc": 1})
+    none = pd.DataFrame({"shard": [], "generation": [], "data": []})
+    split = lambda out: (out[out["data"].isna()], out[out["data"].notna()])
+    first, filters = split(line_dedup._insert((0,), frame(keys[:8]), none))
+    assert line_dedup._ask((0,), frame(keys[8:]), filters)["seen"].any()  # false positives
+    second, both = split(line_dedup._insert((0,), frame(keys[8:]), filters))
+    assert (second["generation"] >= 0).all() and line_dedup._ask((0,), frame(keys), both)["seen"].all()
+    after = line_dedup._take_out((0,), second, both)
+    assert line_dedup._ask((0,), frame(keys[:8]), after)["seen"].all()
+    left = [Cuckoo.loads(d) for d in after.sort_values("generation")["data"]]
+    assert sum(int((f.table > 0).sum()) for f in left) == 8  # exactly the first keys' marks
+
+
+def test_deletion_and_insertion_again(spark, table):
+    rng = random.Random(9)
+    first, second, third = ([(base + k, "\n".join(prose(rng, 12) + " " * 40 + str(base + k + j) for j in range(4)), "a") for k in range(10)]
+                            for base in (0, 100, 200))
+    start = line_dedup.LineStore.empty(spark, 1).insert(table(first))
+    back = start.insert(table(second)).delete(table(second).select("doc_id"))
+
+    def rows(counts):
+        return sorted((bytes(r["key"]), r["n_docs"], r["last_doc"]) for r in counts.collect())
+
+    assert rows(back.counts) == rows(start.counts) and len(rows(start.counts)) == 40
+    counts = rows(back.insert(table([(i + 500, t, s) for i, t, s in first])).insert(table(third)).counts)
+    assert len({k for k, *_ in counts}) == len(counts) == 80  # one row a key
+    assert sorted(n for _, n, _ in counts) == [1] * 40 + [2] * 40
