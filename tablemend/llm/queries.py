@@ -22,6 +22,7 @@ from tablemend.llm import (
     sharding,
     toxicity,
     url_filter,
+    url_labels,
 )
 from tablemend.llm.common import ship
 
@@ -173,17 +174,10 @@ URL_RULES = [
 ]
 
 
-def labelled_urls(pages: DataFrame) -> DataFrame:
-    """The URLs that a rule judges, as the labelled table (the test data have no other labels of URLs)."""
-    url = pages["url"]
-    rule = url_filter.winning_rule(url_filter.host_of(url), url_filter.path_of(url), URL_RULES)
-    return pages.filter(rule.isNotNull()).select(url.alias("url"), (rule["verdict"] == "block").alias("blocked"))
-
-
 @query("op10_url_filter")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    model = url_filter.train(labelled_urls(pages))
+    model = url_filter.train(url_labels.labelled(spark))
     return url_filter.judge(pages, URL_RULES, model).select(
         "page_id", F.col("__host").alias("host"), F.col("__path").alias("path"),
         F.col("__rule").alias("rule"), F.col("__verdict").alias("verdict"),

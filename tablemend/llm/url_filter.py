@@ -10,8 +10,9 @@ path: from there up to ``?``, ``#`` or the end; both are empty for a null or a U
 ``://``.  A rule fits its host and all subdomains if the path starts with the rule's; the
 longest rule wins, of equally long ones the first.  Without labelled rows, or with labels
 of one kind, the model gives the share of blocked rows (0 without any).  Empty hosts and
-paths are judged by the model's intercept.  Repeated rows get the same verdict, an empty
-table gives no rows.
+paths are judged by the model's intercept.  Repeated rows get the same verdict, a score equal to
+the threshold blocks, an empty table gives no rows.  Other columns may have any name that does not
+begin with two underscores.
 """
 
 from __future__ import annotations

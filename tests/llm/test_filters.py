@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from tablemend.llm import pii, toxicity, url_filter
+from tablemend.llm import pii, toxicity, url_filter, url_labels
 from tablemend.llm.queries import URL_RULES
 from tests.llm.conftest import prose
 
@@ -212,6 +212,34 @@ def test_urls_on_held_out_rows(spark):
     assert ((score >= 0.5) == np.array([b for _, b in test])).mean() > 0.97
 
 
+def test_labelled_urls_teach_names_in_unseen_forms():
+    rows = url_labels.rows()
+    held = [k % len(url_labels.FORMS) == len(url_labels.FORMS) - 1 for k in range(len(rows))]
+    bare = [re.split("[?#]", u.split("://")[1])[0] for u, _ in rows]
+    blocked = np.array([b for _, b in rows], float)
+    keep = ~np.array(held)
+    model = url_filter.fit(pa.array([u for u, h in zip(bare, held) if not h]), blocked[keep])
+    score, wanted = model.scores(pa.array([u for u, h in zip(bare, held) if h])), blocked[~keep] > 0
+    assert (score[wanted] >= 0.5).mean() > 0.8 and (score[~wanted] >= 0.5).mean() < 0.02
+    by_domain = {}
+    for url, b in rows:
+        by_domain.setdefault(url.split("/")[2].removeprefix("www.").removeprefix("m.").removeprefix("blog.").split(".", 1)[1], set()).add(b)
+    assert all(kinds == {True, False} for kinds in by_domain.values())
+
+
+def test_unseen_urls_get_both_verdicts(spark):
+    """No rule judges these, no labelled URL has their host; columns with names of the judgement's own inputs stay."""
+    wanted = {"https://www.lucky-casino24.example.org/en/7": "block", "http://online-poker-room.org/de/2.html": "block",
+              "https://adtracker7.example.org/es/1": "block", "https://ththernion.example.org/en/7": "allow",
+              "http://blog.county-library.org/de/2.html": "allow", "https://museum-shop.example.org/es/1": "allow", "": "allow"}
+    known = {u.split("/")[2] for u, _ in url_labels.rows()}
+    assert not known & {u.split("/")[2] for u in wanted if u}
+    pages = spark.createDataFrame([(u, "x", "y", 1.0) for u in wanted] * 2, "url string, host string, verdict string, score double")
+    got = url_filter.judge(pages, URL_RULES, url_filter.train(url_labels.labelled(spark))).collect()
+    assert len(got) == 2 * len(wanted) and all(r["__rule"] is None and r["host"] == "x" for r in got)
+    assert {r["url"]: r["__verdict"] for r in got} == wanted
+
+
 def test_models_without_labels_or_with_one_kind(spark):
     schema = "url string, blocked boolean"
     none = url_filter.train(spark.createDataFrame([], schema))
