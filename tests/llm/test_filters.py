@@ -213,14 +213,15 @@ def test_urls_on_held_out_rows(spark):
 
 
 def test_labelled_urls_teach_names_in_unseen_forms():
-    rows = url_labels.rows()
-    held = [k % len(url_labels.FORMS) == len(url_labels.FORMS) - 1 for k in range(len(rows))]
-    bare = [re.split("[?#]", u.split("://")[1])[0] for u, _ in rows]
-    blocked = np.array([b for _, b in rows], float)
-    keep = ~np.array(held)
-    model = url_filter.fit(pa.array([u for u, h in zip(bare, held) if not h]), blocked[keep])
-    score, wanted = model.scores(pa.array([u for u, h in zip(bare, held) if h])), blocked[~keep] > 0
-    assert (score[wanted] >= 0.5).mean() > 0.8 and (score[~wanted] >= 0.5).mean() < 0.02
+    """Each form is held out once; what is new there is the form, not the stem."""
+    rows, forms = url_labels.rows(), len(url_labels.FORMS)
+    bare = pa.array([re.split("[?#]", u.split("://")[1])[0] for u, _ in rows])
+    blocked, form = np.array([b for _, b in rows], float), np.arange(len(rows)) % forms
+    score = np.zeros(len(rows))
+    for k in range(forms):
+        model = url_filter.fit(bare.filter(pa.array(form != k)), blocked[form != k])
+        score[form == k] = model.scores(bare.filter(pa.array(form == k)))
+    assert (score[blocked > 0] >= 0.5).mean() > 0.85 and (score[blocked == 0] >= 0.5).mean() < 0.02
     by_domain = {}
     for url, b in rows:
         by_domain.setdefault(url.split("/")[2].removeprefix("www.").removeprefix("m.").removeprefix("blog.").split(".", 1)[1], set()).add(b)
