@@ -3,20 +3,24 @@
 Vectors get one more component, which makes the largest inner product the smallest
 angle whatever the lengths; a rotation learned on a bounded sample (iterative
 quantization) turns them into 64 bits.  A code falls into ``PARTS`` substrings, and each block
-indexes its rows by each of them.  A code within Hamming distance r of a query agrees with it
-up to floor(r / PARTS) bits in one substring at least, so probing the substrings' values up to that
-distance retrieves every code within r.  Those are ranked by inner products of the original vectors.
+sorts its rows by each of them, with the place where every value begins.  Of two codes within
+Hamming distance r = a * PARTS + b, one of the first b + 1 substrings differs in a bits at most or one of
+the others in a - 1 (else they differed in more than r bits), so looking up the values that lie
+so near to the query's retrieves every code within r, and rows of other values are never touched.
+What is found is ranked by inner products of the original vectors.
 
 r is measured on the sample: the distance within which ``COVER`` of the true neighbours lie.
 The sample's neighbours are farther than the whole table's, so the share found is larger
 there.  A query with fewer than k + 1 rows within r in a block takes the block's nearest codes.
 
-Null and zero vectors and those with null or non-finite components take no part; see :mod:`tablemend.llm.search` for ids.
+Null and zero vectors and those with null or non-finite components take no part; see :mod:`tablemend.llm.search`
+for ids, ties, repeated rows and vectors of another length.
 An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from tablemend.llm.search import answers, matrix, prepared, search
 
 BITS, PARTS = 64, 4
+WIDTH = BITS // PARTS
 SAMPLE, ASKED = 8_192, 256
 COVER = 0.97
 
@@ -94,27 +99,60 @@ def fitted(sample: np.ndarray, longest: float, k: int) -> Codes:
     return Codes(codes.longest, codes.center, codes.rotation, radius)
 
 
+def part_radii(radius: int) -> list[int]:
+    """How far each substring is probed; -1 where it need not be."""
+    a, b = divmod(radius, PARTS)
+    return [a if s <= b else a - 1 for s in range(PARTS)]
+
+
+@functools.cache
+def masks(width: int, radius: int) -> np.ndarray:
+    """What changes up to ``radius`` of ``width`` bits, nearest first."""
+    every = np.arange(1 << width, dtype=np.uint32)
+    far = np.bitwise_count(every)
+    near = far <= radius
+    return every[near][np.argsort(far[near], kind="stable")]
+
+
 class SubstringIndex:
     """The rows of a block by the values of each substring."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        width = BITS // PARTS
-        self.parts = [np.unique((codes >> np.uint64(s * width)) & np.uint64((1 << width) - 1), return_inverse=True)
-                      for s in range(PARTS)]
+        self.codes, self.touched = codes, 0
+        self.order, self.start = [], []
+        for s in range(PARTS):
+            value = self.part(codes, s)
+            self.order.append(np.argsort(value, kind="stable"))
+            self.start.append(np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << WIDTH))]))
+
+    @staticmethod
+    def part(codes: np.ndarray, s: int) -> np.ndarray:
+        return ((codes >> np.uint64(s * WIDTH)) & np.uint64((1 << WIDTH) - 1)).astype(np.uint32)
 
     def within(self, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, row, distance) of all codes within the radius."""
-        width = BITS // PARTS
-        hit = np.zeros((len(query), len(self.codes)), bool)
-        for s, (values, where) in enumerate(self.parts):
-            part = (query >> np.uint64(s * width)) & np.uint64((1 << width) - 1)
-            probed = np.bitwise_count(part[:, None] ^ values[None, :]) <= radius // PARTS
-            hit |= probed[:, where]
-        who, row = np.nonzero(hit)
-        far = np.bitwise_count(query[who] ^ self.codes[row])
-        near = far <= radius
-        return who[near], row[near], far[near]
+        """(query, row, distance) of all codes within the radius, by query and row; ``touched`` counts the rows looked at."""
+        radii, found = part_radii(radius), []
+        for s, (order, start) in enumerate(zip(self.order, self.start, strict=True)):
+            if radii[s] < 0:
+                continue
+            near = masks(WIDTH, min(radii[s], WIDTH))
+            value = self.part(query, s)[:, None] ^ near[None, :]
+            low, high = start[value], start[value + 1]
+            who, place = np.nonzero(high > low)
+            low = low[who, place]
+            n = high[who, place] - low
+            row = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            who = np.repeat(who, n)
+            self.touched += len(row)
+            apart = query[who] ^ self.codes[row]
+            far = np.bitwise_count(apart)
+            keep = far <= radius
+            for t in range(s):  # what an earlier substring has found is not found again
+                keep &= np.bitwise_count(self.part(apart, t)) > radii[t]
+            found.append((who[keep], row[keep], far[keep]))
+        who, row, far = (np.concatenate(c) for c in zip(*found, strict=True))
+        place = np.lexsort((row, who))
+        return who[place], row[place], far[place]
 
 
 def nearest(codes: Codes, k: int):

@@ -92,6 +92,27 @@ def test_every_code_within_the_radius_is_retrieved():
         assert np.array_equal(np.stack([who, row], axis=1), want) and (far <= radius).all()
 
 
+def test_probing_touches_few_rows():
+    """Near codes are found, and far fewer rows looked at than there are (query, row) pairs."""
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    index = multi_index.SubstringIndex(codes)
+    for radius, most in ((3, 0.001), (9, 0.03), (16, 0.2)):
+        index.touched = 0
+        flips = np.array([sum(1 << int(b) for b in rng.choice(63, radius, replace=False)) for _ in range(50)], np.uint64)
+        who, row, far = index.within(codes[:50] ^ flips, radius)
+        assert set(range(50)) <= set(row[who == row].tolist()) and (far <= radius).all()
+        assert index.touched < most * 50 * len(codes)
+    assert index.within(codes[:0], 9)[0].size == 0
+
+
+def test_radii_of_substrings_follow_the_pigeonhole():
+    for radius in range(0, 65):
+        radii = multi_index.part_radii(radius)
+        # Codes that each substring misses differ in one bit more than its radius, in all substrings.
+        assert sum(r + 1 for r in radii) == radius + 1
+
+
 def test_queries_of_operators_have_sql_where_it_can_say_them():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(SQL) <= set(QUERIES)
