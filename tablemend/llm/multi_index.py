@@ -7,6 +7,8 @@ sorts its rows by each of them, with the place where every value begins.  Of two
 Hamming distance r = a * PARTS + b, one of the first b + 1 substrings differs in a bits at most or one of
 the others in a - 1 (else they differed in more than r bits), so looking up the values that lie
 so near to the query's retrieves every code within r, and rows of other values are never touched.
+Where r is so wide that there are more values to look up than codes in a block, the block's codes are
+read through instead, which finds the same ones.
 What is found is ranked by inner products of the original vectors.
 
 r is measured on the sample: the distance within which ``COVER`` of the true neighbours lie.
@@ -132,6 +134,12 @@ class SubstringIndex:
     def within(self, query: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, row, distance) of all codes within the radius, by query and row; ``touched`` counts the rows looked at."""
         radii, found = part_radii(radius), []
+        looked_up = sum(len(masks(WIDTH, min(r, WIDTH))) for r in radii if r >= 0)
+        if looked_up + len(self.codes) * looked_up / (1 << WIDTH) > len(self.codes):  # reading the codes through is less work
+            apart = distances(query, self.codes)
+            who, row = np.nonzero(apart <= radius)
+            self.touched += apart.size
+            return who, row, apart[who, row]
         for s, (order, start) in enumerate(zip(self.order, self.start, strict=True)):
             if radii[s] < 0:
                 continue

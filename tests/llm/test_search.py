@@ -103,7 +103,12 @@ def test_probing_touches_few_rows():
         who, row, far = index.within(codes[:50] ^ flips, radius)
         assert set(range(50)) <= set(row[who == row].tolist()) and (far <= radius).all()
         assert index.touched < most * 50 * len(codes)
+        want = np.argwhere(multi_index.distances(codes[:50] ^ flips, codes) <= radius)
+        assert np.array_equal(np.stack([who, row], axis=1), want)
     assert index.within(codes[:0], 9)[0].size == 0
+    index.touched = 0
+    index.within(codes[:2], 30)
+    assert index.touched == 2 * len(codes)  # more values to look up than codes
 
 
 def test_radii_of_substrings_follow_the_pigeonhole():
