@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,25 +35,63 @@ def _identifier_columns(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
 
 
 def parents_through(
-    reference: Dataset, rule: FkRule, through: str, marker: str, limit: int | None = None
+    reference: Dataset, rule: FkRule, through: str, marker: str, limit: int | None = None, known: Lookup | None = None
 ) -> Lookup:
     """Per key of the detour table: the parent it leads to (column ``through``), if that exists.
 
     Copies of a detour row may disagree.  Parents that do not exist are ignored
     and the smallest of the others is taken, so the answer does not depend on
     the order of rows.  ``marker`` is true for every key of the detour table.
+    ``known`` is the lookup of the parents, with the marker ``__known``, if there is one already.
     """
     detour = reference[rule.via.table]
     pairs = detour.select(
         fold(column(detour, rule.via.key)).alias("__id"), column(detour, rule.via.payload).alias("__parent")
     ).filter(~stands_for_missing(F.col("__id")))
-    known = known_keys(reference[rule.ref_table], rule.ref_column, "__known")
+    known = known or known_keys(reference[rule.ref_table], rule.ref_column, "__known")
     checked = attach(pairs, fold(F.col("__parent")), known, limit)
     parent = F.min(F.when(F.col("__known"), F.col("__parent")))
     rows = checked.groupBy(F.col("__id").alias(KEY)).agg(parent.alias(through), F.lit(True).alias(marker))
     return Lookup(rows, estimated_bytes(pairs))
 
 
+class StoredLookups:
+    """The lookups of a run, each built once from ``reference`` and written as Parquet under ``folder``.
+
+    A lookup is written when a key repair first asks for it; all later ones read its narrow rows (a row per key) and
+    scan and group no parent table again.  A lost executor costs no more than its own tasks.
+    """
+
+    def __init__(self, reference: Dataset, folder: str, limit: int | None = None):
+        self.reference, self.folder, self.limit = reference, folder.rstrip("/"), limit
+        self._stored: dict[tuple[str, ...], DataFrame] = {}
+
+    def _once(self, key: tuple[str, ...], build: Callable[[], Lookup], names: Mapping[str, str]) -> Lookup:
+        if key not in self._stored:
+            rows = build().rows
+            path = f"{self.folder}/{len(self._stored)}"
+            rows.write.mode("overwrite").parquet(path)
+            self._stored[key] = rows.sparkSession.read.schema(rows.schema).parquet(path)
+        rows = self._stored[key]
+        return Lookup(rows.withColumnsRenamed(names), estimated_bytes(rows))
+
+    def known(self, table: str, name: str, marker: str) -> Lookup:
+        def build() -> Lookup:
+            return known_keys(self.reference[table], name, "__known")
+
+        return self._once((table, name.lower()), build, {"__known": marker})
+
+    def through(self, rule: FkRule, through: str, marker: str) -> Lookup:
+        via = rule.via
+
+        def build() -> Lookup:
+            known = self.known(rule.ref_table, rule.ref_column, "__known")
+            return parents_through(self.reference, rule, "__through", "__detour", self.limit, known)
+
+        key = (via.table, via.key.lower(), via.payload.lower(), rule.ref_table, rule.ref_column.lower())
+        return self._once(key, build, {"__through": through, "__detour": marker})
+
+
 @dataclass(frozen=True)
 class RepairMode:
     """How a broken key is treated.
@@ -74,13 +112,14 @@ MARK_UNKNOWN = RepairMode(UNKNOWN, detour_if_unknown=True)
 
 def repair_keys(
     df: DataFrame, rules: Sequence[FkRule], reference: Dataset, mode: RepairMode = MARK_MISSING,
-    limit: int | None = None, mark_changes: bool = False,
+    limit: int | None = None, mark_changes: bool = False, stored: StoredLookups | None = None,
 ) -> DataFrame:
     """Repair all foreign keys of one table against the keys in ``reference``.
 
     Each rule costs one lookup.  A detour and a direct rule over the same column
     share theirs: the lookup that says whether the encounter exists also says
     which patient it belongs to.  ``mark_changes`` adds a flag per key column.
+    With ``stored`` (of the same ``reference``), lookups are shared with other tables.
     """
     usable = [r for r in rules if r.ref_table in reference and resolve(df, r.column)
               and resolve(reference[r.ref_table], r.ref_column)]
@@ -94,14 +133,16 @@ def repair_keys(
             continue
         through[rule] = f"__through{i}"
         marker = exists[via.column.lower(), via.table, via.key.lower()] = f"__detour{i}"
-        facts = parents_through(reference, rule, through[rule], marker, limit)
+        facts = stored.through(rule, through[rule], marker) if stored else \
+            parents_through(reference, rule, through[rule], marker, limit)
         out = attach(out, fold(column(df, via.column)), facts, limit)
 
     for i, rule in enumerate(usable):
         asked = (rule.column.lower(), rule.ref_table, rule.ref_column.lower())
         if asked not in exists:
             exists[asked] = f"__exists{i}"
-            facts = known_keys(reference[rule.ref_table], rule.ref_column, exists[asked])
+            facts = stored.known(rule.ref_table, rule.ref_column, exists[asked]) if stored else \
+                known_keys(reference[rule.ref_table], rule.ref_column, exists[asked])
             out = attach(out, fold(column(df, rule.column)), facts, limit)
 
     repaired: dict[str, Column] = {}
@@ -162,11 +203,13 @@ def fix_log(ds: Dataset, specs: Mapping[str, TableSpec], dimension: str = "Integ
     return union_all(parts).filter(F.col("error_count") > 0)
 
 
-def repair_integrity(ds: Dataset, specs: Mapping[str, TableSpec], limit: int | None = None) -> Dataset:
+def repair_integrity(
+    ds: Dataset, specs: Mapping[str, TableSpec], limit: int | None = None, stored: StoredLookups | None = None
+) -> Dataset:
     """Clean identifiers, then repair foreign keys against the keys of the tables as given."""
     return {
         name: repair_keys(
-            sanitize_identifiers(df, specs[name].identifiers), specs[name].fk_rules, ds, MARK_UNKNOWN, limit
+            sanitize_identifiers(df, specs[name].identifiers), specs[name].fk_rules, ds, MARK_UNKNOWN, limit, stored=stored
         ) if name in specs else df
         for name, df in ds.items()
     }

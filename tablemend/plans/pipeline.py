@@ -25,7 +25,7 @@ from tablemend.operators.metrics import isolated, metric, skipped, union_all, un
 from tablemend.operators.orphans import empty_references, fk_metrics, obstacle
 from tablemend.operators.profile import profile
 from tablemend.operators.repair import (
-    CHANGED_PREFIX, MARK_MISSING, fix_log, impute_candidates, repair_integrity, repair_keys,
+    CHANGED_PREFIX, MARK_MISSING, StoredLookups, fix_log, impute_candidates, repair_integrity, repair_keys,
 )
 from tablemend.operators.semantic import code_lookup, suggested_codes, unknown_codes
 from tablemend.operators.structure import detect_domain, domain_metric, schema_drift
@@ -162,13 +162,15 @@ def correct_with_log(
     """Corrected tables and the log of changes, both from one run of the correction.
 
     The corrected rows are staged together with a mark per step, so counting the
-    marks afterwards is a scan of a few narrow columns.
+    marks afterwards is a scan of a few narrow columns.  Lookups of keys are built once for all
+    tables and written beside them.
     """
     marked = {}
+    stored = StoredLookups(ds, f"{staging.rstrip('/')}-lookups", limit)
     for name, df in ds.items():
         spec = specs.get(name, TableSpec(name))
         rows = correct_marked(df, spec.fixes)
-        marked[name] = repair_keys(rows, spec.fk_rules, ds, MARK_MISSING, limit, mark_changes=True) if repair else rows
+        marked[name] = repair_keys(rows, spec.fk_rules, ds, MARK_MISSING, limit, True, stored) if repair else rows
     staged = stage_dataset(marked, staging)
     warnings = empty_references(ds, [r for name in ds if name in specs for r in specs[name].fk_rules]) if repair else None
     logs = [] if warnings is None else [warnings]
@@ -246,19 +248,23 @@ class Outcome:
 
 
 def run(ds: Dataset, as_of: str, base: str, out_format: str = "csv", limit: int | None = None) -> Outcome:
-    """Profile and validate, repair integrity, correct, save under ``base`` and measure again."""
+    """Profile and validate, repair integrity, correct, save under ``base`` and measure again.
+
+    Every measurement is made once and written under ``base``/metrics; the outcome reads it there.
+    """
     specs = synthea.specs(as_of)
     base = base.rstrip("/")
-    before = profile_dataset(ds, specs)
-    validation = validate_dataset(ds, specs, limit=limit)
-    fixes = fix_log(ds, specs)
-    linked = stage_dataset(repair_integrity(ds, specs, limit), f"{base}/linked")
+    stored = StoredLookups(ds, f"{base}/lookups", limit)
+    linked = stage_dataset(repair_integrity(ds, specs, limit, stored), f"{base}/linked")
     tables, corrections = correct_with_log(linked, specs, f"{base}/marked", limit=limit)
     saved = write_dataset(tables, f"{base}/corrected", out_format)
-    assessed = assess_corrected(tables, specs)
-    after = profile_dataset(tables, specs)
+    metrics = stage_dataset({
+        "before": profile_dataset(ds, specs), "validation": validate_dataset(ds, specs, limit=limit),
+        "fixes": fix_log(ds, specs), "integrity": integrity_report(linked, specs), "corrections": corrections,
+        "assessed": assess_corrected(tables, specs), "after": profile_dataset(tables, specs),
+    }, f"{base}/metrics")
     return Outcome(
-        tables=tables, before=before, validation=validation, integrity=integrity_report(linked, specs),
-        fixes=fixes, corrections=corrections, saved=saved, after=assessed,
-        comparison=report.before_after(before, after),
+        tables=tables, before=metrics["before"], validation=metrics["validation"], integrity=metrics["integrity"],
+        fixes=metrics["fixes"], corrections=metrics["corrections"], saved=saved, after=metrics["assessed"],
+        comparison=report.before_after(metrics["before"], metrics["after"]),
     )

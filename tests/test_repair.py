@@ -8,7 +8,7 @@ from tablemend.operators.integrity_report import integrity_report
 from tablemend.operators.lookup import attach, broadcast_limit, known_keys, lookup
 from tablemend.operators.orphans import KeyUse, empty_references, fk_metrics, key_use_counts, link_rates, orphans
 from tablemend.operators.repair import (
-    MARK_MISSING, MARK_UNKNOWN, fix_log, impute_candidates, repair_integrity, repair_keys, sanitize_identifiers,
+    MARK_MISSING, MARK_UNKNOWN, StoredLookups, fix_log, impute_candidates, repair_integrity, repair_keys, sanitize_identifiers,
 )
 from tablemend.operators.semantic import code_lookup, suggest_codes, suggested_codes
 from tablemend.plans import synthea
@@ -256,3 +256,20 @@ def test_rules_without_detour_table_fall_back_to_direct_repair(clinic):
     rule = FkRule("conditions", "PATIENT", "patients", "ID", Via("ENCOUNTER", "visits", "ID", "PATIENT"))
     fixed = repair_keys(clinic["conditions"], [rule], clinic)
     assert fixed.filter(F.col("PATIENT") == MISSING_FK).count() == 4
+
+
+@pytest.mark.parametrize("mode", [MARK_MISSING, MARK_UNKNOWN])
+def test_stored_lookups_read_the_parents_once(spark, clinic, specs, tmp_path, mode):
+    for name in ("patients", "encounters"):
+        clinic[name].write.parquet(f"{tmp_path}/in/{name}")
+    ds = clinic | {name: spark.read.parquet(f"{tmp_path}/in/{name}") for name in ("patients", "encounters")}
+    stored = StoredLookups(ds, f"{tmp_path}/lookups")
+    for limit in (None, -1):
+        for name in ("conditions", "medications", "allergies"):
+            rules = specs[name].fk_rules
+            shared = repair_keys(ds[name], rules, ds, mode, limit, True, stored)
+            plan = shared._jdf.queryExecution().optimizedPlan().toString()
+            assert not any(f"{tmp_path}/in" in f for f in shared.inputFiles()) and "Aggregate" not in plan
+            assert sorted(map(str, shared.collect())) == sorted(map(str, repair_keys(ds[name], rules, ds, mode, limit, True).collect()))
+    # Of the keys of encounters and of patients, one lookup each.
+    assert len(list((tmp_path / "lookups").iterdir())) == 2
