@@ -2,11 +2,13 @@
 
 Every source gets a target in words (:func:`targets`).  Of a source with target t
 and size s, each document is first taken floor(t / s) times; what is left of the
-target is filled by an order sample of fixed size: document i draws u, ranks by
-the odds of u over its inclusion odds, and the lowest ranks are taken until the
-words left are used up.  Inclusion odds
-are proportional to ``odds(size)``; a common factor would not change the ranks,
-so the fixed size in words sets the inclusion probabilities.  Where the next document
+target is filled by an order sample of fixed size: document i is to be included with probability
+
+    p_i = min(1, level * measure(size_i)),
+
+where the source's level makes the expected words, the sum of p_i * size_i, equal to the words left
+(:func:`levels`).  It draws u, ranks by the odds of u over its inclusion odds p_i / (1 - p_i), and the lowest ranks
+are taken until the words left are used up; documents with p_i = 1 come first.  Where the next document
 would overshoot, the gap is filled by a second cut among the later documents of at most a
 quarter of the gap.
 
@@ -66,12 +68,39 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     )
 
 
-def ranked(docs: DataFrame, odds: Callable[[Column], Column], seed: int) -> DataFrame:
-    """``docs`` with __size and __rank: the odds of a draw over the inclusion odds, squeezed into (0, 1)."""
+Measure = Callable[[Column], Column]
+
+
+def drawn(docs: DataFrame, seed: int) -> DataFrame:
+    """``docs`` with __size, and __draw inside (0, 1)."""
     draw = uniform(F.lit(seed), docs["doc_id"], docs["text"])
-    sized = docs.withColumn("__size", word_count(docs["text"])).withColumn("__draw", draw)
-    ratio = F.col("__draw") / (1 - F.col("__draw")) / odds(F.col("__size"))
-    return sized.withColumn("__rank", ratio).withColumn("__rank", F.col("__rank") / (1 + F.col("__rank"))).drop("__draw")
+    return docs.withColumn("__size", word_count(docs["text"])).withColumn("__draw", draw)
+
+
+def _measured(size: Column, measure: Measure) -> Column:
+    return measure(F.greatest(size, F.lit(1)).cast("double"))
+
+
+def levels(sizes: DataFrame, measure: Measure) -> DataFrame:
+    """source, __level: what makes the sum of min(1, level * measure(size)) * size the words left of each source.
+
+    ``sizes`` has one row per source and distinct size (source, __size, __n, __rest).  Sizes reach 1 in falling order of
+    their measure, so the level follows from running sums; a source of w words has at most sqrt(2 w) distinct sizes.
+    """
+    words = F.col("__size") * F.col("__n")
+    weighed = sizes.withColumn("__m", _measured(F.col("__size"), measure)).withColumn("__words", words)
+    filling = Window.partitionBy("source").orderBy(F.col("__m").desc(), "__size")
+    full = F.coalesce(F.sum("__words").over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_weight = F.sum(F.col("__words") * F.col("__m")).over(filling.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return weighed.withColumn("__level", (F.col("__rest") - full) / open_weight).groupBy("source").agg(F.max("__level").alias("__level"))
+
+
+def _ranked(rows: DataFrame, measure: Measure) -> DataFrame:
+    """``rows`` (with __size, __draw, __level) with __p, and __rank: the odds of the draw over the inclusion odds,
+    squeezed into [0, 1]; null where the source has no words left to fill."""
+    p = F.least(F.lit(1.0), F.col("__level") * _measured(F.col("__size"), measure))
+    missed, met = F.col("__draw") * (1 - F.col("__p")), (1 - F.col("__draw")) * F.col("__p")
+    return rows.withColumn("__p", F.when(F.col("__level").isNotNull(), p)).withColumn("__rank", missed / (missed + met))
 
 
 def _cell(df: DataFrame, position: Column, left: str, name: str) -> DataFrame:
@@ -86,11 +115,11 @@ def _cell(df: DataFrame, position: Column, left: str, name: str) -> DataFrame:
 
 
 def plan(docs: DataFrame, weights: Sequence[float], share: float, most: float,
-         odds: Callable[[Column], Column] = F.sqrt, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(narrow table of the documents, one row per source with its whole copies and its cut)."""
-    guarded = lambda size: odds(F.greatest(size, F.lit(1)).cast("double"))
-    narrow = stage(ranked(docs.select("doc_id", "text", "source"), guarded, seed).drop("text"), "mix-ranks")
-    sizes = narrow.groupBy("source").agg(F.sum("__size").alias("source_size"))
+         measure: Measure = F.sqrt, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(narrow table of the documents, one row per source with its whole copies, its level and its cut)."""
+    narrow = stage(drawn(docs.select("doc_id", "text", "source"), seed).drop("text"), "mix-draws")
+    counted = stage(narrow.groupBy("source", "__size").agg(F.count(F.lit(1)).alias("__n")), "mix-sizes")
+    sizes = counted.groupBy("source").agg(F.sum(F.col("__size") * F.col("__n")).alias("source_size"))
     goal = targets(sizes, weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     goal = goal.withColumn("__whole", whole.cast("long"))
@@ -98,7 +127,11 @@ def plan(docs: DataFrame, weights: Sequence[float], share: float, most: float,
 
     few = goal.count() <= FEW_SOURCES
     open_ = goal.filter(F.col("__rest") > 0).select("source", "__rest")
-    rows = narrow.filter(F.col("__size") > 0).select("source", "__size", "__rank")
+    known = levels(_join(counted.filter(F.col("__size") > 0), open_, few), measure)
+    goal = stage(_same(goal, known), "mix-levels")
+    level = goal.filter(F.col("__level").isNotNull()).select("source", "__level")
+    rows = _ranked(_join(narrow.filter(F.col("__size") > 0), level, few), measure)
+    rows = stage(rows.select("source", "__size", "__rank"), "mix-ranks")
     first = stage(_cut(rows, open_, 0.0, few), "mix-cuts")
     gaps = _same(open_, first).withColumn("__rest", F.col("__rest") - F.col("__used"))
     # What the next document overshoots is filled with documents of a quarter of the gap or less, in rank order.
@@ -163,27 +196,29 @@ def _copies() -> Column:
     return (F.col("__whole") + picked).cast("long")
 
 
-def _attach(rows: DataFrame, cuts: DataFrame, source: str = "source") -> DataFrame:
+def _attach(rows: DataFrame, cuts: DataFrame, measure: Measure) -> DataFrame:
     c = cuts.withColumnRenamed("source", "__source")
-    joined = rows.join(F.broadcast(c) if cuts.count() <= FEW_SOURCES else c, rows[source].eqNullSafe(c["__source"]), "left")
-    return joined.withColumn("__copies", _copies())
+    joined = rows.join(F.broadcast(c) if cuts.count() <= FEW_SOURCES else c, rows["source"].eqNullSafe(c["__source"]), "left")
+    return _ranked(joined, measure).withColumn("__copies", _copies())
+
 
+def mix_plan(docs: DataFrame, weights: Sequence[float], share: float, most: float,
+             measure: Measure = F.sqrt, seed: int = 1) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken, inclusion: one row per document.
 
-def mix_plan(docs: DataFrame, weights: Sequence[float], share: float, most: float, **options) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken: one row per document."""
-    narrow, cuts = plan(docs, weights, share, most, **options)
+    ``inclusion`` is the stated probability of the last copy, null where whole copies meet the target."""
+    narrow, cuts = plan(docs, weights, share, most, measure, seed)
     taken = F.col("__copies") * F.col("__size")
-    return _attach(narrow, cuts).select(
+    return _attach(narrow, cuts, measure).select(
         "doc_id", F.col("__size").alias("size"), "source_size", "target",
-        F.col("__copies").alias("copies"), taken.alias("taken"),
+        F.col("__copies").alias("copies"), taken.alias("taken"), F.when(F.col("__size") > 0, F.col("__p")).alias("inclusion"),
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float], share: float, most: float, **options) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float], share: float, most: float,
+        measure: Measure = F.sqrt, seed: int = 1) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
-    odds, seed = options.get("odds", F.sqrt), options.get("seed", 1)
-    _, cuts = plan(docs, weights, share, most, **options)
-    guarded = lambda size: odds(F.greatest(size, F.lit(1)).cast("double"))
-    rows = _attach(ranked(docs, guarded, seed), cuts)
+    _, cuts = plan(docs, weights, share, most, measure, seed)
+    rows = _attach(drawn(docs, seed), cuts, measure)
     repeated = F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))
     return rows.select(*[docs[c] for c in docs.columns], repeated.alias("__copy")).drop("__copy")

@@ -61,8 +61,32 @@ def test_mix_reaches_its_targets(table):
     assert mixed.count() == sum(r["copies"] for r in rows)
 
 
-def test_inclusion_follows_the_odds(table):
-    """Long documents are drawn more often than short ones where half of a source is taken."""
+def stated(sizes, words):
+    """Inclusion probabilities min(1, level * sqrt(size)) that expect ``words`` words, by bisection."""
+    lo, hi = 0.0, 1.0
+    for _ in range(100):
+        level = (lo + hi) / 2
+        lo, hi = (level, hi) if np.sum(np.minimum(1, level * np.sqrt(sizes)) * sizes) < words else (lo, level)
+    return np.minimum(1, lo * np.sqrt(sizes))
+
+
+def test_documents_come_as_often_as_stated(table):
+    """Every document has the inclusion probability of its size, and over seeds it is taken that often."""
+    sizes = np.array([(4, 25, 100, 900)[k % 4] if k % 40 else 2_000 for k in range(3_000)])
+    df = table([(k, "w " * int(n), "a") for k, n in enumerate(sizes)]).persist()
+    want = stated(sizes, 0.75 * sizes.sum())
+    assert (want == 1).sum() == 75  # the very long ones are certain
+    copies = np.zeros(len(sizes))
+    for seed in range(4):
+        rows = sorted(mixing.mix_plan(df, [1], 0.75, 2.0, seed=seed).collect())
+        assert np.allclose([r["inclusion"] for r in rows], want)
+        copies += [r["copies"] for r in rows]
+    for n in np.unique(sizes):
+        p, of = want[sizes == n][0], copies[sizes == n] / 4
+        assert abs(of.mean() - p) <= 4 * np.sqrt(p * (1 - p) / (4 * len(of))) + 0.01
+
+
+def test_long_documents_are_drawn_oftener(table):
     docs = [(k, "w " * (10 if k % 2 else 160), "a") for k in range(2_000)]
     rows = mixing.mix_plan(table(docs), [1], 0.5, 2.0).collect()
     share = lambda n: np.mean([r["copies"] for r in rows if r["size"] == n])
