@@ -7,29 +7,35 @@ the words (letters and digits, A-Z lower-cased) that go with the grade in the
 labelled sample, and of word beginnings of 4 to 6 bytes, since compounds share them; each is
 known by 64 bits of its hash, so no two share a weight.
 
-The model is fitted on at most ``max_rows`` labelled documents, drawn by a hash of
-their id; everything else reads all documents and whole texts.
+The model is fitted on at most ``max_rows`` labelled documents (twice that where ids repeat), drawn by a hash of
+their id, and on the ``MAX_WORDS`` words that go best with the grade; everything else reads all documents and whole
+texts.  The sample's words are counted and tested on the executors: what reaches the driver are the counts of those
+words, never texts, so its size does not depend on the lengths of documents.
 
 Nulls and edge cases: null and empty texts have no words and get the severity of the
-intercept; labelled rows without a grade, or without a document, are left out; several
-labels of one id all count; without labelled rows every severity is 0, with a single
+intercept; labelled rows without a grade, or without a document, are left out; different
+labels or texts of one id all count, repeated rows once; without labelled rows every severity is 0, with a single
 grade it is that grade; an empty table gives no rows.  Columns besides ``doc_id`` and
 ``text`` may have any name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablemend.llm.common import stage
 from tablemend.llm.textvec import chunks, stems
 
 MAX_ROWS = 4_000
 MAX_WORDS = 4_096
+#: A word counts if so many labelled documents have it, and its share of toxic ones is so many standard errors off.
+FEWEST, ERRORS = 8, 6
 #: P(grade > 0) from which a document is rejected; clean documents stay far below.
 THRESHOLD = 0.2
 #: Bytes of the word beginnings that count besides whole words: compounds share them.
@@ -88,7 +94,7 @@ class Severity:
 
 
 def associated_words(row: np.ndarray, word: np.ndarray, positive: np.ndarray, most: int) -> np.ndarray:
-    """The words whose share of positive documents is far from the sample's (6 standard errors, 8 documents)."""
+    """The words whose share of positive documents is far from the sample's."""
     if not len(word):
         return word
     kinds, where = np.unique(word, return_inverse=True)
@@ -96,7 +102,7 @@ def associated_words(row: np.ndarray, word: np.ndarray, positive: np.ndarray, mo
     hit = np.bincount(where, positive[row].astype(float))
     base = positive.mean()
     z = np.abs(hit - n * base) / np.sqrt(np.maximum(1e-9, n * base * (1 - base)))
-    z[(n < 8) | (z < 6)] = 0
+    z[(n < FEWEST) | (z < ERRORS)] = 0
     best = np.lexsort((kinds, -z))[:most]
     return np.sort(kinds[best[z[best] > 0]])
 
@@ -147,7 +153,7 @@ def fit(counts: Counts, grade: np.ndarray, grades: int, steps: int = 400, ridge:
 def graded_by_amount(counts: Counts, toxic: np.ndarray) -> np.ndarray:
     """Three grades where labels have two: toxic documents are split at the median amount of toxic words."""
     grade = (toxic > 0).astype(np.int64)
-    if grade.min(initial=1) == grade.max(initial=0):
+    if not len(grade) or grade.min() == grade.max():
         return grade
     row, word, count = counts
     chosen = associated_words(row, word, grade > 0, MAX_WORDS)
@@ -156,21 +162,54 @@ def graded_by_amount(counts: Counts, toxic: np.ndarray) -> np.ndarray:
     return grade + ((grade > 0) & (amount > np.median(amount[grade > 0]))).astype(np.int64)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, grade: str, max_rows: int = MAX_ROWS) -> pa.Table:
-    """text, y of at most ``max_rows`` labelled documents; the labels are drawn before they meet the texts."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, grade: str, max_rows: int = MAX_ROWS) -> DataFrame:
+    """row (from 0), y, text of labelled documents; the labels are drawn before they meet the texts, in one scan."""
     known = labels.filter(labels[grade].isNotNull() & labels["doc_id"].isNotNull())
-    drawn = known.select(known["doc_id"].alias("__id"), known[grade].cast("int").alias("y")).orderBy(
+    first = known.select(known["doc_id"].alias("__id"), known[grade].cast("int").alias("y")).orderBy(
         F.xxhash64("__id"), "__id", "y").limit(max_rows)
-    found = docs.join(F.broadcast(drawn), docs["doc_id"] == F.col("__id")).select(
-        "__id", docs["text"].alias("text"), "y")
-    return found.orderBy("__id", "y", F.xxhash64("text")).select("text", "y").limit(2 * max_rows).toArrow()
+    key = ["__id", "y", "__text"]
+    met = docs.join(F.broadcast(first), docs["doc_id"] == F.col("__id")).select(
+        "__id", "y", F.xxhash64(docs["text"]).alias("__text"), docs["text"].alias("text"))
+    found = stage(met.groupBy(*key).agg(F.first("text").alias("text")), "toxicity-found")
+    # Keys alone are ordered and cut: one id may have any number of texts.
+    cut = found.select(*key).orderBy(*key).limit(2 * max_rows)
+    numbered = stage(cut.withColumn("row", F.row_number().over(Window.orderBy(*key)) - 1), "toxicity-keys")
+    return found.join(F.broadcast(numbered), key).select("row", "y", "text")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns row, y, text: the distinct words of each row, with their counts."""
+    for batch in batches:
+        rows, grades, at = batch.column(0).to_numpy(), batch.column(1).to_numpy(), 0
+        for size, row, word, count in word_counts(batch.column(2)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[at + row], pa.int32()), pa.array(grades[at + row], pa.int32()),
+                 pa.array(word.view(np.int64)), pa.array(count.astype(np.int32))], ["row", "y", "word", "count"])
+            at += size
+
+
+def associated_counts(words: DataFrame, n_rows: int, n_positive: int) -> Counts:
+    """The counts (row, y, word, count) of the words that :func:`associated_words` finds, tested where they are."""
+    base = n_positive / max(1, n_rows)
+    tested = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") > 0).alias("hit")).filter(F.col("n") >= FEWEST)
+    error = F.sqrt(F.greatest(F.lit(1e-9), F.col("n") * base * (1 - base)))
+    off = tested.withColumn("z", F.abs(F.col("hit") - F.col("n") * base) / error).filter(F.col("z") >= 0.999 * ERRORS)
+    unsigned = F.col("word").bitwiseXOR(F.lit(-(1 << 63)))
+    best = off.orderBy(F.desc("z"), unsigned).limit(MAX_WORDS).select("word")
+    table = words.join(F.broadcast(best), "word").select("row", "word", "count").toArrow()
+    row, word, count = (table[c].to_numpy() for c in ("row", "word", "count"))
+    word = word.view(np.uint64)
+    order = np.lexsort((word, row))
+    return row[order], word[order], count[order]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Severity:
     """A model of three grades from labels ``toxic`` 0 / 1."""
     sample = labelled_sample(docs, labels, "toxic", max_rows)
-    counts = all_counts(sample["text"].combine_chunks())
-    return fit(counts, graded_by_amount(counts, sample["y"].to_numpy()), 3)
+    grade = np.array([y for _, y in sorted((r["row"], r["y"]) for r in sample.select("row", "y").collect())], np.int64)
+    words = stage(sample.mapInArrow(_counted, "row int, y int, word long, count int"), "toxicity-words")
+    counts = associated_counts(words, len(grade), int((grade > 0).sum()))
+    return fit(counts, graded_by_amount(counts, grade), 3)
 
 
 def severity(text: Column, model: Severity) -> Column:

@@ -143,6 +143,20 @@ def test_severity_on_held_out_rows():
     assert expected[amount >= 7].mean() > expected[(amount > 0) & (amount < 4)].mean() + 0.3
 
 
+def test_words_counted_on_executors_give_the_same_model(spark, table):
+    """As all words counted in one place; equal rows count once, other texts or labels of an id count too."""
+    rows = labelled(500, 3)
+    docs = [(k, t, "a") for k, (t, _) in enumerate(rows)] + [(3, rows[3][0], "a"), (4, "another text", "a"), (None, "no id", "a")]
+    labels = [(k, y) for k, (_, y) in enumerate(rows)] + [(3, rows[3][1]), (None, 1), (9_999, 1)]
+    model = toxicity.train(table(docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts = pa.array([t for t, _ in rows] + ["another text"])
+    y = np.array([y for _, y in rows] + [rows[4][1]])
+    counts = toxicity.all_counts(texts)
+    plain = toxicity.fit(counts, toxicity.graded_by_amount(counts, y), 3)
+    assert len(model.words) > 4 and (model.words == plain.words).all()
+    assert np.allclose(model.above(texts), plain.above(texts), atol=1e-6)
+
+
 def test_gradient_descent_finds_a_minimum():
     """The fitted likelihood is no worse than that of nearby parameters."""
     rng = np.random.default_rng(0)
