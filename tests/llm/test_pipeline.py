@@ -58,6 +58,32 @@ def test_stages_decide_as_planted(spark, planted, tmp_path):
     assert all(r["offset"] + r["length"] <= 1024 for r in seen["packing"])
 
 
+def test_stages_of_empty_and_odd_tables(spark, table, odd, tmp_path):
+    """No rows give no rows; nulls, blanks, copies and columns with names of the operators' own come through."""
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in ([], odd):
+        df, seen = table(docs), {}
+        columns = df.columns
+        for name, step in corpus_pipeline.STAGES:
+            after = step(spark, df, str(tmp_path))
+            after.write.parquet(f"{tmp_path}/{name}-{len(docs)}")
+            df = spark.read.schema(after.schema).parquet(f"{tmp_path}/{name}-{len(docs)}")
+            seen[name] = df.collect()
+            assert name == "packing" or df.columns == columns
+        if not docs:
+            assert not any(seen.values())
+            continue
+        assert len(seen["toxicity"]) == len(seen["line_dedup"]) == len(odd)
+        # The shared line stays in 129, the shared beginning in 207; what is left of 100 … 128 is one text.
+        kept = [r["doc_id"] for r in seen["near_dup"]]
+        assert sorted(i for i in kept if i is not None) == [1, 2, 3, 4, 5, 7, 8, 100, 129, *range(200, 208), 300]
+        assert kept.count(None) == 2
+        taken = [(r["doc_id"], r["text"]) for r in seen["mixing"]]
+        assert taken and max(taken.count(t) for t in set(taken)) <= 2
+        assert {r["doc_id"] for r in seen["packing"]} == {i for i, _ in taken}
+        assert all(r["root"] == "r" and r["size"] == "y" for name in seen if name != "packing" for r in seen[name])
+
+
 def test_the_run_gives_the_last_stage(spark, planted):
     rows = corpus_pipeline.run(spark, planted[0])
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and rows.count() > 0
