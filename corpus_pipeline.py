@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read
 again as the next stage's docs.  All but the last return the columns of ``documents``.
+
+Nulls and edge cases: any column may be null; an empty table passes through every stage as an empty table;
+columns besides ``doc_id``, ``text``, ``source`` and ``n_chars`` may have any name (but two leading underscores)
+and come through all stages but the last.
 """
 
 from __future__ import annotations
@@ -21,14 +25,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are toxic more likely than not go; a null text stays."""
+    """Documents whose chance of any toxic grade is ``toxicity.THRESHOLD`` or more go; a null or empty text has
+    the chance of a text without known words, which stays unless most labels are toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = toxicity.judge(docs, toxicity.train(docs, labels))
     return judged.filter(~F.col("__toxic")).select(*[docs[c] for c in docs.columns])
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in one of them; every document stays, if with less text."""
+    """Lines that many documents share stay in one of them; every document stays, if with less text.
+    A null text, and one that loses no line, stays as it is."""
     cleaned = line_dedup.ingest(docs).apply(docs)
     lost = F.col("__n_dropped") > 0
     text = F.when(lost, F.col("__kept")).otherwise(docs["text"])
@@ -37,16 +43,20 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts that share four fifths of their five-word shingles."""
+    """One document of each class of texts that share four fifths of their five-word shingles, the one of the
+    smallest id.  Texts without words are linked with nothing and stay; of rows that repeat id and text one stays."""
     return near_dup.deduplicate(docs, percent=80)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document comes as often as the mix takes it: never, once or twice."""
+    """A document comes as often as the mix takes it: never, once or twice.  A null source is a source;
+    a text without words comes with the whole copies of its source only."""
     return mixing.mix(docs, **MIX)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences, one row a piece, as ``op9`` returns them.
+    A null or empty text is the end token alone; a document that the mix repeats is packed as often."""
     return packing.pack(packing.pieces(docs, TOKENIZER, END_ID, SEQUENCE), SEQUENCE)
 
 
