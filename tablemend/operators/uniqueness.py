@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablemend.constants import UNIQUENESS
 from tablemend.functions.columns import column, quoted
-from tablemend.functions.digest import text_columns, text_digest
+from tablemend.functions.digest import packed_digest, text_columns
 from tablemend.operators.metrics import metric, unfold
 
 
@@ -23,7 +23,7 @@ def row_groups(df: DataFrame, by_digest: bool = True) -> DataFrame:
     texts = text_columns(df) if by_digest else []
     if texts:
         others = [F.col(quoted(c)) for c in df.columns if c not in texts]
-        df = df.select(text_digest(texts).alias("__texts"), *others)
+        df = df.select(packed_digest(texts).alias("__texts"), *others)
     return df.groupBy(*[F.col(quoted(c)) for c in df.columns]).agg(F.count(F.lit(1)).alias("copies"))
 
 

@@ -23,13 +23,12 @@ from tablemend.operators.cross_rules import cross_profile
 from tablemend.operators.integrity_report import integrity_report
 from tablemend.operators.metrics import isolated, metric, skipped, union_all, unfold
 from tablemend.operators.orphans import empty_references, fk_metrics, obstacle
-from tablemend.operators.profile import profile
+from tablemend.operators.profile import profile, profile_with_duplicates
 from tablemend.operators.repair import (
     CHANGED_PREFIX, MARK_MISSING, StoredLookups, fix_log, impute_candidates, repair_integrity, repair_keys,
 )
 from tablemend.operators.semantic import code_lookup, suggested_codes, unknown_codes
 from tablemend.operators.structure import detect_domain, domain_metric, schema_drift
-from tablemend.operators.uniqueness import duplicate_rows
 from tablemend.plans import synthea
 from tablemend.sources.sinks import stage_dataset, write_dataset
 
@@ -46,7 +45,7 @@ def profile_dataset(
     parts = []
     for name, df in ds.items():
         rules = specs[name].profile_rules if name in specs else synthea.profile_rules()
-        own = profile(df, name, rules).unionByName(duplicate_rows(df, name, description=REPEATED_ROWS))
+        own = profile_with_duplicates(df, name, rules, description=REPEATED_ROWS)
         parts.append(isolated(df.sparkSession, name, own) if isolate else own)
     if isolate:
         failed = {r["table_name"] for p in parts for r in p.filter(F.col("status") == FAILED).collect()}
@@ -222,10 +221,10 @@ def assess_corrected(
             return union_all(parts)
     for name, df in ds.items():
         rules = specs[name].post_rules if name in specs else ()
-        parts += [
-            profile(df, name, rules, volume_dimension="17PC_V"),
-            duplicate_rows(df, name, "17PC_U", "Exact_Duplicates", "duplicate rows after correction"),
-        ]
+        parts.append(profile_with_duplicates(
+            df, name, rules, "17PC_V", dimension="17PC_U", rule="Exact_Duplicates",
+            description="duplicate rows after correction",
+        ))
         if not (name in specs and specs[name].fk_rules):
             parts.append(_skip(df, name, ("17PC_RI",), "no foreign keys declared"))
     fks = [r for name in ds if name in specs for r in specs[name].fk_rules]
