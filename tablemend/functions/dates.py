@@ -44,7 +44,9 @@ def parse_any(c: Column, layouts: Iterable[str]) -> Column:
     One pattern knows all the layouts and puts the fields it finds in ISO order;
     a text without a date becomes "--", which is none either.  Layouts that a
     pattern cannot tell apart (day or month first) are tried one after the other.
+    A text that begins with an ISO date of ten characters is cut and cast without a pattern.
     """
+    layouts = list(layouts)
     rounds: list[list[str]] = []
     for layout in layouts:
         fitting = (r for r in rounds if all(_shape(other) != _shape(layout) for other in r))
@@ -54,9 +56,17 @@ def parse_any(c: Column, layouts: Iterable[str]) -> Column:
         else:
             free.append(layout)
     dates = [_in_iso_order(c, r).try_cast("date") for r in rounds]
+    if ISO in layouts:
+        dates.insert(0, _plain_iso(c.cast("string")))
     return dates[0] if len(dates) == 1 else F.coalesce(*dates)
 
 
+def _plain_iso(t: Column) -> Column:
+    """The date in the first ten characters, if dashes stand in their places; no other layout fits such a text."""
+    dashes = (F.substring(t, 5, 1) == "-") & (F.substring(t, 8, 1) == "-")
+    return F.when(dashes, F.substring(t, 1, 10).try_cast("date"))
+
+
 def _in_iso_order(c: Column, layouts: list[str]) -> Column:
     alternatives, groups = [], {"yyyy": "", "MM": "", "dd": ""}
     for i, layout in enumerate(layouts):

@@ -16,7 +16,7 @@ from tablemend.operators.lookup import (
     KEY, Lookup, attach, estimated_bytes, known_keys, lookup, matched_rows,
 )
 from tablemend.operators.metrics import metric, union_all, unfold
-from tablemend.operators.orphans import fk_metrics
+from tablemend.operators.orphans import fillable, fk_metrics
 
 CHANGED_PREFIX = "__rekeyed_"
 
@@ -226,7 +226,4 @@ def impute_candidates(
     counted = matched_rows(
         df, F.when(gap, fold(column(df, via.column))), facts, F.col("__through").isNotNull(), limit
     )
-    return unfold(counted, [
-        metric(rule.table, dimension, f"{rule.column}_Imputation_from_Encounter",
-               f"missing, but known through {via.column}→{via.table}.{via.key}", "e", "n")
-    ])
+    return unfold(counted, [fillable(rule, "e", "n", dimension)])

@@ -22,7 +22,7 @@ from tablemend.operators.correct import correct, correct_marked, correction_log
 from tablemend.operators.cross_rules import cross_profile
 from tablemend.operators.integrity_report import integrity_report
 from tablemend.operators.metrics import isolated, metric, skipped, union_all, unfold
-from tablemend.operators.orphans import empty_references, fk_metrics, obstacle
+from tablemend.operators.orphans import empty_references, fk_metrics, obstacle, shared_detours
 from tablemend.operators.profile import profile, profile_with_duplicates
 from tablemend.operators.repair import (
     CHANGED_PREFIX, MARK_MISSING, StoredLookups, fix_log, impute_candidates, repair_integrity, repair_keys,
@@ -83,8 +83,14 @@ def validate_dataset(
     for name, df in ds.items():
         parts.append(profile(df, name, specs[name].validation_rules if name in specs else ()))
     rules = [r for name in ds if name in specs for r in specs[name].fk_rules]
+    chained = {
+        name: [r for r in specs[name].fk_rules if impute and r.via is not None and r.via.table in ds] if name in specs else []
+        for name in ds
+    }
+    shared = shared_detours(ds, rules, [r for name, detours in chained.items() for r in detours if r.table == name])
     if rules:
-        parts.append(fk_metrics(ds, rules, "8RI", nulls_are_orphans=False, ignore_case=True, full_rule_name=False))
+        parts.append(fk_metrics(ds, rules, "8RI", nulls_are_orphans=False, ignore_case=True, full_rule_name=False,
+                                detours=shared))
     parts += _cross_checks(ds, limit)
     if "conditions" in ds:
         codes = synthea.code_list(spark)
@@ -94,10 +100,8 @@ def validate_dataset(
         ]
     for name, df in ds.items():
         spec = specs.get(name)
-        chained = [r for r in spec.fk_rules if r.via is not None and r.via.table in ds] if spec else []
-        if impute and chained:
-            parts += [impute_candidates(df, r, ds, limit=limit) for r in chained]
-        else:
+        parts += [impute_candidates(df, r, ds, limit=limit) for r in chained[name] if r not in shared]
+        if not chained[name]:
             parts.append(_skip(df, name, ("11FI",), "no detour to fill keys from"))
         if not (spec and spec.fk_rules):
             parts.append(_skip(df, name, ("8RI",), "no foreign keys declared"))

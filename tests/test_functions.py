@@ -108,3 +108,19 @@ def test_draws_hit_their_rate_and_are_unrelated(spark, draws):
     got = df.agg(F.count_if(a), F.count_if(b), F.count_if(a & b)).first()
     assert abs(got[0] - 10_000) < 500 and abs(got[1] - 10_000) < 500
     assert abs(got[2] - 1_000) < 200
+
+
+def test_plain_iso_dates_are_read_as_by_the_pattern(spark):
+    """Texts that take the way without a pattern, and others close to them."""
+    texts = ["2020-01-05", "2020-01-05T10:11:12Z", "2020-01-5 x", "2020-01-051", "2020-01- 5", "2020-1-05", "2020-13-01",
+             "2021-02-29", " 2020-01-05", "+202-01-05", "-2020-01-05", "12020-1-05", "2020-1 -05", "0000-01-01", "2020-01-05\nx",
+             "2020-01-5T", "2020-01-\t5", "2020-01-05é", "２０２０-01-05", "abcd-ef-gh", "20-01-05", "2020", "2020-01", "", None,
+             "05/01/2020", "2020.01.05", "20200105", "2020-01-0x", "2020-0x-01", "😀020-01-05", "   1-02-03"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    for layouts in ([D.ISO], [D.ISO, D.EUROPEAN, D.DOTTED], [D.COMPACT, D.ISO, D.EUROPEAN, D.DOTTED], [D.ISO, D.US, D.DOTTED], [D.US, D.EUROPEAN, D.ISO]):
+        rounds = [[x for x in layouts if x != D.EUROPEAN], [D.EUROPEAN]] if D.US in layouts and D.EUROPEAN in layouts else [layouts]
+        by_pattern = F.coalesce(*[D._in_iso_order(F.col("c"), r).try_cast("date") for r in rounds])
+        for r in df.select("c", D.parse_any(F.col("c"), layouts).cast("string").alias("got"), by_pattern.cast("string").alias("want")).collect():
+            assert r["got"] == r["want"], (layouts, r)
+    found = df.select(D.parse_any(F.col("c"), iter([D.ISO]))).limit(4).collect()
+    assert [r[0] for r in found] == [DAY] * 4

@@ -638,7 +638,7 @@ def _validation_sql() -> list[str]:
 @query("validate_dataset", S.with_(
     [*S.ctes(*S.TABLES), _DEATHS, _CLINICAL_CTES, S.CODE_LIST, _SUGGEST, _THROUGH], S.union(_validation_sql())))
 def validate_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.validate_dataset(clinic.stored(spark, sf_dir), specs())
+    return pipeline.validate_dataset(clinic.derived(spark, sf_dir), specs())
 
 
 _NAMED = " ".join(f"WHEN '{code}' THEN {S.quote(name)}" for code, name in DIMENSION_NAMES.items())
@@ -649,7 +649,7 @@ _NAMED = " ".join(f"WHEN '{code}' THEN {S.quote(name)}" for code, name in DIMENS
 SELECT quality_dimension, CASE quality_dimension {_NAMED} ELSE quality_dimension END AS dimension_name,
   CAST(sum(error_count) AS BIGINT) AS error_count FROM ({S.union(_validation_sql())}) GROUP BY quality_dimension"""))
 def report_by_dimension_named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_dimension(pipeline.validate_dataset(clinic.stored(spark, sf_dir), specs()))
+    return by_dimension(pipeline.validate_dataset(clinic.derived(spark, sf_dir), specs()))
 
 
 @query("inject_hash_draws", """
