@@ -7,10 +7,15 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tablemend.operators import cells, key_order
 from tablemend.operators.lookup import Lookup, attach
-from tablemend.operators.repair import StoredLookups
+from tablemend.operators.repair import StoredLookups, repair_integrity
 from tablemend.plans import pipeline
 from tablemend.sources import metric_store, sinks
+from verification import clinic as star
+from verification import history_queries
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def rows(df) -> list:
@@ -103,7 +108,54 @@ def test_corrected_in_steps(clinic, specs, tmp_path, large):
     assert rows(log) == rows(pipeline.correct_with_log(clinic, specs, f"{tmp_path}/n", limit=-1)[1])
 
 
+def test_integrity_is_repaired_in_steps(clinic, specs, tmp_path, large):
+    staged = repair_integrity(clinic, specs, -1, StoredLookups(clinic, f"{tmp_path}/l", -1), f"{tmp_path}/r")
+    assert tables(staged) == tables(repair_integrity(clinic, specs, -1)) and len(large) >= 3
+
+
+def test_key_order_in_steps(clinic, specs, tmp_path, large):
+    got, log = key_order.correct_in_order(clinic, specs, limit=-1, staging=str(tmp_path))
+    plain, plain_log = key_order.correct_in_order(clinic, specs, limit=-1)
+    assert tables(got) == tables(plain) and rows(log) == rows(plain_log) and large
+    assert {p.name for p in (tmp_path / "children").iterdir()} == {"conditions", "medications", "allergies"}
+
+
 def test_measured_in_parts(clinic, specs, tmp_path, large):
     for i, measure in enumerate((pipeline.profile_dataset, pipeline.assess_corrected)):
         assert rows(measure(clinic, specs, staging=f"{tmp_path}/{i}")) == rows(measure(clinic, specs))
         assert len(list((tmp_path / str(i)).iterdir())) > 5
+
+
+def test_cells_of_large_tables(clinic, specs, tmp_path, large):
+    for name in ("patients", "conditions"):
+        df = clinic[name]
+        told = cells.correction_cells(df, name, specs[name].fixes, f"{tmp_path}/{name}")
+        plain = cells.correction_cells(df, name, specs[name].fixes)
+        assert rows(told) == rows(plain) and (tmp_path / name / "filled").exists()
+
+
+def test_cells_with_many_columns(spark):
+    names = [f"c{i}" for i in range(130)]
+    df = spark.createDataFrame([tuple(None if i in (0, 61, 62, 129) else "v" for i in range(130))] * 2, ", ".join(f"{n} string" for n in names))
+    found = cells.correction_cells(df, "t", []).collect()
+    assert sorted(r["column"] for r in found) == ["c0", "c129", "c61", "c62"] and {r["rows"] for r in found} == {2}
+
+
+def test_steps_are_counted_by_the_text_of_a_row(spark):
+    """Digests travel as bytes; texts that are none are still told apart."""
+    digest = "004a" * 16
+    texts = [digest, digest.upper(), "\x00J" * 16, "x", None]
+    df = spark.createDataFrame([("t", "s", t, 10**i) for i, t in enumerate(texts) for _ in range(2)], "table_name string, step string, row string, rows long")
+    assert [r["error_count"] for r in cells.cells_per_step(df).collect()] == [11111]
+
+
+def test_stored_tables_do_not_keep_their_lines(spark, monkeypatch, tmp_path, large):
+    monkeypatch.setattr(star, "folder", lambda _, made=iter("abcdefgh"): str(tmp_path / next(made)))
+    got = star.stored(spark, SMALL)
+    assert tables(got) == tables(star.dirty(spark, SMALL)) and {p.name for p in tmp_path.glob("*/*")} == set(got)
+
+
+def test_cells_per_step_of_large_tables(spark, large):
+    got = rows(history_queries.correction_cells_per_step(spark, SMALL))
+    sinks.LARGE = 2**40
+    assert got == rows(history_queries.correction_cells_per_step(spark, SMALL))
